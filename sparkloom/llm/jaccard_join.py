@@ -20,11 +20,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, dropped, per_text, table, whole_text, with_texts, written
+from .common import chunks, dropped, table, whole_text, written
 from .components import connected_components, local_roots
+from .counters import SCHEMA, collected, rows_of
 from .ngrams import mix, shingles
 
 BATCH_CHARS = 1 << 20
@@ -32,6 +34,8 @@ BATCH_CHARS = 1 << 20
 BLOCK = 128
 #: Cells of at most this many documents are compared exactly, larger ones get this many pivots.
 LEAF, PIVOTS = 64, 4
+#: Shingle frequencies are counted in 2 ** this many buckets; parts beyond the least number, as a share of it.
+FREQUENCY_BITS, SPARE = 20, 0.12
 
 
 def class_id(shingle_set: np.ndarray) -> int:
@@ -46,15 +50,31 @@ def _sets(rows: list[tuple], size: int) -> Iterator[tuple[list[tuple], np.ndarra
         yield part, values, bounds
 
 
-def _classes(size: int) -> Callable[[list[str]], pd.DataFrame]:
-    def run(texts: list[str]) -> pd.DataFrame:
-        values, bounds = shingles(texts, size)
-        ids = [class_id(values[a:b]) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return pd.DataFrame({"n_shingles": np.diff(bounds), "cid": pd.array(ids, "Int64")})
+def _classes(size: int) -> Callable:
+    """Rows (doc_id, text) -> a row for each document, and at the end the task's document frequencies."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((1, 1 << FREQUENCY_BITS), np.int64)
+        for pdf in batches:
+            for part, values, bounds in _sets(list(pdf.itertuples(index=False, name=None)), size):
+                ids = [class_id(values[a:b]) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                total[0] += np.bincount(_bucket(values), minlength=1 << FREQUENCY_BITS)
+                yield pd.DataFrame({"doc_id": [r[0] for r in part], "n_shingles": pd.array(np.diff(bounds), "Int64"), "cid": pd.array(ids, "Int64"), "model": pd.array([None] * len(part), "Int32"), "block": pd.array([None] * len(part), "Int32"), "counts": None})
+        counted = rows_of(total)
+        yield counted.assign(doc_id=None, n_shingles=pd.array([None] * len(counted), "Int64"), cid=pd.array([None] * len(counted), "Int64"))
 
     return run
 
 
+def _bucket(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
+
+
+def common_buckets(frequencies: np.ndarray) -> np.ndarray:
+    """Marks buckets that far more documents hit than the average bucket: those of boilerplate."""
+    return frequencies > 32 * frequencies.mean() + 32
+
+
 @lru_cache(maxsize=8)
 def _steps(percent: int, top: int) -> tuple[np.ndarray, np.ndarray]:
     """Least and largest sizes of the size classes up to top; links join a class and the next at most."""
@@ -68,11 +88,13 @@ def _steps(percent: int, top: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(low), np.array(high)
 
 
-def signatures(values: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(values: np.ndarray, bounds: np.ndarray, percent: int, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(set, signature) rows; sets that link share a row's signature.
 
-    Every set signs for its own size class and, where a partner can be that large, the next. Beyond
-    the d + 1 parts there are a few spare ones, so that as many empty parts need not sign; a set
+    Every set signs for its own size class and, where a partner can be that large, the next. Only
+    rare shingles enter the parts: dropping the same shingles from all sets never adds a
+    difference, and documents no longer meet in parts that hold nothing but boilerplate. Beyond
+    the d + 1 parts there are spare ones, so that as many empty parts need not sign; a set
     with more empty parts than spare ones signs those too, and so does any partner it could
     only agree with there.
     """
@@ -86,10 +108,10 @@ def signatures(values: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np
         k = own + ahead
         used = (sizes > 0) & (100 * sizes >= percent * low[k]) if ahead else sizes > 0
         differ = 2 * high[k] * (100 - percent) // (100 + percent)
-        spare = (differ + 1) // 50
+        spare = np.ceil(differ * SPARE).astype(np.int64)
         parts = np.where(used, differ + 1 + spare, 0)
         first = np.concatenate([[0], np.cumsum(parts)])
-        mine = used[element_set]
+        mine = used[element_set] & rare
         s, h = element_set[mine], hashed[mine]
         cell = first[s] + ((h >> np.uint64(20)) % parts[s].astype(np.uint64)).astype(np.int64)
         total = int(first[-1])
@@ -106,15 +128,17 @@ def signatures(values: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np
     return np.concatenate(out_set), np.concatenate(out_sig)
 
 
-def _signature_rows(size: int, percent: int) -> Callable:
+def _signature_rows(size: int, percent: int, common: Broadcast) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rare = ~np.unpackbits(common.value).astype(bool)
         for pdf in batches:
             for _, values, bounds in _sets([(t,) for t in pdf["text"]], size):
                 full = [(class_id(values[a:b]), a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
                 once = list({c: (c, a, b) for c, a, b in full}.values())
                 if once:
                     ends = np.cumsum([0, *(b - a for _, a, b in once)])
-                    owner, sig = signatures(np.concatenate([values[a:b] for _, a, b in once]), ends, percent)
+                    kept = np.concatenate([values[a:b] for _, a, b in once])
+                    owner, sig = signatures(kept, ends, percent, rare[_bucket(kept)])
                     yield pd.DataFrame({"sig": sig.view(np.int64), "cid": np.array([c for c, _, _ in once], np.int64)[owner]})
 
     return run
@@ -240,10 +264,14 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     Shingles are compared by 64-bit hashes.
     """
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    sets = written(with_texts(rows, ["doc_id"], per_text(F.col("text"), "n_shingles long, cid long", lambda: _classes(size), BATCH_CHARS)), "sets")
+    strings = rows.select(F.col("doc_id").cast("string"), "text")
+    both = written(strings.mapInPandas(_classes(size), f"doc_id string, n_shingles long, cid long, {SCHEMA}"), "sets")
+    sets = both.where("block is null").select(F.col("doc_id").cast("long"), "n_shingles", "cid")
+    frequencies = collected(both.where("block is not null").select("model", "block", "counts"), 1, 1 << FREQUENCY_BITS)[0]
+    common = docs.sparkSession.sparkContext.broadcast(np.packbits(common_buckets(frequencies)))  # one bit a bucket
     classes = sets.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
-    signed = rows.select("text").mapInPandas(_signature_rows(size, percent), "sig long, cid long")
+    signed = rows.select("text").mapInPandas(_signature_rows(size, percent, common), "sig long, cid long")
     stars = signed.repartition("sig").sortWithinPartitions("sig", "cid").mapInPandas(_region_stars, "a long, b long")
     regions = written(connected_components(stars).withColumnsRenamed({"node": "cid", "component": "gid"}), "regions")
 
