@@ -1 +1,144 @@
+"""Corpus sources behind a registry: paired files, manifests, Parquet exports, lines, and unions of sources."""
 
+from __future__ import annotations
+
+from collections.abc import Callable, Mapping
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import strip
+
+Source = Callable[[SparkSession, Mapping], DataFrame]
+_REGISTRY: dict[str, Source] = {}
+SPLITS = ("train", "dev", "test")
+
+
+def register_source(kind: str) -> Callable[[Source], Source]:
+    def add(f: Source) -> Source:
+        _REGISTRY[kind] = f
+        return f
+
+    return add
+
+
+def known_sources() -> list[str]:
+    return sorted(_REGISTRY)
+
+
+def load_source(spark: SparkSession, config: Mapping) -> DataFrame:
+    """The corpus that config names; ValueError for a missing or unknown type."""
+    kind = config.get("type")
+    if kind not in _REGISTRY:
+        raise ValueError(f"source type {kind!r} is not one of {', '.join(known_sources())}")
+    return _REGISTRY[kind](spark, config)
+
+
+def standardize(df: DataFrame, audio_column: str | None, text_column: str | None) -> DataFrame:
+    """Renames the columns to audio and transcription; absent ones are left, so it can run twice."""
+    for old, new in ((audio_column, "audio"), (text_column, "transcription")):
+        if old and old in df.columns and new not in df.columns:
+            df = df.withColumnRenamed(old, new)
+    return df
+
+
+def concat(parts: list[DataFrame]) -> DataFrame:
+    """Rows of all parts, with the rank of their part in source_rank."""
+    ranked = [df.withColumn("source_rank", F.lit(i)) for i, df in enumerate(parts)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
+
+
+def common_columns(parts: list[DataFrame]) -> DataFrame:
+    """Rows of all parts, with the columns that all of them have."""
+    shared = [c for c in parts[0].columns if all(c in p.columns for p in parts)]
+    return reduce(DataFrame.unionByName, [p.select(*shared) for p in parts])
+
+
+def _files(spark: SparkSession, path: str, pattern: str, recursive: bool) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
+
+
+def _children(spark: SparkSession, path: str) -> set[str]:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(jpath):
+        raise FileNotFoundError(path)
+    return {s.getPath().getName() for s in fs.listStatus(jpath) if s.isDirectory()}
+
+
+def paired_split(spark: SparkSession, path: str, audio_ext: str = ".wav", text_ext: str = ".txt", recursive: bool = False) -> DataFrame:
+    """(audio_path, transcription, missing): audio files and the text file of the same folder and stem.
+
+    missing marks audio without a text. Errors if there is no audio or no pair.
+    """
+    key = lambda c: F.regexp_replace(c, r"\.[^./]+$", "")
+    audio = _files(spark, path, f"*{audio_ext}", recursive).select(F.col("path").alias("audio_path"), key(F.col("path")).alias("pair"))
+    texts = _files(spark, path, f"*{text_ext}", recursive).select(key(F.col("path")).alias("pair"), strip(F.decode("content", "UTF-8")).alias("transcription"))
+    both = audio.join(texts, "pair", "left").select("audio_path", "transcription", F.col("transcription").isNull().alias("missing"))
+    seen = both.agg(F.count("*"), F.count_if(~F.col("missing"))).first()
+    if not seen[0]:
+        raise ValueError(f"no {audio_ext} files in {path}")
+    if not seen[1]:
+        raise ValueError(f"no audio in {path} has a {text_ext} file")
+    return both
+
+
+@register_source("paired")
+def paired(spark: SparkSession, config: Mapping) -> DataFrame:
+    """Audio and text files; folders train, dev and test become splits if there are any, else all is train."""
+    path, options = config["path"], {k: config[k] for k in ("audio_ext", "text_ext", "recursive") if k in config}
+    found = [s for s in SPLITS if s in _children(spark, path)]
+    parts = [(s, f"{path}/{s}") for s in found] or [("train", path)]
+    frames = [paired_split(spark, p, **options).where("not missing").drop("missing").withColumn("source_split", F.lit(s)) for s, p in parts]
+    return reduce(DataFrame.unionByName, frames)
+
+
+@register_source("audiofolder")
+def audiofolder(spark: SparkSession, config: Mapping) -> DataFrame:
+    """Files listed in a CSV manifest by file_name."""
+    manifest = spark.read.csv(f"{config['path']}/metadata.csv", header=True, multiLine=True, escape='"')
+    files = _files(spark, config["path"], config.get("pattern", "*"), True).select(F.col("path").alias("audio_path"))
+    named = files.withColumn("file_name", F.element_at(F.split("audio_path", "/"), -1))
+    return standardize(manifest.join(named, "file_name"), config.get("audio_column"), config.get("text_column")).withColumn("source_split", F.lit(config.get("split", "train")))
+
+
+@register_source("export")
+def export(spark: SparkSession, config: Mapping) -> DataFrame:
+    """A Parquet export of a published dataset; code that ships with a dataset is never run."""
+    df = spark.read.parquet(config["path"])
+    return standardize(df, config.get("audio_column"), config.get("text_column")).withColumn("source_split", F.lit(config.get("split", "train")))
+
+
+@register_source("lines")
+def lines(spark: SparkSession, config: Mapping) -> DataFrame:
+    """Lines of text files, stripped; blank ones are dropped."""
+    return spark.read.text(config["path"]).select(strip(F.col("value")).alias("transcription")).where("transcription <> ''").withColumn("source_split", F.lit(config.get("split", "train")))
+
+
+@register_source("concat")
+def concat_source(spark: SparkSession, config: Mapping) -> DataFrame:
+    """The child sources' rows, split by split, in child order."""
+    return concat([load_source(spark, child) for child in config["sources"]])
+
+
+def metadata_table(spark: SparkSession, path: str, key: str, multi_valued: tuple[str, ...] = (), separator: str = ";") -> DataFrame:
+    """A CSV of attributes, all strings; multi-valued cells become arrays without empty parts.
+
+    Errors if the key column is missing or a key repeats.
+    """
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    if key not in df.columns:
+        raise ValueError(f"{path} has no column {key}")
+    df = df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns])
+    repeated = [r[0] for r in df.groupBy(key).count().where("count > 1").limit(3).collect()]
+    if repeated:
+        raise ValueError(f"repeated keys in {path}: {', '.join(repeated)}")
+    split = lambda c: F.filter(F.split(F.col(c), rf"\Q{separator}\E"), lambda x: x != "")
+    return df.select(*[split(c).alias(c) if c in multi_valued else F.col(c) for c in df.columns])
+
+
+def examples_csv(spark: SparkSession, path: str) -> DataFrame:
+    """example STRING, duration DOUBLE in file order, as example_index."""
+    df = spark.read.csv(path, header=True, schema="example string, duration double")
+    return df.withColumn("example_index", F.monotonically_increasing_id())
