@@ -14,6 +14,8 @@ from .common import chunks, table, whole_text
 from .ngrams import char_ngrams
 
 BATCH_CHARS = 1 << 20
+#: Characters whose n-grams are in the driver's memory together while fitting.
+FIT_CHARS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -65,23 +67,25 @@ def fit(texts: list[str], labels: np.ndarray, s: Settings = Settings()) -> Model
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return Model(s, np.zeros(1 << s.bits), 0.0 if not len(y) else (4.0 if y[0] else -4.0))
-    parts, base = [], 0
-    for part in chunks(texts, len, BATCH_CHARS):
+    size = 1 << s.bits
+    p, both, base = np.zeros(size), np.zeros(size), 0
+    for part in chunks(texts, len, FIT_CHARS):
         doc, bucket = present(part, s)
-        parts.append((doc.astype(np.int32) + base, bucket.astype(np.int32)))
+        p += np.bincount(bucket[y[base + doc] == 1], minlength=size)
+        both += np.bincount(bucket, minlength=size)
         base += len(part)
-    doc, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
-    size = 1 << s.bits
-    p = np.bincount(bucket, y[doc], size)
-    both = np.bincount(bucket, minlength=size)
     q = both - p
     r = np.log((p + s.smoothing) / (y.sum() + 2 * s.smoothing)) - np.log((q + s.smoothing) / (len(y) - y.sum() + 2 * s.smoothing))
     strength = np.abs(r) * np.sqrt(both) * (both > 2)
     top = np.argsort(-strength, kind="stable")[: s.features]
-    slot = np.full(size, -1, np.int64)
+    slot = np.full(size, -1, np.int32)
     slot[top] = np.arange(len(top))
-    kept = slot[bucket] >= 0
-    doc, col = doc[kept], slot[bucket[kept]]
+    parts, base = [], 0
+    for part in chunks(texts, len, FIT_CHARS):  # once more, so that only the kept n-grams are in memory together
+        doc, bucket = present(part, s, slot >= 0)
+        parts.append((doc.astype(np.int32) + base, slot[bucket]))
+        base += len(part)
+    doc, col = (np.concatenate(x) for x in zip(*parts, strict=True))
     ratio = r[top]
     # classes weigh the same; the bias is then moved to the share of the sample
     mass = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
