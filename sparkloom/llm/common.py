@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,6 +49,12 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def released(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage, so that the files of shuffles that no plan needs any more are deleted."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by written() that no later plan reads."""
     path = getattr(df, "_loom_path", None)

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, dropped, table, whole_text, written
+from .common import chunks, dropped, released, table, whole_text, written
 from .components import connected_components, local_roots
 from .counters import SCHEMA, collected, rows_of
 from .ngrams import mix, shingles
@@ -273,7 +273,9 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
 
     signed = rows.select("text").mapInPandas(_signature_rows(size, percent, common), "sig long, cid long")
     stars = signed.repartition("sig").sortWithinPartitions("sig", "cid").mapInPandas(_region_stars, "a long, b long")
-    regions = written(connected_components(stars).withColumnsRenamed({"node": "cid", "component": "gid"}), "regions")
+    met = written(stars.distinct(), "stars")
+    released(docs.sparkSession)  # the signatures are the largest shuffle of the join
+    regions = written(connected_components(met).withColumnsRenamed({"node": "cid", "component": "gid"}), "regions")
 
     members = regions.join(regions.groupBy("gid").agg(F.count("*").alias("members")), "gid")
     wanted = members.join(classes.select("cid", F.col("doc_id").alias("rep")), "cid").select("gid", "cid", "members", "rep")
