@@ -112,7 +112,8 @@ def char_ngrams(texts: list[str], sizes: tuple[int, ...], bits: int) -> tuple[np
     rows = []
     rolling = np.zeros(len(data), np.uint64)
     for k in range(1, max(sizes) + 1):
-        rolling[: len(data) - k + 1] = rolling[: len(data) - k + 1] * _BASE + value[k - 1 :]
+        n = max(0, len(data) - k + 1)
+        rolling[:n] = rolling[:n] * _BASE + value[k - 1 :]
         if k in sizes:
             rows.append((mix(rolling + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int32))
     return np.stack(rows), np.repeat(np.arange(len(texts)), np.diff(bounds)), bounds
