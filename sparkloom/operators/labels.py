@@ -15,12 +15,13 @@ def character_counts(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vocabulary(texts: DataFrame, text: str = "text", min_frequency: int = 1) -> DataFrame:
-    """(token, id): 0 pads, 1 is unknown, then characters by code point; the space is written as a bar.
+    """(token, id): 0 pads, 1 is unknown, then characters by code point; the space is written
+    as a bar and sorts as a space.
 
     A bar in the texts and the space are one token, so ids have no holes.
     """
     merged = character_counts(texts, text).withColumn("token", F.when(F.col("token") == " ", WORD).otherwise(F.col("token"))).groupBy("token").agg(F.sum("n").alias("n"))
-    kept = merged.where(F.col("n") >= min_frequency).select("token", (F.row_number().over(Window.orderBy("token")) + 1).cast("int").alias("id"))
+    kept = merged.where(F.col("n") >= min_frequency).select("token", (F.row_number().over(Window.orderBy(F.when(F.col("token") == WORD, " ").otherwise(F.col("token")))) + 1).cast("int").alias("id"))
     special = texts.sparkSession.createDataFrame([(PAD, 0), (UNK, 1)], "token string, id int")
     return special.unionByName(kept)
 

@@ -46,7 +46,7 @@ def slugify(t):
 
 
 _CHARS = "c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents WHERE text <> ''), k AS (SELECT CASE WHEN ch = ' ' THEN '|' ELSE ch END AS token, count(*) AS n FROM c GROUP BY 1)"
-_VOCAB = "v AS (SELECT token, CAST(row_number() OVER (ORDER BY encode(token)) + 1 AS INTEGER) AS id FROM k WHERE n >= {least}), vocab AS (SELECT * FROM v UNION ALL VALUES ('[PAD]', 0), ('[UNK]', 1))"
+_VOCAB = "v AS (SELECT token, CAST(row_number() OVER (ORDER BY encode(CASE WHEN token = '|' THEN ' ' ELSE token END)) + 1 AS INTEGER) AS id FROM k WHERE n >= {least}), vocab AS (SELECT * FROM v UNION ALL VALUES ('[PAD]', 0), ('[UNK]', 1))"
 
 
 @query(f"WITH {_CHARS}, {_VOCAB.format(least=1)} SELECT token, id FROM vocab")
@@ -181,7 +181,7 @@ def vocab_id_space(t):
     return L.id_space_problems(L.vocabulary(t("documents")))
 
 
-_TWO = f"WITH {_CHARS}, {_VOCAB.format(least=1)}, k2 AS (SELECT * FROM k WHERE n >= 500), old AS (SELECT * FROM vocab), new AS (SELECT token, CAST(row_number() OVER (ORDER BY encode(token)) + 1 AS INTEGER) AS id FROM k2 UNION ALL VALUES ('[PAD]', 0), ('[UNK]', 1))"
+_TWO = f"WITH {_CHARS}, {_VOCAB.format(least=1)}, k2 AS (SELECT * FROM k WHERE n >= 500), old AS (SELECT * FROM vocab), new AS (SELECT token, CAST(row_number() OVER (ORDER BY encode(CASE WHEN token = '|' THEN ' ' ELSE token END)) + 1 AS INTEGER) AS id FROM k2 UNION ALL VALUES ('[PAD]', 0), ('[UNK]', 1))"
 
 
 @query(f"{_TWO} SELECT old.token, old.id AS old_id, new.id AS new_id FROM old LEFT JOIN new ON old.token = new.token")
