@@ -9,7 +9,8 @@ The first level must separate documents that share next to nothing, which all li
 every pivot. Its pivots are therefore parts of the shingle universe: two sets of at most u
 shingles that link differ in at most d = floor(2u * (1 - t) / (1 + t)) shingles, so of d + 1
 parts of the universe at least one is hit by both in exactly the same way. Documents that agree
-on a part share a region; regions that share documents are merged by connected components.
+on a part, and whose sketches do not prove them apart, share a region; regions that share documents are
+merged by connected components.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ BATCH_CHARS = 1 << 20
 BLOCK = 128
 #: Cells of at most this many documents are compared exactly, larger ones get this many pivots.
 LEAF, PIVOTS = 64, 4
+#: Buckets of a sketch at least, and members of a signature whose sketches one task compares with as many others.
+LEAST_SKETCH, SKETCH_BLOCK = 32, 1024
 #: Shingle frequencies are counted in 2 ** this many buckets; parts beyond the least number, as a share of it.
 FREQUENCY_BITS, SPARE = 20, 0.12
 
@@ -57,11 +60,12 @@ def _classes(size: int) -> Callable:
         total = np.zeros((1, 1 << FREQUENCY_BITS), np.int64)
         for pdf in batches:
             for part, values, bounds in _sets(list(pdf.itertuples(index=False, name=None)), size):
-                ids = [class_id(values[a:b]) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                each = np.split(values, bounds[1:-1])
+                ids = [class_id(v) if len(v) else None for v in each]
                 total[0] += np.bincount(_bucket(values), minlength=1 << FREQUENCY_BITS)
-                yield pd.DataFrame({"doc_id": [r[0] for r in part], "n_shingles": pd.array(np.diff(bounds), "Int64"), "cid": pd.array(ids, "Int64"), "model": pd.array([None] * len(part), "Int32"), "block": pd.array([None] * len(part), "Int32"), "counts": None})
+                yield pd.DataFrame({"doc_id": [r[0] for r in part], "n_shingles": pd.array(np.diff(bounds), "Int64"), "cid": pd.array(ids, "Int64"), "sketch": [sketch(v) if len(v) else None for v in each], "model": pd.array([None] * len(part), "Int32"), "block": pd.array([None] * len(part), "Int32"), "counts": None})
         counted = rows_of(total)
-        yield counted.assign(doc_id=None, n_shingles=pd.array([None] * len(counted), "Int64"), cid=pd.array([None] * len(counted), "Int64"))
+        yield counted.assign(doc_id=None, n_shingles=pd.array([None] * len(counted), "Int64"), cid=pd.array([None] * len(counted), "Int64"), sketch=None)
 
     return run
 
@@ -144,22 +148,139 @@ def _signature_rows(size: int, percent: int, common: Broadcast) -> Callable:
     return run
 
 
-def _region_stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by (sig, cid): edges from the first class of a signature to its other ones."""
-    last_sig, last_head = None, None
+def sketch(shingle_set: np.ndarray) -> bytes:
+    """How many shingles fall in each of about an eighth as many buckets (one byte each, a power of two of them)."""
+    length = max(LEAST_SKETCH, 1 << ((len(shingle_set) - 1) // 8).bit_length())
+    at = (shingle_set & np.uint64(length - 1)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=length), 255).astype(np.uint8).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of the least length among them; buckets fold onto each other."""
+    length = min(map(len, sketches))
+    return np.stack([np.frombuffer(s, np.uint8).reshape(-1, length).sum(axis=0, dtype=np.int32) for s in sketches])
+
+
+def may_link(apart: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets whose sketches differ by apart can link; sizes are the sums of their two sizes.
+
+    Every shingle of just one set changes one bucket by one, and clipped or folded buckets
+    differ less, so apart never exceeds the symmetric difference, which links bound from above.
+    """
+    return (100 + percent) * apart <= (100 - percent) * sizes
+
+
+def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows sorted by (sig, cid): the distinct ones of signatures that several classes have, with the first class."""
+    held = None  # the last row, its signature's first class, and whether others came before it
     for pdf in batches:
         sig, cid = pdf["sig"].to_numpy(), pdf["cid"].to_numpy()
+        if held:
+            sig, cid = np.append(held[0], sig), np.append(held[1], cid)
         if not len(sig):
             continue
         fresh = np.ones(len(sig), bool)
-        fresh[1:] = sig[1:] != sig[:-1]
-        fresh[0] = last_sig is None or sig[0] != last_sig
-        at = np.maximum.accumulate(np.where(fresh, np.arange(len(sig)), -1))
-        head = np.where(at >= 0, cid[at], last_head if last_head is not None else 0)
-        last_sig, last_head = sig[-1], head[-1]
-        other = head != cid
-        if other.any():
-            yield pd.DataFrame(np.unique(np.stack([head[other], cid[other]], 1), axis=0), columns=["a", "b"])
+        fresh[1:] = (sig[1:] != sig[:-1]) | (cid[1:] != cid[:-1])
+        sig, cid = sig[fresh], cid[fresh]
+        first = np.ones(len(sig), bool)
+        first[1:] = sig[1:] != sig[:-1]
+        at = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
+        head, later = cid[at], ~first
+        if held:
+            head[at == 0], later[0] = held[2], held[3]
+        met = later | np.append(~first[1:], False)
+        met[-1] = False  # held back until the next row is known
+        held = (sig[-1], cid[-1], head[-1], later[-1])
+        yield pd.DataFrame({"sig": sig[met], "cid": cid[met], "head": head[met]})
+    if held and held[3]:
+        yield pd.DataFrame({"sig": [held[0]], "cid": [held[1]], "head": [held[2]]})
+
+
+def _near_stars(percent: int) -> Callable:
+    """Rows (a, b, with sizes and sketches) -> the edges a-b that the sketches do not refute."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            apart = np.zeros(len(pdf), np.int64)
+            for i, pair in enumerate(zip(pdf["sketch_a"], pdf["sketch_b"], strict=True)):
+                x, y = folded(pair)
+                apart[i] = np.abs(x - y).sum()
+            kept = may_link(apart, (pdf["size_a"] + pdf["size_b"]).to_numpy(np.int64), percent)
+            yield pdf.loc[kept, ["a", "b"]]
+
+    return run
+
+
+def near_edges(cid: np.ndarray, sizes: np.ndarray, sketches: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect all sets of a group which chains of unrefuted pairs connect."""
+    rows = folded(sketches)
+    found = [np.zeros((0, 2), np.int64)]
+    for i in range(len(rows) - 1):
+        j = np.flatnonzero(may_link(np.abs(rows[i + 1 :] - rows[i]).sum(axis=1), sizes[i + 1 :] + sizes[i], percent)) + i + 1
+        found.append(np.stack([np.full(len(j), i), j], 1))
+    pairs = np.concatenate(found)
+    node, root = local_roots(cid[pairs[:, 0]], cid[pairs[:, 1]])
+    return root[node != root], node[node != root]
+
+
+def _near_groups(percent: int) -> Callable:
+    """Of rows sorted by (gid, n, lo, hi): the edges of each such group; one group is in memory at a time."""
+
+    def edges(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        once = {r[4]: r for r in group}
+        return near_edges(np.array(list(once), np.int64), np.array([r[5] for r in once.values()], np.int64), [r[6] for r in once.values()], percent)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group: list[tuple] = []
+        for pdf in batches:
+            done = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for r in pdf[["gid", "n", "lo", "hi", "cid", "size", "sketch"]].itertuples(index=False, name=None):
+                if group and group[-1][:4] != r[:4]:
+                    done.append(edges(group))
+                    group = []
+                group.append(r)
+            a, b = map(np.concatenate, zip(*done, strict=True))
+            yield pd.DataFrame({"a": a, "b": b})
+        if group:
+            a, b = edges(group)
+            yield pd.DataFrame({"a": a, "b": b})
+
+    return run
+
+
+def _dealt(rows: DataFrame, count: str, block: int) -> DataFrame:
+    """Rows (cid, ...) of groups of count rows, in tasks (lo, hi): every two rows of a group meet in one."""
+    blocks = F.ceil(F.col(count) / block).cast("int")
+    each = rows.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return each.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("own", "other")
+
+
+def _regions(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, gid): classes that chains of shared signatures and unrefuted sketches connect.
+
+    Sharing a signature alone would chain documents with common passages into regions that grow
+    with the corpus. First every class meets the head of each of its signatures; signatures that
+    this leaves in several pieces, and that have more members than head and partner, are then
+    compared sketch by sketch.
+    """
+    shared = written(signed.repartition("sig").sortWithinPartitions("sig", "cid").mapInPandas(_shared, "sig long, cid long, head long"), "shared")
+    released(signed.sparkSession)  # the signatures are the largest shuffle of the join
+    sketches = sets.groupBy("cid").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    stars = shared.where("head <> cid").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
+    sides = [sketches.withColumnsRenamed({"cid": end, "size": f"size_{end}", "sketch": f"sketch_{end}"}) for end in "ab"]
+    near = written(stars.join(sides[0], "a").join(sides[1], "b").mapInPandas(_near_stars(percent), "a long, b long"), "near")
+
+    pieces = connected_components(near).withColumnsRenamed({"node": "cid", "component": "piece"})
+    placed = shared.join(pieces, "cid", "left").select("sig", "cid", F.coalesce("piece", "cid").alias("piece"))
+    split = placed.groupBy("sig").agg(F.min("piece").alias("lo"), F.max("piece").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("cid")).alias("members"))
+    groups = split.where("lo <> hi and n > 2").select("sig", F.xxhash64("n", "members").alias("gid"), "n")
+    members = shared.join(groups, "sig").select("gid", "n", "cid").distinct()  # many signatures have the same members
+    tasks = _dealt(members.join(sketches, "cid"), "n", SKETCH_BLOCK)
+    more = tasks.repartition("gid", "n", "lo", "hi").sortWithinPartitions("gid", "n", "lo", "hi").mapInPandas(_near_groups(percent), "a long, b long")
+    regions = written(connected_components(near.unionByName(more)).withColumnsRenamed({"node": "cid", "component": "gid"}), "regions")
+    dropped(shared)
+    dropped(near)
+    return regions
 
 
 def distances(values: np.ndarray, bounds: np.ndarray, pivot: np.ndarray) -> np.ndarray:
@@ -265,25 +386,20 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     """
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     strings = rows.select(F.col("doc_id").cast("string"), "text")
-    both = written(strings.mapInPandas(_classes(size), f"doc_id string, n_shingles long, cid long, {SCHEMA}"), "sets")
-    sets = both.where("block is null").select(F.col("doc_id").cast("long"), "n_shingles", "cid")
+    both = written(strings.mapInPandas(_classes(size), f"doc_id string, n_shingles long, cid long, sketch binary, {SCHEMA}"), "sets")
+    sets = both.where("block is null").select(F.col("doc_id").cast("long"), "n_shingles", "cid", "sketch")
     frequencies = collected(both.where("block is not null").select("model", "block", "counts"), 1, 1 << FREQUENCY_BITS)[0]
     common = docs.sparkSession.sparkContext.broadcast(np.packbits(common_buckets(frequencies)))  # one bit a bucket
     classes = sets.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
     signed = rows.select("text").mapInPandas(_signature_rows(size, percent, common), "sig long, cid long")
-    stars = signed.repartition("sig").sortWithinPartitions("sig", "cid").mapInPandas(_region_stars, "a long, b long")
-    met = written(stars.distinct(), "stars")
-    released(docs.sparkSession)  # the signatures are the largest shuffle of the join
-    regions = written(connected_components(met).withColumnsRenamed({"node": "cid", "component": "gid"}), "regions")
+    regions = _regions(signed, sets.where("cid is not null"), percent)
 
     members = regions.join(regions.groupBy("gid").agg(F.count("*").alias("members")), "gid")
     wanted = members.join(classes.select("cid", F.col("doc_id").alias("rep")), "cid").select("gid", "cid", "members", "rep")
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["rep"])).select("gid", "cid", "members", "text")
     loaded = texts.mapInPandas(_wanted_sets(size), "gid long, cid long, members long, shingles binary")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = loaded.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).select("gid", "cid", "shingles", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    tasks = dealt.select("gid", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cid", "shingles")
+    tasks = _dealt(loaded, "members", BLOCK).drop("members")
     links = tasks.groupBy("gid", "lo", "hi").applyInPandas(_join_region(percent), "a long, b long")
     linked = written(connected_components(links).withColumnsRenamed({"node": "cid", "component": "root"}), "linked")
     dropped(regions)

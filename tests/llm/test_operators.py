@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,48 @@ def test_jaccard_edges(docs):
     assert jaccard_join.jaccard_components(empty(docs)).count() == 0
 
 
+def test_sketches_never_refute_a_link():
+    texts = near_copies(random.Random(10), 200)
+    values, bounds = ngrams.shingles(texts, 5)
+    each = np.split(values, bounds[1:-1])
+    for i, x in enumerate(each):
+        for y in each[:i]:
+            common = len(np.intersect1d(x, y))
+            a, b = jaccard_join.folded([jaccard_join.sketch(x), jaccard_join.sketch(y)])
+            apart = np.abs(a - b).sum()
+            assert apart <= len(x) + len(y) - 2 * common
+            if 100 * common >= 80 * (len(x) + len(y) - common):
+                assert jaccard_join.may_link(apart, len(x) + len(y), 80)
+
+
+def test_shared_rows_across_batches():
+    rng = np.random.default_rng(11)
+    rows = sorted((int(s), int(c)) for s, c in zip(rng.integers(0, 40, 120), rng.integers(0, 6, 120), strict=True))
+    want = {}
+    for s, c in rows:
+        want.setdefault(s, set()).add(c)
+    want = sorted((s, c, min(cs)) for s, cs in want.items() if len(cs) > 1 for c in cs)
+    for size in (1, 2, 7, 120):
+        batches = (pd.DataFrame(rows[i : i + size], columns=["sig", "cid"]) for i in range(0, len(rows), size))
+        got = pd.concat(list(jaccard_join._shared(batches)))
+        assert list(got.itertuples(index=False, name=None)) == want
+
+
+def test_common_passages_do_not_chain_regions(spark, monkeypatch):
+    """Documents that share passages, and copies among them: links stay exact in tiny blocks."""
+    monkeypatch.setattr(jaccard_join, "SKETCH_BLOCK", 3)
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passages = [" ".join(word() for _ in range(60)) for _ in range(3)]
+    texts = [" ".join([*(word() for _ in range(90)), rng.choice(passages)]) for _ in range(60)]
+    texts += [t + " one more" for t in texts[:20]] + [t.replace(" w1", " x1", 2) for t in texts[10:30]]
+    sets = [shingle_set(t, 5) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, 5, 80).collect()}
+    assert got == dict(enumerate(components(len(sets), links)))
+
+
 def test_region_recursion_is_exact():
     values, bounds = ngrams.shingles(near_copies(random.Random(9), 500))
     got = {tuple(sorted(p)) for p in jaccard_join.region_pairs(values, bounds, 85).tolist()}
