@@ -30,7 +30,7 @@ from .components import connected_components, local_roots
 from .counters import SCHEMA, collected, rows_of
 from .ngrams import mix, shingles
 
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 #: Documents of a region that one task compares with as many others; larger regions are dealt out in blocks.
 BLOCK = 128
 #: Cells of at most this many documents are compared exactly, larger ones get this many pivots.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import chunks, table, whole_text
 from .ngrams import char_ngrams
 
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 #: Characters whose n-grams are in the driver's memory together while fitting.
 FIT_CHARS = 1 << 17
 
