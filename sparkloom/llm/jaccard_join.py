@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, dropped, released, table, whole_text, written
@@ -211,30 +211,38 @@ def _near_stars(percent: int) -> Callable:
     return run
 
 
-def near_edges(cid: np.ndarray, sizes: np.ndarray, sketches: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect all sets of a group which chains of unrefuted pairs connect."""
-    rows = folded(sketches)
+def near_edges(piece: np.ndarray, sizes: np.ndarray, sketches: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect all pieces of a group which chains of unrefuted pairs connect.
+
+    Sets of one piece are not compared; the largest piece comes last, where it meets smaller ones only.
+    """
+    _, code, count = np.unique(piece, return_inverse=True, return_counts=True)
+    order = np.lexsort((code, count[code]))
+    piece, sizes, rows = piece[order], sizes[order], folded(sketches)[order]
+    starts = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+    ends = np.append(starts[1:], len(piece))
     found = [np.zeros((0, 2), np.int64)]
-    for i in range(len(rows) - 1):
-        j = np.flatnonzero(may_link(np.abs(rows[i + 1 :] - rows[i]).sum(axis=1), sizes[i + 1 :] + sizes[i], percent)) + i + 1
+    for i in range(ends[-2] if len(ends) > 1 else 0):
+        later = ends[np.searchsorted(ends, i, "right")]
+        j = np.flatnonzero(may_link(np.abs(rows[later:] - rows[i]).sum(axis=1), sizes[later:] + sizes[i], percent)) + later
         found.append(np.stack([np.full(len(j), i), j], 1))
     pairs = np.concatenate(found)
-    node, root = local_roots(cid[pairs[:, 0]], cid[pairs[:, 1]])
+    node, root = local_roots(piece[pairs[:, 0]], piece[pairs[:, 1]])
     return root[node != root], node[node != root]
 
 
 def _near_groups(percent: int) -> Callable:
-    """Of rows sorted by (gid, n, lo, hi): the edges of each such group; one group is in memory at a time."""
+    """Of rows sorted by (gid, n, lo, hi): the edges between the pieces of each such group; one group is in memory at a time."""
 
     def edges(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        once = {r[4]: r for r in group}
-        return near_edges(np.array(list(once), np.int64), np.array([r[5] for r in once.values()], np.int64), [r[6] for r in once.values()], percent)
+        once = list({r[4]: r for r in group}.values())
+        return near_edges(np.array([r[7] for r in once], np.int64), np.array([r[5] for r in once], np.int64), [r[6] for r in once], percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group: list[tuple] = []
         for pdf in batches:
             done = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            for r in pdf[["gid", "n", "lo", "hi", "cid", "size", "sketch"]].itertuples(index=False, name=None):
+            for r in pdf[["gid", "n", "lo", "hi", "cid", "size", "sketch", "piece"]].itertuples(index=False, name=None):
                 if group and group[-1][:4] != r[:4]:
                     done.append(edges(group))
                     group = []
@@ -270,19 +278,27 @@ def _regions(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sides = [sketches.withColumnsRenamed({"cid": end, "size": f"size_{end}", "sketch": f"sketch_{end}"}) for end in "ab"]
     near = written(stars.join(sides[0], "a").join(sides[1], "b").mapInPandas(_near_stars(percent), "a long, b long"), "near")
 
-    pieces = connected_components(near).withColumnsRenamed({"node": "cid", "component": "piece"})
+    pieces = written(connected_components(near).withColumnsRenamed({"node": "cid", "component": "piece"}), "pieces")
     placed = shared.join(pieces, "cid", "left").select("sig", "cid", F.coalesce("piece", "cid").alias("piece"))
     split = placed.groupBy("sig").agg(F.min("piece").alias("lo"), F.max("piece").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("cid")).alias("members"))
     groups = split.where("lo <> hi and n > 2").select("sig", F.xxhash64("n", "members").alias("gid"), "n")
-    members = shared.join(groups, "sig").select("gid", "n", "cid").distinct()  # many signatures have the same members
+    members = placed.join(groups, "sig").select("gid", "n", "cid", "piece").distinct()  # many signatures have the same members
     tasks = _dealt(members.join(sketches, "cid"), "n", SKETCH_BLOCK)
     more = tasks.repartition("gid", "n", "lo", "hi").sortWithinPartitions("gid", "n", "lo", "hi").mapInPandas(_near_groups(percent), "a long, b long")
-    regions = written(connected_components(near.unionByName(more)).withColumnsRenamed({"node": "cid", "component": "gid"}), "regions")
-    dropped(shared)
-    dropped(near)
+    regions = written(_merged(pieces, connected_components(more)).withColumnsRenamed({"piece": "gid"}), "regions")
+    for gone in (shared, near, pieces):
+        dropped(gone)
     return regions
 
 
+def _merged(pieces: DataFrame, merges: DataFrame) -> DataFrame:
+    """(cid, piece) after the components of pieces in merges(node, component); single classes may be pieces of their own."""
+    names = merges.withColumnsRenamed({"node": "piece", "component": "whole"})
+    moved = pieces.join(names, "piece", "left").select("cid", F.coalesce("whole", "piece").alias("piece"))
+    single = merges.select(F.col("node").alias("cid"), F.col("component").alias("piece")).join(pieces.select("cid"), "cid", "left_anti")
+    return moved.unionByName(single)
+
+
 def distances(values: np.ndarray, bounds: np.ndarray, pivot: np.ndarray) -> np.ndarray:
     """Jaccard distance of every set to pivot (sorted)."""
     at = np.minimum(np.searchsorted(pivot, values), len(pivot) - 1)
@@ -347,33 +363,82 @@ def region_pairs(values: np.ndarray, bounds: np.ndarray, percent: int, home: np.
 
 
 def _join_region(percent: int) -> Callable:
+    """Rows (cid, piece, home, shingles) of one task -> edges that join pieces as the links of sets at home do."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("cid").sort_values("cid")
-        cid = pdf["cid"].to_numpy()
+        pdf = pdf.sort_values(["cid", "home"], ascending=[True, False]).drop_duplicates("cid")
+        piece = pdf["piece"].to_numpy()
         sets = [np.frombuffer(b, np.uint64) for b in pdf["shingles"]]
         bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-        pairs = region_pairs(np.concatenate(sets), bounds, percent)
-        if not len(pairs):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        node, root = local_roots(cid[pairs[:, 0]], cid[pairs[:, 1]])
+        pairs = region_pairs(np.concatenate(sets), bounds, percent, pdf["home"].to_numpy(bool))
+        node, root = local_roots(piece[pairs[:, 0]], piece[pairs[:, 1]])
         kept = node != root
         return pd.DataFrame({"a": root[kept], "b": node[kept]})
 
     return run
 
 
+def _block(count: str) -> Column:
+    """The block of a class in a group of count classes."""
+    return F.pmod(F.xxhash64("cid"), F.ceil(F.col(count) / BLOCK)).cast("int")
+
+
+def _first_tasks(loaded: DataFrame) -> DataFrame:
+    """Every block of a region with the region's block 0: rows and tasks grow as the region does."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    each = loaded.withColumn("lo", _block("members"))
+    other = F.when((F.col("lo") == 0) & (blocks > 1), F.sequence(F.lit(1), F.greatest(blocks - 1, F.lit(1)))).otherwise(F.array("lo"))
+    return each.select("gid", F.explode(other).alias("lo"), F.lit(0).alias("hi"), "cid", F.col("cid").alias("piece"), F.lit(True).alias("home"), "shingles")
+
+
+def _rest_tasks(loaded: DataFrame) -> DataFrame:
+    """Every block of the sets outside a region's largest piece with every block of the region."""
+    blocks, strays = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("members", "strays"))
+    at_home = loaded.where("piece <> main").withColumn("lo", _block("strays")).withColumn("hi", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("home", F.lit(True))
+    visits = loaded.withColumn("hi", _block("members")).withColumn("lo", F.explode(F.sequence(F.lit(0), strays - 1))).withColumn("home", F.lit(False))
+    columns = ["gid", "lo", "hi", "cid", "piece", "home", "shingles"]
+    return at_home.select(columns).unionByName(visits.select(columns))
+
+
 def _wanted_sets(size: int) -> Callable:
-    """Rows (gid, cid, others, doc_id, text) -> the shingles of texts whose class is the wanted one."""
+    """Rows (cid, doc_id, text) -> the shingles of texts whose class is the wanted one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part, values, bounds in _sets(list(pdf.itertuples(index=False, name=None)), size):
-                rows = [(gid, cid, others, s.tobytes()) for (gid, cid, others, _), s in zip(part, np.split(values, bounds[1:-1]), strict=True) if len(s) and class_id(s) == cid]
-                yield pd.DataFrame(rows, columns=["gid", "cid", "members", "shingles"])
+                rows = [(*r[:-1], s.tobytes()) for r, s in zip(part, np.split(values, bounds[1:-1]), strict=True) if len(s) and class_id(s) == r[0]]
+                yield pd.DataFrame(rows, columns=[*pdf.columns[:-1], "shingles"])
 
     return run
 
 
+def _linked(rows: DataFrame, regions: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """(cid, root) of all members of regions, joined by exact comparison.
+
+    First every block of a region meets one of its blocks, which already connects the bulk of a
+    class of near copies. Sets still outside a region's largest piece then meet all of it; two
+    sets of one piece need no comparison, so a large class costs no square of its size.
+    """
+
+    def loaded(wanted: DataFrame) -> DataFrame:
+        named = wanted.join(classes.select("cid", F.col("doc_id").alias("rep")), "cid")
+        rest = [f for f in wanted.schema.fields if f.name != "cid"]
+        texts = rows.join(named, rows["doc_id"].eqNullSafe(named["rep"])).select("cid", *(f.name for f in rest), "text")
+        return texts.mapInPandas(_wanted_sets(size), ", ".join(["cid long", *(f"{f.name} long" for f in rest), "shingles binary"]))
+
+    members = regions.join(regions.groupBy("gid").agg(F.count("*").alias("members")), "gid")
+    edges = "a long, b long"
+    first = _first_tasks(loaded(members)).groupBy("gid", "lo", "hi").applyInPandas(_join_region(percent), edges)
+    found = connected_components(first).withColumnsRenamed({"node": "cid", "component": "piece"})
+    pieces = written(members.join(found, "cid", "left").select("cid", "gid", "members", F.coalesce("piece", "cid").alias("piece")), "pieces")
+    counts = pieces.where(F.col("members") > 2 * BLOCK).groupBy("gid", "piece").agg(F.count("*").alias("n"))  # two blocks have met
+    split = counts.groupBy("gid").agg(F.max_by("piece", F.struct("n", "piece")).alias("main"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
+    rest = _rest_tasks(loaded(pieces.join(split, "gid"))).groupBy("gid", "lo", "hi").applyInPandas(_join_region(percent), edges)
+    linked = written(_merged(pieces.select("cid", "piece"), connected_components(rest)).withColumnsRenamed({"piece": "root"}), "linked")
+    dropped(pieces)
+    return linked
+
+
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """Classes of documents linked, directly or through others, by Jaccard similarity >= percent / 100.
 
@@ -395,13 +460,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     signed = rows.select("text").mapInPandas(_signature_rows(size, percent, common), "sig long, cid long")
     regions = _regions(signed, sets.where("cid is not null"), percent)
 
-    members = regions.join(regions.groupBy("gid").agg(F.count("*").alias("members")), "gid")
-    wanted = members.join(classes.select("cid", F.col("doc_id").alias("rep")), "cid").select("gid", "cid", "members", "rep")
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["rep"])).select("gid", "cid", "members", "text")
-    loaded = texts.mapInPandas(_wanted_sets(size), "gid long, cid long, members long, shingles binary")
-    tasks = _dealt(loaded, "members", BLOCK).drop("members")
-    links = tasks.groupBy("gid", "lo", "hi").applyInPandas(_join_region(percent), "a long, b long")
-    linked = written(connected_components(links).withColumnsRenamed({"node": "cid", "component": "root"}), "linked")
+    linked = _linked(rows, regions, classes, size, percent)
     dropped(regions)
 
     heads = classes.join(linked, "cid", "left").select("cid", "doc_id", "n", F.coalesce("root", "cid").alias("root"), F.col("root").isNotNull().alias("many"))

@@ -207,6 +207,7 @@ def test_shared_rows_across_batches():
 def test_common_passages_do_not_chain_regions(spark, monkeypatch):
     """Documents that share passages, and copies among them: links stay exact in tiny blocks."""
     monkeypatch.setattr(jaccard_join, "SKETCH_BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
     rng = random.Random(12)
     word = lambda: f"w{rng.randrange(5000)}"
     passages = [" ".join(word() for _ in range(60)) for _ in range(3)]
@@ -219,6 +220,27 @@ def test_common_passages_do_not_chain_regions(spark, monkeypatch):
     assert got == dict(enumerate(components(len(sets), links)))
 
 
+def test_borderline_regions_split_exactly(spark, monkeypatch):
+    """Copies around the threshold: regions of several blocks that fall into several classes."""
+    monkeypatch.setattr(jaccard_join, "SKETCH_BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = random.Random(13)
+    texts = []
+    for k in range(3):
+        base = [f"b{k}w{i}" for i in range(100)]
+        for _ in range(45):
+            w = list(base)
+            for _ in range(rng.choice([1, 2, 3, 4, 5])):
+                w[rng.randrange(100)] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    sets = [shingle_set(t, 5) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = dict(enumerate(components(len(sets), links)))
+    assert 6 < len(set(want.values())) < len(texts) - 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, 5, 80).collect()} == want
+
+
 def test_region_recursion_is_exact():
     values, bounds = ngrams.shingles(near_copies(random.Random(9), 500))
     got = {tuple(sorted(p)) for p in jaccard_join.region_pairs(values, bounds, 85).tolist()}
