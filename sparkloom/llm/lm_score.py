@@ -1,30 +1,42 @@
 """Cross-entropy difference of two matched n-gram language models.
 
-Both models are interpolated bigram models over one vocabulary of hashed words, with the same
-smoothing; one is counted on the target documents, the other on all documents. Words share
-2 ** word_bits vocabulary entries and bigrams 2 ** pair_bits counters, so the models have a
-fixed size however large the corpus is, and their counts cover all of it.
+Both models are interpolated bigram models over one vocabulary, the distinct words of all
+documents, with the same smoothing; one is counted on the target documents, the other on all
+documents. Words and bigrams are counted by their 64-bit keys, every distinct one by itself, in
+tables that grow with the corpus and are never gathered in one place: chunks of documents ask
+the shards of the key space for the counts of the keys they hold, one row a shard.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, per_text, table, whole_text, with_texts
+from .common import chunks, released, table, whole_text, written
 from .counters import SCHEMA, collected, rows_of
 from .ngrams import mix, words
 
 BATCH_CHARS = 1 << 20
+#: Characters of the documents that ask for their counts together.
+CHUNK_CHARS = 1 << 22
+#: Characters of the corpus whose words, or bigrams, one shard counts on average, and the least number of shards.
+SHARD_CHARS, LEAST_SHARDS = 1 << 25, 256
+#: Parts of the key space that are counted one after the other, so that only one part's keys are on disk at a time.
+ROUNDS = 4
 
 
 @dataclass(frozen=True)
 class Shape:
+    """mixture and smoothing of the models; the bits are those of the fixed-size counters of train() alone."""
+
     word_bits: int = 17
     pair_bits: int = 20
     mixture: float = 0.7
@@ -35,8 +47,8 @@ class Shape:
         return (1 << self.word_bits) + (1 << self.pair_bits)
 
 
-def tokens(texts: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word bucket, bigram bucket and previous word bucket of every token, and each text's first token.
+def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit key of every word and of its bigram, the words that begin a text, and each text's first token.
 
     The first word of a text follows a mark that no word equals.
     """
@@ -45,9 +57,13 @@ def tokens(texts: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.n
     before[1:] = h[:-1]
     starts = first[:-1][np.diff(first) > 0]
     before[starts] = np.uint64(0xD1B54A32D192ED03)
-    shift = np.uint64(64 - shape.word_bits)
-    pair = mix(h + mix(before)) >> np.uint64(64 - shape.pair_bits)
-    return (h >> shift).astype(np.int64), pair.astype(np.int64), (before >> shift).astype(np.int64), first
+    return h, mix(h + mix(before)), starts, first
+
+
+def tokens(texts: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word bucket and bigram bucket of every token, and each text's first token."""
+    h, pair, _, first = keys(texts)
+    return (h >> np.uint64(64 - shape.word_bits)).astype(np.int64), (pair >> np.uint64(64 - shape.pair_bits)).astype(np.int64), first
 
 
 def _counts(shape: Shape) -> Callable:
@@ -55,7 +71,7 @@ def _counts(shape: Shape) -> Callable:
         total = np.zeros((2, shape.cells), np.int64)
         for pdf in batches:
             for part in chunks(list(zip(pdf["target"], pdf["text"], strict=True)), lambda r: len(r[1]), BATCH_CHARS):
-                word, pair, _, first = tokens([t for _, t in part], shape)
+                word, pair, first = tokens([t for _, t in part], shape)
                 target = np.repeat(np.array([t for t, _ in part], bool), np.diff(first))
                 for model, of in ((0, slice(None)), (1, target)):
                     total[model, : 1 << shape.word_bits] += np.bincount(word[of], minlength=1 << shape.word_bits)
@@ -66,38 +82,123 @@ def _counts(shape: Shape) -> Callable:
 
 
 def train(docs: DataFrame, target: Column, shape: Shape = Shape()) -> np.ndarray:
-    """Counts (model, counter) over all rows of docs; model 0 is of all rows, 1 of those where target is true.
+    """Hashed counts (model, counter) over all rows of docs; model 0 is of all rows, 1 of those where target is true.
 
-    Every task sends one sum for each block of counters; the driver gets 2 * cells counters at most.
+    A summary of fixed size, in which keys share counters; the scores do not use it. Every task sends one sum for each block of counters; the driver gets 2 * cells counters at most.
     """
     rows = docs.select(F.coalesce(target, F.lit(False)).alias("target"), whole_text().alias("text"))
     return collected(rows.mapInPandas(_counts(shape), SCHEMA), 2, shape.cells)
 
 
-def probabilities(counts: np.ndarray, word: np.ndarray, pair: np.ndarray, before: np.ndarray, shape: Shape) -> np.ndarray:
-    """P(word | before): mixture of the bigram's relative frequency and a smoothed unigram.
+def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each chunk of documents, numbered within the task."""
+    chunk = TaskContext.get().partitionId() << 32
+    for pdf in batches:
+        rows = list(zip(pdf["doc_id"], pdf["target"], pdf["text"], strict=True))
+        for part in chunks(rows, lambda r: len(r[2]), CHUNK_CHARS):
+            raw = [t.encode() for _, _, t in part]
+            yield pd.DataFrame({"chunk": [chunk], "chars": [sum(map(len, raw))], "doc_ids": [[d for d, _, _ in part]], "targets": [[bool(t) for _, t, _ in part]], "lengths": [[len(r) for r in raw]], "texts": [zlib.compress(b"".join(raw), 1)]})
+            chunk += 1
+
+
+def _texts(row) -> list[str]:
+    data, end = zlib.decompress(row.texts), np.cumsum(row.lengths)
+    return [data[e - n : e].decode() for e, n in zip(end, row.lengths, strict=True)]
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """(model, key) counts in as few bytes each as the largest needs."""
+    small = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+    return bytes([small.itemsize]) + zlib.compress(small.tobytes(), 1)
 
-    Where the previous word was never counted the unigram has all the weight.
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob[1:]), f"u{blob[0]}").reshape(2, -1).astype(np.int64)
+
+
+def _asked(shards: int, part: int) -> Callable:
+    """The distinct keys of each chunk in order and their counts in it, a row for each kind (0 words, 1 bigrams) and shard.
+
+    Only keys in the given one of ROUNDS parts of the shards.
     """
-    size = 1 << shape.word_bits
-    total = counts[:size].sum()
-    single = (counts[word] + shape.smoothing) / (total + shape.smoothing * size)
-    seen = counts[before]
-    double = np.minimum(counts[size + pair], seen) / np.maximum(seen, 1)
-    weight = np.where(seen > 0, shape.mixture, 0.0)
-    return weight * double + (1 - weight) * single
+    shift = np.uint64(64 - (shards - 1).bit_length())
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                word, pair, _, first = keys(_texts(row))
+                target = np.repeat(np.array(row.targets, bool), np.diff(first))
+                for kind, each in enumerate((word, pair)):
+                    inside = (each >> shift) * np.uint64(ROUNDS) // np.uint64(shards) == part
+                    distinct, at = np.unique(each[inside], return_inverse=True)
+                    counts = np.stack([np.bincount(at, minlength=len(distinct)), np.bincount(at[target[inside]], minlength=len(distinct))])
+                    shard, begin = np.unique(distinct >> shift, return_index=True)
+                    cut = [slice(b, e) for b, e in zip(begin, [*begin[1:], len(distinct)], strict=True)]
+                    yield pd.DataFrame({"chunk": row.chunk, "kind": kind, "shard": shard.astype(np.int64), "keys": [distinct[c].tobytes() for c in cut], "counts": [_packed(counts[:, c]) for c in cut]})
 
-def scores(texts: list[str], counts: np.ndarray, shape: Shape) -> pd.DataFrame:
-    word, pair, before, first = tokens(texts, shape)
+    return run
+
+
+def _answer(kind: int, rows: list) -> pd.DataFrame:
+    each = [np.frombuffer(r.keys, np.uint64) for r in rows]
+    distinct, at = np.unique(np.concatenate(each), return_inverse=True)
+    counts = np.concatenate([_unpacked(r.counts) for r in rows], axis=1)
+    total = np.stack([np.bincount(at, weights=c, minlength=len(distinct)) for c in counts]).astype(np.int64)
+    ends = np.cumsum([len(k) for k in each])
+    once = lambda n: [n] + [0] * (len(rows) - 1)
+    answers = [_packed(total[:, at[e - len(k) : e]]) for e, k in zip(ends, each, strict=True)]
+    sums = total.sum(axis=1)
+    return pd.DataFrame({"chunk": [r.chunk for r in rows], "kind": kind, "shard": [r.shard for r in rows], "distinct_keys": once(len(distinct)), "tokens": once(sums[0]), "target_tokens": once(sums[1]), "counts": answers})
+
+
+def _answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The corpus counts of the keys of every asking row, in its order; rows are sorted by kind and shard."""
+    group, rows = None, []
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            if rows and group != (r.kind, r.shard):
+                yield _answer(group[0], rows)
+                rows = []
+            group = (r.kind, r.shard)
+            rows.append(r)
+    if rows:
+        yield _answer(group[0], rows)
+
+
+def losses(texts: list[str], counts: np.ndarray, totals: tuple[int, int], vocabulary: int, shape: Shape) -> pd.DataFrame:
+    """Per-token losses of texts; counts (model, key) are of their distinct words and bigrams, in order.
+
+    P(word | before) is a mixture of the bigram's relative frequency and a smoothed unigram. Where
+    the previous word was never counted the unigram has all the weight.
+    """
+    word, pair, starts, first = keys(texts)
     n = np.diff(first)
+    distinct, word_at = np.unique(word, return_inverse=True)
+    pair_at = np.unique(pair, return_inverse=True)[1] + len(distinct)
     loss = []
     for model in (0, 1):
-        each = np.concatenate([[0.0], np.cumsum(-np.log2(probabilities(counts[model], word, pair, before, shape)))])
+        count = counts[model][word_at]
+        seen = np.concatenate([[0], count])[: len(count)]
+        seen[starts] = 0
+        single = (count + shape.smoothing) / max(totals[model] + shape.smoothing * vocabulary, shape.smoothing)
+        double = counts[model][pair_at] / np.maximum(seen, 1)
+        weight = np.where(seen > 0, shape.mixture, 0.0)
+        each = np.concatenate([[0.0], np.cumsum(-np.log2(weight * double + (1 - weight) * single))])
         loss.append((each[first[1:]] - each[first[:-1]]) / np.maximum(n, 1))
     return pd.DataFrame({"n_words": n, "background_loss": loss[0], "target_loss": loss[1], "score": loss[1] - loss[0]})
 
 
+def _scored(totals: tuple[int, int], vocabulary: int, shape: Shape) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                found = [] if row.counts is None else [_unpacked(c) for c in row.counts]
+                counts = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+                yield losses(_texts(row), counts, totals, vocabulary, shape).assign(doc_id=list(row.doc_ids))
+
+    return run
+
+
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """Per-token losses in bits of every whole text under both models, and target minus background.
 
@@ -106,17 +207,26 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, shape: Shape =
     the target model is uniform. Repeated rows count and score each; other columns are ignored;
     no rows give none.
     """
-    ids = targets.select(F.col("doc_id").cast("long")).distinct().withColumn("is_target", F.lit(True))
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    ids = targets.select(F.col("doc_id").cast("long")).distinct().withColumn("target", F.lit(True))
+    texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     # the same join at every size: the ids grow with the corpus, so they are not to be broadcast
-    counts = train(texts.hint("merge").join(ids, "doc_id", "left"), F.col("is_target"), shape)
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # 2 * shape.cells counters
-
-    def build() -> Callable[[list[str]], pd.DataFrame]:
-        return lambda texts: scores(texts, shared.value, shape)
-
-    schema = "n_words long, background_loss double, target_loss double, score double"
-    return with_texts(docs, [F.col("doc_id").cast("long")], per_text(whole_text(), schema, build, BATCH_CHARS))
+    marked = texts.hint("merge").join(ids, "doc_id", "left").select(F.col("doc_id").cast("string"), F.coalesce("target", F.lit(False)).alias("target"), "text")
+    parts = written(marked.mapInPandas(_chunked, "chunk long, chars long, doc_ids array<string>, targets array<boolean>, lengths array<long>, texts binary"), "lm-chunks")
+    released(docs.sparkSession)
+    chars = parts.agg(F.sum("chars")).first()[0] or 0
+    shards = 1 << (max(LEAST_SHARDS, -(-chars // SHARD_CHARS)) - 1).bit_length()
+    rounds = []
+    for part in range(ROUNDS):
+        asked = parts.mapInPandas(_asked(shards, part), "chunk long, kind int, shard long, keys binary, counts binary")
+        dealt = asked.repartition("kind", "shard").sortWithinPartitions("kind", "shard")
+        rounds.append(written(dealt.mapInPandas(_answered, "chunk long, kind int, shard long, distinct_keys long, tokens long, target_tokens long, counts binary"), "lm-counts"))
+        released(docs.sparkSession)
+    answers = reduce(DataFrame.unionByName, rounds)
+    vocabulary, *totals = (n or 0 for n in answers.where("kind = 0").agg(F.sum("distinct_keys"), F.sum("tokens"), F.sum("target_tokens")).first())
+    # shards are the key space in order, so a chunk's sorted answers are in the order of its sorted keys
+    found = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("kind", "shard", "counts")))["counts"].alias("counts"))
+    scored = parts.select("chunk", "doc_ids", "lengths", "texts").hint("merge").join(found, "chunk", "left").mapInPandas(_scored(tuple(totals), vocabulary, shape), "doc_id string, n_words long, background_loss double, target_loss double, score double")
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
