@@ -10,10 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text
+from .common import per_text, table, whole_text, written
+from .token_counts import Counter
 
 #: Pieces that one task packs together on average.
 SHARD = 2048
+#: Characters whose tokens are counted at once.
+BATCH_CHARS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -27,10 +30,22 @@ class Lengths:
     def cost(self, n: int) -> float:
         return self.fixed + n + n * n * self.quadratic
 
-    def opened(self, size: int, rest: int) -> int:
-        """The length whose cost for each token it can hold is least, given size and rest tokens after it."""
-        fits = [c for c in self.permitted if c >= size]
-        return min(fits, key=lambda c: (self.cost(c) / min(c, size + rest), c))
+    def opened(self, size: int, later: list[int], at: int) -> int:
+        """The length whose cost for each token it comes to hold is least.
+
+        later[at:] are the negated sizes still to be placed, the largest first; each length is
+        filled with size and the largest of them that fit, one after the other.
+        """
+        best = None
+        for c in self.permitted:
+            if c >= size:
+                filled, i = size, bisect_left(later, size - c, at)
+                while i < len(later) and later[i]:
+                    filled -= later[i]
+                    i = bisect_left(later, filled - c, i + 1)
+                price = (self.cost(self.downsized(filled)) / max(filled, 1), c)
+                best = min(best or price, price)
+        return best[1]
 
     def downsized(self, filled: int) -> int:
         return next(c for c in self.permitted if c >= filled)
@@ -45,15 +60,14 @@ def best_fit(sizes: Iterable[int], lengths: Lengths) -> list[tuple[int, int]]:
     """
     sizes = list(sizes)
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    rest, open_, filled, out = sum(sizes), [], [], [(0, 0)] * len(sizes)
-    for i in order:
+    later, open_, filled, out = [-sizes[i] for i in order], [], [], [(0, 0)] * len(sizes)
+    for k, i in enumerate(order, 1):
         size = sizes[i]
-        rest -= size
         at = bisect_left(open_, (size, -1))
         if at < len(open_):
             room, b = open_.pop(at)
         else:
-            room, b = lengths.opened(size, rest), len(filled)
+            room, b = lengths.opened(size, later, k), len(filled)
             filled.append(0)
         out[i] = (b, filled[b])
         filled[b] += size
@@ -79,7 +93,7 @@ def pack(docs: DataFrame, tokens: Column, lengths: Lengths = Lengths()) -> DataF
 
     Pieces are dealt at random (by hash) into shards of about SHARD, each packed on its own, so
     that no task grows with the input and neither a source nor copies gather in one. Inside a shard the
-    permitted lengths are chosen jointly by cost, and in the end every bin shrinks to the
+    permitted lengths are chosen by cost against the pieces still to be placed, and in the end every bin shrinks to the
     least permitted length that holds its contents.
 
     tokens counts the tokens of a row; null counts as 0, and a document of no tokens is one empty
@@ -88,7 +102,9 @@ def pack(docs: DataFrame, tokens: Column, lengths: Lengths = Lengths()) -> DataF
     capacity (length of the bin) and filled (tokens in it).
     """
     longest = max(lengths.permitted)
-    sized = docs.select(F.col("doc_id").cast("long"), F.coalesce(tokens.cast("long"), F.lit(0).cast("long")).alias("total"), F.xxhash64("doc_id", whole_text()).alias("key"))
+    # written, so that tokens are counted once
+    counted = docs.select(F.col("doc_id").cast("long"), F.coalesce(tokens.cast("long"), F.lit(0).cast("long")).alias("total"), F.xxhash64("doc_id", whole_text()).alias("key"))
+    sized = written(counted, "sizes")
     last = F.greatest(F.ceil(F.col("total") / longest).cast("long"), F.lit(1).cast("long")) - 1
     pieces = sized.select("doc_id", "total", "key", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
     n = sized.agg(F.sum(last + 1)).first()[0] or 0
@@ -111,8 +127,24 @@ def byte_tokens() -> Column:
     return F.ceil(F.octet_length(whole_text()) / 4) + 1
 
 
+def model_tokens(model_path: str) -> Column:
+    """Tokens of a text by the sentencepiece model at model_path, and one that ends the document."""
+
+    def build() -> Callable[[list[str]], pd.DataFrame]:
+        count = Counter(model_path)  # of the task, so that its words do not stay in the worker
+        return lambda texts: pd.DataFrame({"n_tokens": count(texts)}, dtype="int64")
+
+    return per_text(whole_text(), "n_tokens long", build, BATCH_CHARS)["n_tokens"] + 1
+
+
+def public_tokens() -> Column:
+    import public_tokenizers
+
+    return model_tokens(public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), byte_tokens())
+    return pack(table(spark, sf_dir, "documents"), public_tokens())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_packing": op8_packing}

@@ -301,9 +301,31 @@ def test_best_fit_order():
     assert placed == [(1, 0), (1, 300), (1, 500), (0, 0)]
 
 
+def test_lengths_are_chosen_against_later_sizes():
+    """No second size fits beside 600 in 1,024; three of them fill a longer bin better."""
+    placed = packing.best_fit([600] * 6, packing.Lengths((1024, 2048)))
+    assert sorted(b for b, _ in placed) == [0, 0, 0, 1, 1, 1]
+    assert {b for b, _ in packing.best_fit([500] * 4, packing.Lengths((512, 1024)))} == {0, 1, 2, 3}
+
+
 tokenizers = pytest.importorskip("public_tokenizers")
 
 
+def test_packing_counts_model_tokens(spark, docs):
+    import sentencepiece
+
+    import corpus_pipeline as cp
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizers.path("piece_bpe_32k.model"))
+    got = collections.Counter()
+    for r in cp.pack(spark, docs, "").collect():
+        got[r.doc_id] += r.n_tokens
+    want = collections.Counter()
+    for d, t in ROWS:
+        want[d] += len(model.encode(t or "")) + 1
+    assert got == want
+
+
 def test_token_counts(docs):
     counter = token_counts.counter_of(tokenizers.path("piece_bpe_32k.model"))
     rows = by_text(token_counts.token_counts(docs, tokenizers.path("piece_bpe_32k.model")))
