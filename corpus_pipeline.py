@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import jaccard_join, packing, secrets, toxicity
-from sparkloom.llm.common import scratch_dir, table
+from sparkloom.llm.common import scratch_dir, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,11 +21,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class linked by shingles of five words at a similarity of 0.8: the smallest doc_id."""
-    classes = jaccard_join.jaccard_components(docs.select("doc_id", "text"), size=5, percent=80).where("doc_id = component_id or component_id is null")
-    kept = classes.select("doc_id").where("doc_id is not null").distinct()
-    # rows without doc_id stay; repeated rows of a doc_id that stays are copies of each other or differ
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """One row of each class linked by shingles of five words at a similarity of 0.8: one with the smallest doc_id, null last.
+
+    Rows are told apart by a number of their own, written with them, so doc_id may repeat or be null.
+    """
+    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_id")), "rows", "zstd")
+    classes = jaccard_join.jaccard_components(rows.select(F.col("row_id").alias("doc_id"), "text"), size=5, percent=80)
+    classes = classes.select(F.col("doc_id").alias("row_id"), F.col("component_id").alias("class_id"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
+    kept = rows.select("row_id", "doc_id").join(classes, "row_id").groupBy("class_id").agg(F.min(order)["row_id"].alias("row_id"))
+    return rows.join(kept, "row_id", "left_semi").select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

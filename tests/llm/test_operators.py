@@ -372,3 +372,14 @@ def test_pipeline_stages(spark):
     want = components(len(sets), links)
     assert sorted(r.doc_id for r in kept) == [i for i in range(len(sets)) if want[i] == i]
     assert cp.mask_secrets(spark, docs, "").columns == cp.COLUMNS
+
+
+def test_near_copies_of_one_doc_id_or_none(spark):
+    """Exact and near copies go whatever their doc_id; different texts and texts without words stay."""
+    import corpus_pipeline as cp
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(7, a), (7, a), (7, b), (3, b + " tail"), (None, a), (None, c), (None, c), (None, None), (9, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text) for r in cp.drop_near_copies(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(7, a), (3, b + " tail"), (None, c), (None, None), (9, "")], key=str)
