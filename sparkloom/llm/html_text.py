@@ -1,11 +1,23 @@
-"""Main text of web pages by composite text density."""
+"""Main text of web pages by composite text density.
+
+The density of an element is its characters a tag, lowered by the links among them (densities()).
+The element whose children's densities have the largest sum holds the main text; what else is at
+least as dense as the least dense element on its path to the body belongs to it (main()).
+
+Density cannot tell some boilerplate from prose: a reader's comment is as dense as an article. Marks
+are a prior for that: elements whose tag, role or whole class or id token names boilerplate have density
+0 and leave no text. An element that holds most of the text is not marked unless an article, main
+or h1 stands outside it.
+"""
 
 from __future__ import annotations
 
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,183 +30,205 @@ BATCH_CHARS = 4 << 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output picture progress q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br".split())
-BOILERPLATE = frozenset("head script style noscript template nav header footer aside form button select option textarea input iframe object embed svg canvas dialog menu fieldset".split())
+TEXTLESS = frozenset("head title script style noscript template select option textarea input iframe object embed svg canvas button".split())
+BOILERPLATE = frozenset("nav header footer aside form dialog menu fieldset".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Where an implied end tag looks no further up.
 SCOPE = frozenset("html body table ul ol dl td th article section main div nav aside header footer form blockquote template".split())
-NEVER_DROPPED = frozenset("html body main article".split())
-# Words of class, id and role that mark boilerplate.
+#: Class, id and role say nothing of these.
+UNMARKED = frozenset("html body main article p h1 h2 h3 h4 h5 h6 blockquote pre table tr td th tbody thead dl dt dd figure".split())
+LANDMARKS = frozenset("article main h1".split())
+# Words of class, id and role that mark boilerplate, and words that say no more beside them.
 MARKERS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
     "header masthead footer sidebar aside complementary contentinfo cookie cookies consent gdpr notice notices alert alerts popup modal dialog newsletter subscribe "
-    "subscription signup login share sharing social related recommended comment comments reply replies disqus widget form search copyright legal hidden pagination pager toolbar".split()
+    "subscription signup login share sharing social related recommended comment comments reply replies disqus widget search copyright pagination pager toolbar".split()
 )
+BESIDE = frozenset("site page top bottom left right main primary secondary box list area block bar wrap wrapper container slot section links items item form thread posts post articles buttons message 1 2 3 4".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 _MARK = re.compile(r"""(?:^|[\s"'/])(?:(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(hidden)(?=[\s/=]|$))""", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
-def _is_boilerplate(tag: str, attributes: str) -> bool:
+@lru_cache(maxsize=1 << 16)
+def names_boilerplate(token: str) -> bool:
+    """Whether a whole class, id or role token is made of marking words and words that say no more."""
+    found = [w for w in re.split("[-_]+", token.lower()) if w]
+    return all(w in MARKERS or w in BESIDE for w in found) and not MARKERS.isdisjoint(found)
+
+
+def _marked(tag: str, attributes: str) -> bool:
     if tag in BOILERPLATE:
         return True
-    if not attributes or tag in NEVER_DROPPED:
+    if not attributes or tag in UNMARKED:
         return False
-    for m in _MARK.finditer(attributes):
-        if m[3] or not MARKERS.isdisjoint(_WORD.findall(m[2].lower())):
-            return True
-    return False
+    return any(names_boilerplate(token) for m in _MARK.finditer(attributes) if m[2] for token in m[2].strip("\"'").split())
+
+
+def _hidden(attributes: str) -> bool:
+    return bool(attributes) and any(m[3] for m in _MARK.finditer(attributes))
 
 
 class Page:
-    """The elements of a page in document order, with what each one's subtree holds."""
+    """The elements of a page in document order, with what each one's subtree holds.
+
+    chars are all characters but white space, tags the elements below, link_chars and link_tags those in links.
+    """
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.end, self.dropped = ["#root"], [-1], [0], [False]
-        self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
+        self.tag, self.parent, self.mark, self.textless = ["#root"], [-1], [False], [False]
+        self.own, self.body = [0], 0
         #: (element, text) in page order; element -1 is a boundary between blocks.
         self.events: list[tuple[int, str]] = []
-        self.body = 0
         self._parse(source)
-        for i in range(len(self.tag) - 1, 0, -1):
-            p = self.parent[i]
-            self.end[i] = max(self.end[i], i + 1)
+        n = len(self.tag)
+        self.end = list(range(1, n + 1))
+        self.chars, self.tags, self.link_chars, self.link_tags, landmarks = list(self.own), [0] * n, [0] * n, [0] * n, [0] * n
+        for i in range(n - 1, 0, -1):
+            p, link = self.parent[i], self.tag[i] == "a"
             self.end[p] = max(self.end[p], self.end[i])
-            if not self.dropped[i]:
-                self.chars[p] += self.chars[i]
-                self.link_chars[p] += self.chars[i] if self.tag[i] == "a" else self.link_chars[i]
+            landmarks[i] += self.tag[i] in LANDMARKS
+            landmarks[p] += landmarks[i]
+            self.chars[p] += self.chars[i]
+            self.link_chars[i] = self.chars[i] if link else self.link_chars[i]
+            self.link_chars[p] += self.link_chars[i]
+            if not self.textless[i]:
                 self.tags[p] += self.tags[i] + 1
-                self.link_tags[p] += self.link_tags[i] + (self.tag[i] == "a")
-        self.end[0] = len(self.tag)
-
-    def _open(self, tag: str, attributes: str, stack: list[int]) -> None:
-        i, p = len(self.tag), stack[-1]
-        self.tag.append(tag)
-        self.parent.append(p)
-        self.end.append(0)
-        self.dropped.append(self.dropped[p] or _is_boilerplate(tag, attributes))
-        for counts in (self.chars, self.tags, self.link_chars, self.link_tags):
-            counts.append(0)
-        stack.append(i)
-        if tag == "body" and not self.body:
-            self.body = i
-
-    def _text(self, text: str, stack: list[int]) -> None:
-        i = stack[-1]
-        if text and not self.dropped[i]:
+                self.link_tags[p] += self.link_tags[i] + link
+        self.dropped = [False] * n
+        for i in range(1, n):
+            most = 2 * self.chars[i] > self.chars[0] and landmarks[i] == landmarks[0]
+            self.dropped[i] = self.dropped[self.parent[i]] or self.textless[i] or (self.mark[i] and not most)
+
+    def _text(self, text: str, i: int) -> None:
+        if text and not self.textless[i]:
             text = html.unescape(text) if "&" in text else text
             self.events.append((i, text))
-            self.chars[i] += len(text) - text.count(" ")
+            self.own[i] += sum(map(len, text.split()))
 
     def _parse(self, source: str) -> None:
         stack, at, boundary = [0], 0, (-1, "")
+        #: depths of the open elements by tag, of those an implied end tag stops at, and of blocks
+        open_, scopes, blocks = defaultdict(list), [0], [0]
+
+        def close(depth: int) -> None:
+            while len(stack) > depth:
+                tag = self.tag[stack.pop()]
+                open_[tag].pop()
+                for kept, depths in ((tag in SCOPE, scopes), (tag not in INLINE, blocks)):
+                    if kept:
+                        depths.pop()
+
         while m := _TOKEN.search(source, at):
             if m.start() > at:
-                self._text(source[at : m.start()], stack)
+                self._text(source[at : m.start()], stack[-1])
             at = m.end()
             slash, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
             if not name or (m[2] is None and not m[0].endswith(">")):
                 continue
             tag = name.lower()
             if tag == "br":
-                self._text(" ", stack)
+                self._text(" ", stack[-1])
                 continue
-            if tag not in INLINE:
+            inline = tag in INLINE
+            if not inline:
                 self.events.append(boundary)
             if slash:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] == tag:
-                        del stack[depth:]
-                        break
-                    if tag in INLINE and self.tag[stack[depth]] not in INLINE:
-                        break
+                if open_[tag] and not (inline and blocks[-1] > open_[tag][-1]):
+                    close(open_[tag][-1])
                 continue
-            closes = CLOSES.get(tag) or (() if tag in INLINE else ("p",))
-            for depth in range(len(stack) - 1, 0, -1):
-                above = self.tag[stack[depth]]
-                if above in closes:
-                    del stack[depth:]
-                    break
-                if above in SCOPE:
-                    break
-            if tag in ("html", "body") and tag in (self.tag[i] for i in stack):
+            if tag in ("html", "body") and open_[tag]:
                 continue
-            self._open(tag, attributes, stack)
-            if tag in VOID or (attributes.endswith("/") and tag in ("svg", "path", "use")):
-                stack.pop()
-            elif tag in RAW:
+            if not inline:
+                last = max([open_[t][-1] for t in CLOSES.get(tag, ("p",)) if open_[t]], default=0)
+                if last and last >= scopes[-1]:
+                    close(last)
+            i, p, depth = len(self.tag), stack[-1], len(stack)
+            self.tag.append(tag)
+            self.parent.append(p)
+            self.own.append(0)
+            self.mark.append(_marked(tag, attributes))
+            self.textless.append(self.textless[p] or tag in TEXTLESS or _hidden(attributes))
+            if tag == "body" and not self.body:
+                self.body = i
+            if tag in RAW:
                 end = _RAW_END[tag].search(source, at)
-                if tag not in BOILERPLATE and tag != "title":
-                    self._text(source[at : end.start() if end else len(source)], stack)
+                self._text(source[at : end.start() if end else len(source)], i)
                 at = end.end() if end else len(source)
-                stack.pop()
-        self._text(source[at:], stack)
+            elif tag not in VOID and not (attributes.endswith("/") and tag in ("svg", "path", "use")):
+                stack.append(i)
+                open_[tag].append(depth)
+                if tag in SCOPE:
+                    scopes.append(depth)
+                if not inline:
+                    blocks.append(depth)
+        self._text(source[at:], stack[-1])
 
     def densities(self) -> list[float]:
-        """Composite text density: characters a tag, lowered by the share of linked text and links.
+        """The composite text density of every element, 0 for marked ones and those without text.
 
-        Non-link characters, link characters and link tags enter the base and the argument of
-        a logarithm, scaled by what the body has of them.
+        C / T * ln(C * T / (LC * LT)) / ln(ln(C * LC / (C - LC) + C * LC_body / C_body + e)), where C
+        characters and T tags are an element's, LC and LT those of links, and counts of 0 are read as 1.
         """
-        whole = max(1, self.chars[self.body])
-        share = self.link_chars[self.body] / whole
-        out = []
-        for c, t, lc, lt in zip(self.chars, self.tags, self.link_chars, self.link_tags, strict=True):
-            t = max(t, 1)
-            if not c:
-                out.append(0.0)
-                continue
-            base = math.log(c * lc / max(1, c - lc) + share * c + math.e)
-            value = c * t / (max(1, lc) * max(1, lt))
-            out.append(c / t * math.log(max(value, 1.0)) / math.log(max(base, math.e) + 1))
-        return out
+        share = self.link_chars[self.body] / max(1, self.chars[self.body])
+        return [0.0 if gone else density(c, t, lc, lt, share) for c, t, lc, lt, gone in zip(self.chars, self.tags, self.link_chars, self.link_tags, self.dropped, strict=True)]
 
-    def main(self) -> int:
-        """The element that holds the main text.
+    def main(self) -> list[int]:
+        """The elements that hold the main text, as a list; a negative number -i - 1 is the own text of element i.
 
-        Of the elements below the body the one with the largest sum of its children's densities
-        is taken, then the highest element on its path to the body that is at least as dense as
-        the body, the least dense element of such a path.
+        First the element below the body with the largest sum of its children's densities, the outermost
+        of equals. An article element around it is the article, and all there is. Else
+        the threshold is the least density on the path to the body, the body included; every element
+        beside the path, and the own text of every element on it, that is as dense belongs to the main text,
+        and so does an h1 beside the path.
         """
-        density = self.densities()
-        sums = [0.0] * len(density)
-        for i in range(1, len(density)):
-            if not self.dropped[i]:
-                sums[self.parent[i]] += density[i]
-        inside = [i for i in range(self.body, self.end[self.body]) if not self.dropped[i]]
-        best = max(inside, key=lambda i: (sums[i], -i)) if inside else self.body
-        path = []
-        while best > self.body:
-            path.append(best)
-            best = self.parent[best]
-        limit = min([density[self.body], *(density[i] for i in path)])
-        dense = [i for i in path if density[i] >= max(limit, density[self.body])]
-        return dense[-1] if dense else self.body
-
-    def link_lists(self, top: int) -> list[bool]:
-        """Marks elements below top that are lists of links."""
-        listed = [False] * len(self.tag)
-        for i in range(top + 1, self.end[top]):
-            if listed[self.parent[i]] or (self.tag[i] in ("ul", "ol", "div", "section", "table") and self.link_tags[i] > 1 and self.link_chars[i] > 0.6 * self.chars[i]):
-                listed[i] = True
-        return listed
+        dense = self.densities()
+        sums = [0.0] * len(dense)
+        for i in range(1, len(dense)):
+            sums[self.parent[i]] += dense[i]
+        best = max((i for i in range(self.body, self.end[self.body]) if not self.dropped[i]), key=lambda i: (sums[i], -i), default=self.body)
+        path = [best]
+        while path[-1] > self.body:
+            path.append(self.parent[path[-1]])
+        around = [i for i in path if self.tag[i] == "article"]
+        if around:
+            return around[-1:]
+        threshold, on_path, found = min(dense[i] for i in path), set(path), [best]
+        share = self.link_chars[self.body] / max(1, self.chars[self.body])
+        for i in path[1:]:
+            if self.own[i] and density(self.own[i], 0, 0, 0, share) >= threshold:
+                found.append(-i - 1)
+        for i in range(self.body + 1, self.end[self.body]):
+            if self.parent[i] in on_path and i not in on_path and self.parent[i] != best and dense[i] and (dense[i] >= threshold or self.tag[i] == "h1"):
+                found.append(i)
+        return found
 
     def text(self) -> str:
-        top = self.main()
-        last, listed = self.end[top], self.link_lists(top)
+        found = set(self.main())
+        whole = [False] * len(self.tag)
+        for i in range(len(whole)):
+            whole[i] = not self.dropped[i] and (i in found or (i > 0 and whole[self.parent[i]]))
         blocks, run = [], []
         for i, piece in self.events:
-            if i >= 0:
-                if top <= i < last and not listed[i]:
-                    run.append(piece)
-            elif run:
-                blocks.append(" ".join("".join(run).split()))
-                run = []
+            if i < 0:
+                if run:
+                    blocks.append(" ".join("".join(run).split()))
+                    run = []
+            elif whole[i] or -i - 1 in found:
+                run.append(piece)
         blocks.append(" ".join("".join(run).split()))
         return "\n".join(b for b in blocks if b)
 
 
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """The composite text density of an element with these counts; share is that of linked characters in the body."""
+    if not chars:
+        return 0.0
+    t, lc, lt, plain = max(1, tags), max(1, link_chars), max(1, link_tags), max(1, chars - link_chars)
+    return chars / t * math.log(max(1.0, chars * t / (lc * lt))) / math.log(math.log(chars * lc / plain + share * chars + math.e))
+
+
 def main_text(source: str | None) -> str:
     return Page(source).text() if source else ""
 
@@ -206,8 +240,9 @@ def _extract(sources: list[str]) -> pd.DataFrame:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """The main text of every page.
 
-    Null or empty html has an empty text; broken markup is read as far as it goes. Repeated rows
-    give repeated results; columns other than page_id, url and html are ignored; no rows give none.
+    Null or empty html has an empty text; broken markup is read as far as it goes, in time linear in
+    the elements however deep they nest. Repeated rows give repeated results; columns other than page_id, url and
+    html are ignored; no rows give none.
     """
     found = with_texts(pages, [F.col("page_id").cast("long"), "url"], per_text(whole_text("html"), "text string", lambda: _extract, BATCH_CHARS))
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, byte_bpe, embedding_join, html_text, jaccard_join, jpeg, lm_score, media, ngrams, packing, secrets, token_counts, toxicity
+from sparkloom.llm import bpe, byte_bpe, embedding_join, jaccard_join, jpeg, lm_score, media, ngrams, packing, secrets, token_counts, toxicity
 from sparkloom.llm.components import connected_components
 
 LONG = "lorem ipsum dolor " * 20000
@@ -351,14 +351,6 @@ def test_byte_bpe(docs):
     assert [x.tolist() for x in own.encode_pieces(pieces)] == [library._encode_single_piece(p) for p in pieces]
 
 
-def test_html(spark):
-    page = "<html><body><nav><a href=x>menu</a></nav><article><h1>T &amp; t</h1><p><b>Bold.<br><p>Two\n lines <a href=y>link</a></article><div class='ad'>buy</div><div id=comments>mine</div><footer>f</footer>"
-    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (3, "u", ""), (4, "u", "<p>broken <b")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract_pages(df).collect())
-    assert got == [(1, "T & t\nBold.\nTwo lines link", 26), (2, "", 0), (3, "", 0), (3, "", 0), (4, "broken", 6)]
-
-
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
