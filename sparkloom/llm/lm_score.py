@@ -1,8 +1,18 @@
 """Cross-entropy difference of two matched n-gram language models.
 
-Both models are interpolated bigram models over one vocabulary, the distinct words of all
-documents, with the same smoothing; one is counted on the target documents, the other on all
-documents. Words and bigrams are counted by their 64-bit keys, every distinct one by itself, in
+A text of n words is n + 1 tokens, its words and a mark that ends it; the context of a token is the
+one before it, that of the first the mark. Both models share one vocabulary, the distinct tokens
+of all documents and one unknown word, their order and their smoothing. The target model is counted on the
+target documents, the background model on all others. Their sizes are matched without leaving
+documents out: the counts of the larger one are scaled down to as many tokens as the smaller one has. A
+document is scored by what is left when its own tokens are taken out of the counts, so no
+text is predicted from itself. For a word w after b, with scaled counts c and their sum N,
+
+    P(w) = (c(w) + unigram) / (N + unigram * V)         P(w | b) = (c(b, w) + context * P(w)) / (c(b) + context)
+
+where V counts the vocabulary; both sum to 1 over it.
+
+Words and bigrams are counted by their 64-bit keys, every distinct one by itself, in
 tables that grow with the corpus and are never gathered in one place: chunks of documents ask
 the shards of the key space for the counts of the keys they hold, one row a shard.
 """
@@ -13,15 +23,15 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, released, table, whole_text, written
-from .counters import SCHEMA, collected, rows_of
 from .ngrams import mix, words
 
 BATCH_CHARS = 1 << 20
@@ -33,61 +43,37 @@ SHARD_CHARS, LEAST_SHARDS = 1 << 25, 256
 ROUNDS = 4
 
 
-@dataclass(frozen=True)
-class Shape:
-    """mixture and smoothing of the models; the bits are those of the fixed-size counters of train() alone."""
+#: Ends every text and stands before its first word; no word has this key.
+MARK = np.uint64(0xD1B54A32D192ED03)
 
-    word_bits: int = 17
-    pair_bits: int = 20
-    mixture: float = 0.7
-    smoothing: float = 0.5
 
-    @property
-    def cells(self) -> int:
-        return (1 << self.word_bits) + (1 << self.pair_bits)
+@dataclass(frozen=True)
+class Smoothing:
+    """Counts added to every word of the vocabulary, and the weight of the unigrams in every context."""
+
+    unigram: float = 0.5
+    context: float = 2.0
 
 
 def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit key of every word and of its bigram, the words that begin a text, and each text's first token.
+    """64-bit key of every token and of its bigram, the position of its context, and each text's first token.
 
-    The first word of a text follows a mark that no word equals.
+    The mark that ends a text is its last token, and the context of its first; a text without words has no tokens.
     """
     h, first = words(texts)
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    starts = first[:-1][np.diff(first) > 0]
-    before[starts] = np.uint64(0xD1B54A32D192ED03)
-    return h, mix(h + mix(before)), starts, first
-
-
-def tokens(texts: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word bucket and bigram bucket of every token, and each text's first token."""
-    h, pair, _, first = keys(texts)
-    return (h >> np.uint64(64 - shape.word_bits)).astype(np.int64), (pair >> np.uint64(64 - shape.pair_bits)).astype(np.int64), first
-
-
-def _counts(shape: Shape) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, shape.cells), np.int64)
-        for pdf in batches:
-            for part in chunks(list(zip(pdf["target"], pdf["text"], strict=True)), lambda r: len(r[1]), BATCH_CHARS):
-                word, pair, first = tokens([t for _, t in part], shape)
-                target = np.repeat(np.array([t for t, _ in part], bool), np.diff(first))
-                for model, of in ((0, slice(None)), (1, target)):
-                    total[model, : 1 << shape.word_bits] += np.bincount(word[of], minlength=1 << shape.word_bits)
-                    total[model, 1 << shape.word_bits :] += np.bincount(pair[of], minlength=1 << shape.pair_bits)
-        yield rows_of(total)
-
-    return run
-
+    n = np.diff(first)
+    full = n > 0
+    token = np.insert(h, first[1:][full], MARK)
+    start = np.concatenate([[0], np.cumsum(n + full)])
+    before = np.arange(-1, len(token) - 1)
+    before[start[:-1][full]] = start[1:][full] - 1
+    return token, mix(token + mix(token[before])), before, start
 
-def train(docs: DataFrame, target: Column, shape: Shape = Shape()) -> np.ndarray:
-    """Hashed counts (model, counter) over all rows of docs; model 0 is of all rows, 1 of those where target is true.
 
-    A summary of fixed size, in which keys share counters; the scores do not use it. Every task sends one sum for each block of counters; the driver gets 2 * cells counters at most.
-    """
-    rows = docs.select(F.coalesce(target, F.lit(False)).alias("target"), whole_text().alias("text"))
-    return collected(rows.mapInPandas(_counts(shape), SCHEMA), 2, shape.cells)
+def own_counts(at: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """How often the key of each token, numbered by at, occurs in its own text."""
+    _, code, count = np.unique(text * (int(at.max(initial=0)) + 1) + at, return_inverse=True, return_counts=True)
+    return count[code]
 
 
 def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,14 +112,14 @@ def _asked(shards: int, part: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                word, pair, _, first = keys(_texts(row))
-                target = np.repeat(np.array(row.targets, bool), np.diff(first))
+                word, pair, _, start = keys(_texts(row))
+                target = np.repeat(np.array(row.targets, bool), np.diff(start))
                 for kind, each in enumerate((word, pair)):
                     inside = (each >> shift) * np.uint64(ROUNDS) // np.uint64(shards) == part
                     distinct, at = np.unique(each[inside], return_inverse=True)
                     counts = np.stack([np.bincount(at, minlength=len(distinct)), np.bincount(at[target[inside]], minlength=len(distinct))])
                     shard, begin = np.unique(distinct >> shift, return_index=True)
-                    cut = [slice(b, e) for b, e in zip(begin, [*begin[1:], len(distinct)], strict=True)]
+                    cut = [slice(b, e) for b, e in pairwise([*begin, len(distinct)])]
                     yield pd.DataFrame({"chunk": row.chunk, "kind": kind, "shard": shard.astype(np.int64), "keys": [distinct[c].tobytes() for c in cut], "counts": [_packed(counts[:, c]) for c in cut]})
 
     return run
@@ -165,47 +151,51 @@ def _answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _answer(group[0], rows)
 
 
-def losses(texts: list[str], counts: np.ndarray, totals: tuple[int, int], vocabulary: int, shape: Shape) -> pd.DataFrame:
-    """Per-token losses of texts; counts (model, key) are of their distinct words and bigrams, in order.
+def losses(texts: list[str], targets: np.ndarray, counts: np.ndarray, totals: tuple[int, int], vocabulary: int, smoothing: Smoothing) -> pd.DataFrame:
+    """Per-token losses of texts, of which targets are target documents.
 
-    P(word | before) is a mixture of the bigram's relative frequency and a smoothed unigram. Where
-    the previous word was never counted the unigram has all the weight.
+    counts (all documents or target documents, key) are of the texts' distinct words and bigrams, in
+    order; totals are the tokens of all and of target documents.
     """
-    word, pair, starts, first = keys(texts)
-    n = np.diff(first)
+    word, pair, before, start = keys(texts)
+    n = np.diff(start)
+    text = np.repeat(np.arange(len(texts)), n)
     distinct, word_at = np.unique(word, return_inverse=True)
-    pair_at = np.unique(pair, return_inverse=True)[1] + len(distinct)
-    loss = []
-    for model in (0, 1):
-        count = counts[model][word_at]
-        seen = np.concatenate([[0], count])[: len(count)]
-        seen[starts] = 0
-        single = (count + shape.smoothing) / max(totals[model] + shape.smoothing * vocabulary, shape.smoothing)
-        double = counts[model][pair_at] / np.maximum(seen, 1)
-        weight = np.where(seen > 0, shape.mixture, 0.0)
-        each = np.concatenate([[0.0], np.cumsum(-np.log2(weight * double + (1 - weight) * single))])
-        loss.append((each[first[1:]] - each[first[:-1]]) / np.maximum(n, 1))
-    return pd.DataFrame({"n_words": n, "background_loss": loss[0], "target_loss": loss[1], "score": loss[1] - loss[0]})
-
-
-def _scored(totals: tuple[int, int], vocabulary: int, shape: Shape) -> Callable:
+    pair_at = np.unique(pair, return_inverse=True)[1]
+    own = {"word": own_counts(word_at, text), "pair": own_counts(pair_at, text)}
+    tokens = {"background_loss": totals[0] - totals[1], "target_loss": totals[1]}
+    size = min([t for t in tokens.values() if t], default=0)
+    loss = {}
+    for name, total in tokens.items():
+        mine = (targets == (name == "target_loss"))[text]
+        scale = size / max(total, 1)
+        of = lambda at, which: scale * ((counts[1] if name == "target_loss" else counts[0] - counts[1])[at] - np.where(mine, own[which], 0))  # noqa: B023, E731
+        once = of(word_at, "word")
+        single = (once + smoothing.unigram) / (scale * (total - np.where(mine, n[text], 0)) + smoothing.unigram * vocabulary)
+        p = (of(pair_at + len(distinct), "pair") + smoothing.context * single) / (once[before] + smoothing.context)
+        each = np.concatenate([[0.0], np.cumsum(-np.log2(p))])
+        loss[name] = (each[start[1:]] - each[start[:-1]]) / np.maximum(n, 1)
+    return pd.DataFrame({"n_words": n - (n > 0), **loss, "score": loss["target_loss"] - loss["background_loss"]})
+
+
+def _scored(totals: tuple[int, int], vocabulary: int, smoothing: Smoothing) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 found = [] if row.counts is None else [_unpacked(c) for c in row.counts]
                 counts = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
-                yield losses(_texts(row), counts, totals, vocabulary, shape).assign(doc_id=list(row.doc_ids))
+                yield losses(_texts(row), np.array(row.targets, bool), counts, totals, vocabulary, smoothing).assign(doc_id=list(row.doc_ids))
 
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, shape: Shape = Shape()) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, smoothing: Smoothing = Smoothing()) -> DataFrame:
     """Per-token losses in bits of every whole text under both models, and target minus background.
 
     Low scores read like the target documents, those whose doc_id is in targets. A null, empty or
-    wordless text has 0 words and scores 0. A null doc_id is no target; without target documents
-    the target model is uniform. Repeated rows count and score each; other columns are ignored;
-    no rows give none.
+    wordless text has 0 words and scores 0. A null doc_id is no target; a model without documents
+    is uniform. Repeated rows count and score each, and each is predicted by the others; other columns are
+    ignored; no rows give none.
     """
     ids = targets.select(F.col("doc_id").cast("long")).distinct().withColumn("target", F.lit(True))
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
@@ -225,7 +215,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, shape: Shape =
     vocabulary, *totals = (n or 0 for n in answers.where("kind = 0").agg(F.sum("distinct_keys"), F.sum("tokens"), F.sum("target_tokens")).first())
     # shards are the key space in order, so a chunk's sorted answers are in the order of its sorted keys
     found = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("kind", "shard", "counts")))["counts"].alias("counts"))
-    scored = parts.select("chunk", "doc_ids", "lengths", "texts").hint("merge").join(found, "chunk", "left").mapInPandas(_scored(tuple(totals), vocabulary, shape), "doc_id string, n_words long, background_loss double, target_loss double, score double")
+    scored = parts.select("chunk", "doc_ids", "targets", "lengths", "texts").hint("merge").join(found, "chunk", "left").mapInPandas(_scored(tuple(totals), vocabulary + 1, smoothing), "doc_id string, n_words long, background_loss double, target_loss double, score double")
     return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

@@ -1,7 +1,6 @@
 import base64
 import collections
 import hashlib
-import math
 import random
 import re
 import zlib
@@ -11,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, byte_bpe, embedding_join, jaccard_join, jpeg, lm_score, media, ngrams, packing, secrets, token_counts, toxicity
+from sparkloom.llm import bpe, byte_bpe, embedding_join, jaccard_join, jpeg, media, ngrams, packing, secrets, token_counts, toxicity
 from sparkloom.llm.components import connected_components
 
 LONG = "lorem ipsum dolor " * 20000
@@ -99,45 +98,6 @@ def test_toxicity(spark, docs):
     assert {r.score for r in toxicity.toxicity(docs, made.select("doc_id", "toxic").limit(0)).collect()} == {0.5}
 
 
-def test_lm_score(docs):
-    rows = by_text(lm_score.cross_entropy_difference(docs, docs.where("doc_id = 5").select("doc_id")))
-    assert [r.n_words for r in rows] == [len(re.findall("[^ \t-\r]+", t)) for _, t in ORDERED]
-    assert rows[0].score == 0 and next(r for r in rows if r.doc_id == 5).score < next(r for r in rows if r.doc_id == 6).score
-    shape = lm_score.Shape()
-    counts = lm_score.train(docs, F.lit(False), shape)
-    assert counts[0, : 1 << shape.word_bits].sum() == sum(r.n_words for r in rows) and counts[1].sum() == 0
-
-
-def test_lm_score_counts_every_key(spark):
-    """As exact counts of all words and bigrams give it, however many there are."""
-    rng = random.Random(4)
-    rows = [(i, " ".join(f"w{rng.randrange(60_000)}" for _ in range(600))) for i in range(300)] + [(300, "Same same same"), (None, "w1 w2"), (301, " ")]
-    goal = {i for i in range(0, 300, 3)}
-    got = lm_score.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame([(i,) for i in goal], "doc_id long"))
-    seqs = [(d, t.lower().split()) for d, t in rows]
-    tables = []
-    for chosen in (lambda d: True, lambda d: d in goal):
-        single, double = collections.Counter(), collections.Counter()
-        for d, ws in seqs:
-            if chosen(d):
-                single.update(ws)
-                double.update(zip(ws, ws[1:], strict=False))
-        tables.append((single, double, single.total()))
-    size = len(tables[0][0])
-    for r in got.collect():
-        ws = next(w for d, w in seqs if d == r.doc_id)
-        want = []
-        for single, double, total in tables:
-            loss = 0.0
-            for a, w in zip([None, *ws], ws, strict=False):
-                p = (single[w] + 0.5) / (total + 0.5 * size)
-                loss -= math.log2(0.7 * double[a, w] / single[a] + 0.3 * p if single[a] else p)
-            want.append(loss / max(len(ws), 1))
-        assert r.n_words == len(ws)
-        assert np.allclose([r.background_loss, r.target_loss, r.score], [*want, want[1] - want[0]])
-    assert got.count() == len(rows)
-
-
 def components(n, links):
     root = list(range(n))
     for _ in range(n):
