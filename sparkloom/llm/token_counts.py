@@ -21,9 +21,10 @@ class Counter:
     """Counts tokens pre-token by pre-token.
 
     A pre-token is a run of word marks (the model writes a space so, and puts one before the text) and the
-    characters up to the next one. The constructor proves on the vocabulary that this split
-    is exact: no piece has a mark after another character, so no merge can cross a boundary.
-    It also proves which pieces encode alone as one token; those pre-tokens are just counted.
+    characters up to the next one; it is named by what follows its first mark. Without marks, doubled or
+    leading spaces in a text, pre-tokens are what lies between single spaces. The constructor proves on
+    the vocabulary that this split is exact: no piece has a mark after another character, so no merge
+    can cross a boundary. It also proves which pieces encode alone as one token; those are just counted.
     """
 
     def __init__(self, path: str):
@@ -37,30 +38,34 @@ class Counter:
         probe = f"a  b {mark}c"
         if "".join(self.model.encode(probe, out_type=str)) != mark + probe.replace(" ", mark):
             raise ValueError("the model normalises its input; pre-tokens cannot be cut from the raw text")
-        candidates = [p for p in pieces if p.startswith(mark)]
-        alone = self.model.encode([p[1:].replace(mark, " ") for p in candidates], num_threads=1)
-        self.single = dict.fromkeys((p for p, ids in zip(candidates, alone, strict=True) if len(ids) == 1 and p != mark), 1)
-        self.split = re.compile(f"{mark}+[^{mark}]*").findall
+        candidates = [p[1:] for p in pieces if p.startswith(mark) and p != mark]
+        alone = self.model.encode([p.replace(mark, " ") for p in candidates], num_threads=1)
+        self.single = {p: 1 for p, ids in zip(candidates, alone, strict=True) if len(ids) == 1} | {"": 1}  # a mark alone is a piece
+        self.runs = re.compile(f"{mark}+[^{mark}]*").findall
         self.mark = mark
         self.known: dict[str, int] = dict(self.single)
 
-    def _merge(self, rest: list[str]) -> dict[str, int]:
-        """Tokens of pre-tokens that are not one token; the leading mark is the one the model adds."""
-        counts = map(len, self.model.encode([p[1:] if len(p) > 1 else p for p in rest], num_threads=1))
-        return {p: n if len(p) > 1 else 1 for p, n in zip(rest, counts, strict=True)}
+    def _split(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if "  " in text or self.mark in text or text[0] == " ":
+            return [p[1:] for p in self.runs(self.mark + text.replace(" ", self.mark))]
+        return text.split(" ")
 
     def __call__(self, texts: list[str]) -> list[int]:
-        split = [self.split(self.mark + t.replace(" ", self.mark)) if t else [] for t in texts]
+        split = [self._split(t) for t in texts]
         needed = set().union(*split)
-        rest = [p for p in needed if p not in self.known]
+        rest = list(needed.difference(self.known))
         if len(self.known) + len(rest) > REMEMBERED + len(self.single):
             self.known = dict(self.single)
-            rest = [p for p in needed if p not in self.known]
-        made = self._merge(rest)
-        self.known |= {p: n for p, n in made.items() if len(p) <= LONGEST}
-        long = {p: n for p, n in made.items() if len(p) > LONGEST}
-        get = self.known.get
-        return [sum([get(p) or long[p] for p in pieces]) for pieces in split]
+            rest = list(needed.difference(self.known))
+        made = dict(zip(rest, map(len, self.model.encode(rest, num_threads=1)), strict=True))
+        self.known |= made
+        counts = [sum(map(self.known.__getitem__, pieces)) for pieces in split]
+        for p in made:
+            if len(p) > LONGEST:
+                del self.known[p]
+        return counts
 
 
 @lru_cache(maxsize=2)
