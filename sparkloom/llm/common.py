@@ -56,7 +56,7 @@ def released(spark: SparkSession) -> None:
 
 
 def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by written() that no later plan reads."""
+    """Delete the files of a table made by written() that no later plan reads; other tables are left alone."""
     path = getattr(df, "_loom_path", None)
     if path:
         spark = df.sparkSession
@@ -97,3 +97,32 @@ def per_text(text: Column, schema: str, build: Callable[[], Callable[[list[str]]
 def with_texts(docs: DataFrame, keys: list[str | Column], result: Column) -> DataFrame:
     """The keys and the fields of result for every row."""
     return docs.select(*keys, result.alias("r")).select("*", "r.*").drop("r")
+
+
+#: A key is frequent if it holds more than one in this many rows, and more than this many rows.
+FREQUENT_SHARE, FREQUENT_ROWS = 1000, 128
+
+
+def frequent(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that hold over a thousandth of the rows of df each: fewer than FREQUENT_SHARE rows, whatever its size."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_total"))
+    return counts.join(F.broadcast(total)).where((F.col("_n") > FREQUENT_ROWS) & (F.col("_n") * FREQUENT_SHARE > F.col("_total"))).select(*keys)
+
+
+def evenly_joined(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "left", hot: DataFrame | None = None) -> DataFrame:
+    """left joined to right, which has one row a key, so that no key gathers more than about a thousandth of left in one task.
+
+    Rows of frequent keys meet their partner in a broadcast of fewer than FREQUENT_SHARE rows; the
+    others are joined by key, and the frequent ones are dealt there by the columns spread. hot are the
+    frequent keys, if the caller knows them. how is left or inner; null keys find nothing.
+    """
+    rest = [c for c in right.columns if c not in keys]
+    hot = frequent(left, keys) if hot is None else hot
+    few = right.join(F.broadcast(hot), keys, "left_semi").select(*keys, F.struct(*rest).alias("_hot"))
+    marked = left.join(F.broadcast(few), keys, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*spread), F.lit(1 << 20))).cast("long"))
+    plain = right.select(*keys, F.lit(0).cast("long").alias("_salt"), F.struct(*rest).alias("_rest"))
+    both = marked.join(plain, [*keys, "_salt"], "left").withColumn("_got", F.coalesce("_hot", "_rest"))
+    if how == "inner":
+        both = both.where("_got is not null")
+    return both.select(*left.columns, *[F.col("_got")[c].alias(c) for c in rest])

@@ -1,10 +1,14 @@
 """Near-duplicate vectors by an epsilon grid order join within equal labels.
 
 Unit vectors with cosine >= c are at most e = sqrt(2 - 2c) apart, and so are their projections
-on any orthonormal directions. The grid has cells of side e on the leading principal
+on any orthonormal directions. The grid has cells of side e / 2 on the leading principal
 directions; vectors sorted by label and cell form one long sequence, cut into partitions
 and blocks with bounding boxes. Intervals of the sequence are joined recursively, and two
 intervals whose boxes are over e apart are skipped.
+
+What is skipped depends on how the variance falls from direction to direction: of 20,000 vectors of 64 dimensions
+under one label, 60 % of the block pairs if it falls as 1 / i, 71 % if as i ** -1.5, but 2 % if it is the
+same in all, where no bound on boxes separates the blocks.
 """
 
 from __future__ import annotations
@@ -16,11 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import dropped, evenly_joined, table, written
 from .components import connected_components, local_roots
 
-#: Principal directions of the grid, vectors a block, and vectors sampled to find the directions.
-DIRECTIONS, BLOCK, SAMPLE = 3, 64, 4096
+#: Principal directions of the grid, cells a reach, vectors a block, vectors a partition on average, and vectors sampled to find the directions.
+DIRECTIONS, FINE, BLOCK, PART, SAMPLE = 4, 2, 64, 4096, 4096
 _SLACK = 1e-9
 
 
@@ -37,13 +41,12 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def principal_directions(classes: DataFrame) -> dict[int, np.ndarray]:
+def principal_directions(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
     """Leading principal directions for each length of vectors, from a bounded sample.
 
     They only decide how well the grid separates; any orthonormal directions give the same links.
     """
-    n = max(1, classes.count())
-    share = F.pmod(F.col("h1"), F.lit(1 << 30)).cast("double") < (1 << 30) * min(1.0, SAMPLE / n)
+    share = F.pmod(F.col("h1"), F.lit(1 << 30)).cast("double") < (1 << 30) * min(1.0, SAMPLE / max(1, n))
     by_length: dict[int, list] = {}
     for r in classes.where(share).select("embedding").limit(4 * SAMPLE).collect():
         by_length.setdefault(len(r[0]), []).append(r[0])
@@ -68,20 +71,22 @@ def _project(axes: dict[int, np.ndarray], reach: float) -> Callable:
                 out = pd.DataFrame({"cid": part["cid"].to_numpy(), "label": part["label"].to_numpy(), "dim": dim, "n": part["n"].to_numpy(), "vector": [r.tobytes() for r in u]})
                 for k, name in enumerate(names):
                     out[name] = x[:, k]
-                    out[f"c{k}"] = np.floor(x[:, k] / reach).astype(np.int64)
+                    out[f"c{k}"] = np.floor(x[:, k] * FINE / reach).astype(np.int64)
                 yield out
 
     return run
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs of at most BLOCK rows of the sequence with equal label and dim, with their boxes."""
+    """Runs of at most BLOCK rows of the sequence with equal label and dim, numbered in its order, with their boxes."""
+    seq = 0
     for pdf in batches:
         change = (pdf["label"].ne(pdf["label"].shift()) | pdf["dim"].ne(pdf["dim"].shift())).cumsum()
         place = pdf.groupby(change).cumcount() // BLOCK
         rows = []
         for _, part in pdf.groupby([change, place], sort=False):
-            row = {"label": part["label"].iloc[0], "dim": part["dim"].iloc[0], "cids": part["cid"].to_numpy(np.int64).tobytes(), "ns": part["n"].to_numpy(np.int64).tobytes(), "vectors": b"".join(part["vector"])}
+            seq += 1
+            row = {"seq": seq, "label": part["label"].iloc[0], "dim": part["dim"].iloc[0], "cids": part["cid"].to_numpy(np.int64).tobytes(), "ns": part["n"].to_numpy(np.int64).tobytes(), "vectors": b"".join(part["vector"])}
             for k in range(DIRECTIONS):
                 row[f"lo{k}"], row[f"hi{k}"] = part[f"x{k}"].min(), part[f"x{k}"].max()
             rows.append(row)
@@ -117,7 +122,7 @@ def _join(cosine: float) -> Callable:
     reach = float(np.sqrt(2 - 2 * cosine))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "lo0", "lo1", "lo2", "cids"], kind="stable")
+        pdf = pdf.sort_values(["side", "seq"], kind="stable")
         lo, hi = (pdf[[f"{w}{k}" for k in range(DIRECTIONS)]].to_numpy(np.float64) for w in ("lo", "hi"))
         dim, side = int(pdf["dim"].iloc[0]), pdf["side"].to_numpy()
         cids = [np.frombuffer(b, np.int64) for b in pdf["cids"]]
@@ -156,7 +161,9 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     null or non-finite components, and rows without label, link with nothing; vectors of different lengths
     don't link. Returns one row per input row, repeated rows included: vec_id, n_links (other
     rows linked directly), component_id (smallest vec_id reachable, nulls aside) and kept
-    (vec_id = component_id; null for a null vec_id). Other columns are ignored.
+    (vec_id = component_id; null for a null vec_id). Other columns are ignored. A label's sequence is cut into
+    partitions of about PART vectors, and a task compares two of them; copies of one vector, and the
+    members of one component, however many, meet their result in no one task.
     """
     reach = float(np.sqrt(2 - 2 * cosine))
     good = usable(F.col("embedding"), F.col("label"))
@@ -169,10 +176,11 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "vectors")
 
     coordinates = ", ".join(f"x{k} double, c{k} long" for k in range(DIRECTIONS))
-    placed = classes.select("cid", "label", "n", "embedding").mapInPandas(_project(principal_directions(classes), reach), f"cid long, label string, dim int, n long, vector binary, {coordinates}")
+    size = classes.count()
+    placed = classes.select("cid", "label", "n", "embedding").mapInPandas(_project(principal_directions(classes, size), reach), f"cid long, label string, dim int, n long, vector binary, {coordinates}")
     order = ["label", "dim", *[f"c{k}" for k in range(DIRECTIONS)], "cid"]
     boxes = ", ".join(f"lo{k} double, hi{k} double" for k in range(DIRECTIONS))
-    sequence = placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_blocks, f"label string, dim int, cids binary, ns binary, vectors binary, {boxes}")
+    sequence = placed.repartitionByRange(max(8, -(-size // PART)), *order).sortWithinPartitions(*order).mapInPandas(_blocks, f"seq long, label string, dim int, cids binary, ns binary, vectors binary, {boxes}")
     blocks = written(sequence.withColumn("part", F.spark_partition_id()), "blocks")
 
     extent = [f(f"{w}{k}").alias(f"{w}{k}") for k in range(DIRECTIONS) for w, f in (("lo", F.min), ("hi", F.max))]
@@ -186,13 +194,16 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     found = written(first.unionByName(second).groupBy("label", "dim", "pa", "pb").applyInPandas(_join(cosine), "cid long, degree long, root long"), "links")
 
     degrees = found.groupBy("cid").agg(F.sum("degree").alias("degree"))
-    components = connected_components(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "cid", "component": "root"})
+    pieces = connected_components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    components = pieces.withColumnsRenamed({"node": "cid", "component": "root"})
     full = classes.select("cid", "h1", "h2", "n", "least").join(degrees, "cid", "left").join(components, "cid", "left")
     full = full.select("h1", "h2", "least", (F.col("n") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"), F.coalesce("root", "cid").alias("root"))
     linked = full.where("n_links > 0")
     heads = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = linked.join(heads, "root").select("h1", "h2", "n_links", "component_id")
-    out = keyed.select("vec_id", "h1", "h2").join(of_class, ["h1", "h2"], "left")
+    of_class = written(evenly_joined(linked, heads, ["root"], ["h1"], "inner").select("h1", "h2", "n_links", "component_id"), "vector-classes")
+    for gone in (classes, blocks, found, pieces):
+        dropped(gone)
+    out = evenly_joined(keyed.select("vec_id", "h1", "h2"), of_class, ["h1", "h2"], ["vec_id"])
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, dropped, released, table, whole_text, written
+from .common import chunks, dropped, evenly_joined, released, table, whole_text, written
 from .components import connected_components, local_roots
 from .counters import SCHEMA, collected, rows_of
 from .ngrams import mix, shingles
@@ -54,7 +54,7 @@ def _sets(rows: list[tuple], size: int) -> Iterator[tuple[list[tuple], np.ndarra
 
 
 def _classes(size: int) -> Callable:
-    """Rows (doc_id, text) -> a row for each document, and at the end the task's document frequencies."""
+    """Rows (doc_id, digest, text) -> a row for each document, and at the end the task's document frequencies."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((1, 1 << FREQUENCY_BITS), np.int64)
@@ -63,9 +63,9 @@ def _classes(size: int) -> Callable:
                 each = np.split(values, bounds[1:-1])
                 ids = [class_id(v) if len(v) else None for v in each]
                 total[0] += np.bincount(_bucket(values), minlength=1 << FREQUENCY_BITS)
-                yield pd.DataFrame({"doc_id": [r[0] for r in part], "n_shingles": pd.array(np.diff(bounds), "Int64"), "cid": pd.array(ids, "Int64"), "sketch": [sketch(v) if len(v) else None for v in each], "model": pd.array([None] * len(part), "Int32"), "block": pd.array([None] * len(part), "Int32"), "counts": None})
+                yield pd.DataFrame({"doc_id": [r[0] for r in part], "digest": [r[1] for r in part], "n_shingles": pd.array(np.diff(bounds), "Int64"), "cid": pd.array(ids, "Int64"), "sketch": [sketch(v) if len(v) else None for v in each], "model": pd.array([None] * len(part), "Int32"), "block": pd.array([None] * len(part), "Int32"), "counts": None})
         counted = rows_of(total)
-        yield counted.assign(doc_id=None, n_shingles=pd.array([None] * len(counted), "Int64"), cid=pd.array([None] * len(counted), "Int64"), sketch=None)
+        yield counted.assign(doc_id=None, digest=None, n_shingles=pd.array([None] * len(counted), "Int64"), cid=pd.array([None] * len(counted), "Int64"), sketch=None)
 
     return run
 
@@ -278,15 +278,16 @@ def _regions(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sides = [sketches.withColumnsRenamed({"cid": end, "size": f"size_{end}", "sketch": f"sketch_{end}"}) for end in "ab"]
     near = written(stars.join(sides[0], "a").join(sides[1], "b").mapInPandas(_near_stars(percent), "a long, b long"), "near")
 
-    pieces = written(connected_components(near).withColumnsRenamed({"node": "cid", "component": "piece"}), "pieces")
+    pieces = connected_components(near).withColumnsRenamed({"node": "cid", "component": "piece"})
     placed = shared.join(pieces, "cid", "left").select("sig", "cid", F.coalesce("piece", "cid").alias("piece"))
     split = placed.groupBy("sig").agg(F.min("piece").alias("lo"), F.max("piece").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("cid")).alias("members"))
     groups = split.where("lo <> hi and n > 2").select("sig", F.xxhash64("n", "members").alias("gid"), "n")
     members = placed.join(groups, "sig").select("gid", "n", "cid", "piece").distinct()  # many signatures have the same members
     tasks = _dealt(members.join(sketches, "cid"), "n", SKETCH_BLOCK)
     more = tasks.repartition("gid", "n", "lo", "hi").sortWithinPartitions("gid", "n", "lo", "hi").mapInPandas(_near_groups(percent), "a long, b long")
-    regions = written(_merged(pieces, connected_components(more)).withColumnsRenamed({"piece": "gid"}), "regions")
-    for gone in (shared, near, pieces):
+    merges = connected_components(more)
+    regions = written(_merged(pieces, merges).withColumnsRenamed({"piece": "gid"}), "regions")
+    for gone in (shared, near, pieces, merges):
         dropped(gone)
     return regions
 
@@ -294,7 +295,7 @@ def _regions(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _merged(pieces: DataFrame, merges: DataFrame) -> DataFrame:
     """(cid, piece) after the components of pieces in merges(node, component); single classes may be pieces of their own."""
     names = merges.withColumnsRenamed({"node": "piece", "component": "whole"})
-    moved = pieces.join(names, "piece", "left").select("cid", F.coalesce("whole", "piece").alias("piece"))
+    moved = evenly_joined(pieces, names, ["piece"], ["cid"]).select("cid", F.coalesce("whole", "piece").alias("piece"))
     single = merges.select(F.col("node").alias("cid"), F.col("component").alias("piece")).join(pieces.select("cid"), "cid", "left_anti")
     return moved.unionByName(single)
 
@@ -405,6 +406,7 @@ def _wanted_sets(size: int) -> Callable:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            pdf = pdf.drop_duplicates("cid")  # copies of a text under one doc_id
             for part, values, bounds in _sets(list(pdf.itertuples(index=False, name=None)), size):
                 rows = [(*r[:-1], s.tobytes()) for r, s in zip(part, np.split(values, bounds[1:-1]), strict=True) if len(s) and class_id(s) == r[0]]
                 yield pd.DataFrame(rows, columns=[*pdf.columns[:-1], "shingles"])
@@ -420,22 +422,30 @@ def _linked(rows: DataFrame, regions: DataFrame, classes: DataFrame, size: int,
     sets of one piece need no comparison, so a large class costs no square of its size.
     """
 
-    def loaded(wanted: DataFrame) -> DataFrame:
-        named = wanted.join(classes.select("cid", F.col("doc_id").alias("rep")), "cid")
-        rest = [f for f in wanted.schema.fields if f.name != "cid"]
-        texts = rows.join(named, rows["doc_id"].eqNullSafe(named["rep"])).select("cid", *(f.name for f in rest), "text")
-        return texts.mapInPandas(_wanted_sets(size), ", ".join(["cid long", *(f"{f.name} long" for f in rest), "shingles binary"]))
+    named = rows.select("doc_id", F.xxhash64("text").alias("digest"), "text")
 
-    members = regions.join(regions.groupBy("gid").agg(F.count("*").alias("members")), "gid")
+    def loaded(wanted: DataFrame) -> DataFrame:
+        """The sets of the classes, from one row each: the one of their least doc_id and text digest."""
+        rest = [f.name for f in wanted.schema.fields if f.name != "cid"]
+        reps = wanted.join(classes.select("cid", "doc_id", "digest"), "cid")
+        # rows without doc_id are told apart by their digest
+        same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.digest") == F.col("w.digest"))
+        texts = named.alias("t").join(reps.alias("w"), same).select("cid", *rest, "text")
+        return texts.mapInPandas(_wanted_sets(size), ", ".join(["cid long", *(f"{n} long" for n in rest), "shingles binary"]))
+
+    members = written(evenly_joined(regions, regions.groupBy("gid").agg(F.count("*").alias("members")), ["gid"], ["cid"]), "members")
     edges = "a long, b long"
     first = _first_tasks(loaded(members)).groupBy("gid", "lo", "hi").applyInPandas(_join_region(percent), edges)
-    found = connected_components(first).withColumnsRenamed({"node": "cid", "component": "piece"})
+    bulk = connected_components(first)
+    found = bulk.withColumnsRenamed({"node": "cid", "component": "piece"})
     pieces = written(members.join(found, "cid", "left").select("cid", "gid", "members", F.coalesce("piece", "cid").alias("piece")), "pieces")
     counts = pieces.where(F.col("members") > 2 * BLOCK).groupBy("gid", "piece").agg(F.count("*").alias("n"))  # two blocks have met
     split = counts.groupBy("gid").agg(F.max_by("piece", F.struct("n", "piece")).alias("main"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
-    rest = _rest_tasks(loaded(pieces.join(split, "gid"))).groupBy("gid", "lo", "hi").applyInPandas(_join_region(percent), edges)
-    linked = written(_merged(pieces.select("cid", "piece"), connected_components(rest)).withColumnsRenamed({"piece": "root"}), "linked")
-    dropped(pieces)
+    rest = _rest_tasks(loaded(evenly_joined(pieces, split, ["gid"], ["cid"], "inner"))).groupBy("gid", "lo", "hi").applyInPandas(_join_region(percent), edges)
+    strays = connected_components(rest)
+    linked = written(_merged(pieces.select("cid", "piece"), strays).withColumnsRenamed({"piece": "root"}), "linked")
+    for gone in (members, bulk, pieces, strays):
+        dropped(gone)
     return linked
 
 
@@ -450,24 +460,28 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     Shingles are compared by 64-bit hashes.
     """
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    strings = rows.select(F.col("doc_id").cast("string"), "text")
-    both = written(strings.mapInPandas(_classes(size), f"doc_id string, n_shingles long, cid long, sketch binary, {SCHEMA}"), "sets")
-    sets = both.where("block is null").select(F.col("doc_id").cast("long"), "n_shingles", "cid", "sketch")
+    strings = rows.select(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string").alias("digest"), "text")
+    both = written(strings.mapInPandas(_classes(size), f"doc_id string, digest string, n_shingles long, cid long, sketch binary, {SCHEMA}"), "sets")
+    sets = both.where("block is null").select(F.col("doc_id").cast("long"), F.col("digest").cast("long"), "n_shingles", "cid", "sketch")
     frequencies = collected(both.where("block is not null").select("model", "block", "counts"), 1, 1 << FREQUENCY_BITS)[0]
     common = docs.sparkSession.sparkContext.broadcast(np.packbits(common_buckets(frequencies)))  # one bit a bucket
-    classes = sets.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest")))
+    nameless = F.min(F.when(F.col("doc_id").isNull(), F.col("digest")))
+    grouped = sets.where("cid is not null").groupBy("cid").agg(first.alias("first"), nameless.alias("nameless"), F.count("*").alias("n"))
+    classes = written(grouped.select("cid", "first.doc_id", F.coalesce("first.digest", "nameless").alias("digest"), "n"), "classes")
 
     signed = rows.select("text").mapInPandas(_signature_rows(size, percent, common), "sig long, cid long")
     regions = _regions(signed, sets.where("cid is not null"), percent)
 
     linked = _linked(rows, regions, classes, size, percent)
-    dropped(regions)
-
     heads = classes.join(linked, "cid", "left").select("cid", "doc_id", "n", F.coalesce("root", "cid").alias("root"), F.col("root").isNotNull().alias("many"))
     grouped = heads.where("many or n > 1")
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = grouped.join(least, "root").select("cid", "component_id")
-    return sets.join(of_class, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_class = written(evenly_joined(grouped, least, ["root"], ["cid"]).select("cid", "component_id"), "set-classes")
+    for gone in (regions, linked, classes):
+        dropped(gone)
+    rows_of_class = evenly_joined(sets.select("doc_id", "digest", "n_shingles", "cid"), of_class, ["cid"], ["doc_id", "digest"])
+    return rows_of_class.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

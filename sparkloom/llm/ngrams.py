@@ -22,6 +22,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BACK = [np.uint64(pow(x, -1, 1 << 64)) for x in (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
+
+
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The inverse of mix."""
+    x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * _BACK[0]
+    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * _BACK[1]
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
 def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of texts, each followed by one space, and where each text begins (and the end)."""
     raw = [t.encode() for t in texts]

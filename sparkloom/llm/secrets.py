@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text, written
+from .common import evenly_joined, table, whole_text, written
 
 # The patterns of the base kinds, in the order that breaks ties, and their least lengths.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -110,9 +110,13 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def held(rows: DataFrame) -> DataFrame:
-    """A row for each candidate of rows(uid, owner, repository, base, generic), with its ownership."""
+    """A row for each candidate of rows(uid, owner, repository, base, generic), with its ownership.
+
+    A secret that very many documents hold meets its counts in no one task.
+    """
     found = rows.select("uid", "owner", "repository", F.explode(F.concat("base", "generic")).alias("s")).select("uid", "owner", "repository", "s.*")
-    return found.join(ownership(found.select("hash", "owner", "repository")), "hash")
+    counts = ownership(found.select("hash", "owner", "repository"))
+    return evenly_joined(found, counts, ["hash"], ["uid", "start"], "inner")
 
 
 def find_secrets(docs: DataFrame, owner: Column, repository: Column, copied_owners: int = 2) -> DataFrame:
