@@ -111,19 +111,16 @@ def shingles(texts: list[str], size: int = 4) -> tuple[np.ndarray, np.ndarray]:
     return out[fresh], np.searchsorted(doc[fresh], np.arange(len(texts) + 1))
 
 
-def char_ngrams(texts: list[str], sizes: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all byte n-grams (lower case, white space as one space byte), with size and start.
+def char_ngrams(data: np.ndarray, sizes: tuple[int, ...], bits: int) -> list[np.ndarray]:
+    """For each size in order, the bucket of the byte n-gram that begins at each position; white space counts as a space.
 
-    Returns per n-gram size one row of buckets (start position as column), the text of each
-    start, and where an n-gram of the largest size would leave its text.
+    At the last positions, where data ends before an n-gram does, buckets have no meaning.
     """
-    data, bounds = joined([f" {t.lower()}" for t in texts])
     value = _BYTE[np.where(_SPACE[data], 32, data)]
-    rows = []
-    rolling = np.zeros(len(data), np.uint64)
+    rows, rolling = [], np.zeros(len(data), np.uint64)
     for k in range(1, max(sizes) + 1):
         n = max(0, len(data) - k + 1)
         rolling[:n] = rolling[:n] * _BASE + value[k - 1 :]
         if k in sizes:
             rows.append((mix(rolling + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int32))
-    return np.stack(rows), np.repeat(np.arange(len(texts)), np.diff(bounds)), bounds
+    return rows

@@ -1,4 +1,9 @@
-"""Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios."""
+"""Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
+
+Features are the distinct byte n-grams of the whole lower-cased text, hashed into 2 ** bits buckets. Every
+n-gram whose ratio stands evidence standard errors or more from zero in the labelled rows is kept; their number follows
+from the texts and has no bound but the buckets.
+"""
 
 from __future__ import annotations
 
@@ -11,21 +16,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, table, whole_text
-from .ngrams import char_ngrams
+from .ngrams import char_ngrams, joined
 
 BATCH_CHARS = 1 << 18
 #: Characters whose n-grams are in the driver's memory together while fitting.
 FIT_CHARS = 1 << 17
+#: Bytes of one long text whose n-grams are in memory together.
+WINDOW = 1 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
-    """sample bounds the labelled rows of each class used to fit; features those the fit keeps."""
+    """sample bounds the labelled rows of each class used to fit; evidence is what an n-gram needs to be kept."""
 
     sizes: tuple[int, ...] = (4, 5, 6)
     bits: int = 20
     sample: int = 2000
-    features: int = 4096
+    evidence: float = 6.0
     smoothing: float = 1.0
     ridge: float = 0.02
     steps: int = 300
@@ -33,11 +40,15 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
-    """Scores are logistic(bias + sum of weight over the distinct n-grams of a text)."""
+    """Scores are logistic(bias + sum of weight over the distinct n-grams of a text).
+
+    informed is False if the labelled rows do not hold both classes, or no n-gram tells them apart.
+    """
 
     settings: Settings
     weight: np.ndarray
     bias: float
+    informed: bool = True
 
     def scores(self, texts: list[str]) -> np.ndarray:
         doc, bucket = present(texts, self.settings, self.weight != 0)
@@ -47,12 +58,18 @@ class Model:
 
 def present(texts: list[str], s: Settings, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of the distinct n-grams of each text, of the wanted buckets only if given."""
-    rows, doc, bounds = char_ngrams(texts, s.sizes, s.bits)
-    keys = []
-    for size, buckets in zip(sorted(s.sizes), rows, strict=True):
-        at = np.flatnonzero(wanted[buckets]) if wanted is not None else np.arange(len(buckets))
-        at = at[at + size <= bounds[doc[at] + 1]]
-        keys.append(doc[at].astype(np.int64) << s.bits | buckets[at])
+    data, bounds = joined([f" {t.lower()}" for t in texts])
+    sizes, keys = sorted(s.sizes), [np.zeros(0, np.int64)]
+    for at in range(0, len(data), WINDOW):
+        end = min(len(data), at + WINDOW)
+        doc = np.repeat(np.arange(len(texts)), np.diff(np.clip(bounds, at, end)))
+        left = bounds[doc + 1] - np.arange(at, end)
+        for size, buckets in zip(sizes, char_ngrams(data[at : end + sizes[-1]], s.sizes, s.bits), strict=True):
+            buckets = buckets[: end - at]
+            inside = left >= size
+            if wanted is not None:
+                inside &= wanted[buckets]
+            keys.append(np.unique(doc[inside] << s.bits | buckets[inside]))
     distinct = np.unique(np.concatenate(keys))
     return distinct >> s.bits, distinct & ((1 << s.bits) - 1)
 
@@ -60,13 +77,13 @@ def present(texts: list[str], s: Settings, wanted: np.ndarray | None = None) ->
 def fit(texts: list[str], labels: np.ndarray, s: Settings = Settings()) -> Model:
     """Fit on texts with labels 0 and 1; with one class only, every score is near that class.
 
-    Log-count ratios r come from the smoothed document counts of each n-gram by class. The
-    n-grams with the largest |r| times the square root of their count enter a ridge-regularised
-    logistic regression on presence * r, solved by accelerated gradient steps.
+    Log-count ratios r come from the smoothed document counts of each n-gram by class. The n-grams
+    of three texts or more whose |r| times the square root of their count reaches s.evidence enter a ridge-regularised
+    logistic regression on presence * r, in which both classes weigh the same, solved by accelerated gradient steps.
     """
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
-        return Model(s, np.zeros(1 << s.bits), 0.0 if not len(y) else (4.0 if y[0] else -4.0))
+        return Model(s, np.zeros(1 << s.bits), 0.0 if not len(y) else (4.0 if y[0] else -4.0), False)
     size = 1 << s.bits
     p, both, base = np.zeros(size), np.zeros(size), 0
     for part in chunks(texts, len, FIT_CHARS):
@@ -76,8 +93,7 @@ def fit(texts: list[str], labels: np.ndarray, s: Settings = Settings()) -> Model
         base += len(part)
     q = both - p
     r = np.log((p + s.smoothing) / (y.sum() + 2 * s.smoothing)) - np.log((q + s.smoothing) / (len(y) - y.sum() + 2 * s.smoothing))
-    strength = np.abs(r) * np.sqrt(both) * (both > 2)
-    top = np.argsort(-strength, kind="stable")[: s.features]
+    top = np.flatnonzero(np.abs(r) * np.sqrt(both) * (both > 2) >= s.evidence)
     slot = np.full(size, -1, np.int32)
     slot[top] = np.arange(len(top))
     parts, base = [], 0
@@ -87,7 +103,6 @@ def fit(texts: list[str], labels: np.ndarray, s: Settings = Settings()) -> Model
         base += len(part)
     doc, col = (np.concatenate(x) for x in zip(*parts, strict=True))
     ratio = r[top]
-    # classes weigh the same; the bias is then moved to the share of the sample
     mass = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w, v, bias, vb = np.zeros(len(top)), np.zeros(len(top)), 0.0, 0.0
     norms = np.bincount(doc, ratio[col] ** 2, len(y))
@@ -95,14 +110,14 @@ def fit(texts: list[str], labels: np.ndarray, s: Settings = Settings()) -> Model
     for step in range(s.steps):
         z = np.bincount(doc, (v * ratio)[col], len(y)) + vb
         g = mass * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        new = v - rate * (np.bincount(col, g[doc], len(top)) * ratio + s.ridge / len(top) * v)
+        new = v - rate * (np.bincount(col, g[doc], len(top)) * ratio + s.ridge / max(1, len(top)) * v)
         new_bias = vb - rate * g.sum()
         momentum = step / (step + 3)
         v, vb = new + momentum * (new - w), new_bias + momentum * (new_bias - bias)
         w, bias = new, new_bias
     weight = np.zeros(size)
     weight[top] = w * ratio
-    return Model(s, weight, bias)
+    return Model(s, weight, bias, bool(len(top)))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings) -> tuple[list[str], np.ndarray]:
@@ -132,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
     """text -> score as an Arrow function; only the non-zero weights travel to the workers."""
     kept = np.flatnonzero(model.weight)
-    packed = spark.sparkContext.broadcast((kept, model.weight[kept], model.bias, model.settings))  # settings.features entries at most
+    packed = spark.sparkContext.broadcast((kept, model.weight[kept], model.bias, model.settings))  # 2 ** bits entries at most
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -150,8 +165,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     """Score every whole text of docs; fit on the labelled rows that are not held out.
 
     A null text scores as the empty one; a null doc_id is kept and never trains. Repeated rows
-    give repeated results; other columns are ignored; no labels give scores of 0.5; no rows
-    give none.
+    give repeated results; other columns are ignored; no labels give scores of 0.5, labels of one class scores near
+    it; of several labels of a document each counts; no rows give none.
     """
     model = train(docs, labels, settings)
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))

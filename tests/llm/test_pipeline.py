@@ -1,0 +1,135 @@
+import collections
+import random
+import re
+
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+import corpus_pipeline as cp
+from sparkloom.llm import packing, toxicity
+
+tokenizers = pytest.importorskip("public_tokenizers")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def shingle_set(text, size=5):
+    w = re.findall("[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def brute_near_copies(rows):
+    """One row of each linked class: the least doc_id, null last, then the first row."""
+    sets, left = [shingle_set(r[1]) for r in rows], set(range(len(rows)))
+    kept = []
+    while left:
+        group, todo = set(), [min(left)]
+        while todo:
+            i = todo.pop()
+            if i in left:
+                left.discard(i)
+                group.add(i)
+                todo += [j for j in left if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+        kept.append(min(group, key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i)))
+    return [rows[i] for i in kept]
+
+
+SECRET = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{8,})""")
+
+
+def brute_mask(rows):
+    """Assigned secrets of fewer than two sources; no other kinds are in these rows."""
+    owners = collections.defaultdict(set)
+    for _, t, _, s, _ in rows:
+        for m in SECRET.finditer(t or ""):
+            owners[m[1]].add(s)
+    out = []
+    for d, t, lang, s, _ in rows:
+        masked = t if t is None else SECRET.sub(lambda m: m[0] if len(owners[m[1]]) > 1 else m[0][: m.start(1) - m.start()] + "[secret]", t)
+        out.append((d, masked, lang, s, None if masked is None else len(masked)))
+    return out
+
+
+def brute_tokens(rows):
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizers.path("piece_bpe_32k.model"))
+    return collections.Counter((r[0], len(model.encode(r[1] or "")) + 1) for r in rows)
+
+
+@pytest.fixture(scope="module")
+def corpus(tmp_path_factory, spark):
+    """Prose, copies, near copies, toxic rows, secrets, nulls, repeats; and labels."""
+    rng = random.Random(12)
+    prose = [" ".join(f"w{rng.randrange(4000)}" for _ in range(rng.randrange(20, 90))) for _ in range(60)]
+    texts = prose + [rng.choice(prose) + " end" for _ in range(40)] + [rng.choice(prose) for _ in range(10)]
+    texts = [t + (" xxzzq qqzzx" if i % 4 == 0 else "") for i, t in enumerate(texts)]
+    texts[1] += " password=liveliveLive1"
+    texts[2] += " token: sampleSample22"
+    texts[5] += " token: sampleSample22"
+    rows = [(i, t, "en", f"s{i % 7}", len(t)) for i, t in enumerate(texts)]
+    rows += [(None, texts[7], "en", "s1", 1), (9, texts[9], "en", "s2", 1), (9, "another text under nine", "en", "s2", 1), (200, None, None, None, None), (None, None, "en", "s1", 0), (201, "", "en", "s1", 0), (202, " \n ", "en", "s1", 3)]
+    path = str(tmp_path_factory.mktemp("sf"))
+    spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit(1)).withColumn("row_id", F.lit(2)).coalesce(1).write.parquet(f"{path}/documents.parquet")
+    labels = [(i, int(i % 4 == 0)) for i in range(len(texts))]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path, rows, dict(labels)
+
+
+def as_rows(df):
+    return collections.Counter(tuple(r[c] for c in cp.COLUMNS) for r in df.collect())
+
+
+def test_run_as_brute_force(spark, corpus):
+    """Each stage against a plain version on what the one before it left, and run() against them all."""
+    path, rows, labels = corpus
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    kept = [r for r in rows if r[1] is None or "xxzzq" not in r[1]]
+    first = cp.drop_toxic(spark, docs, path)
+    assert first.columns == cp.COLUMNS and as_rows(first) == collections.Counter(kept)
+    frame = spark.createDataFrame(kept, SCHEMA).coalesce(1)
+    once = brute_near_copies(kept)
+    second = cp.drop_near_copies(spark, frame, path)
+    assert second.columns == cp.COLUMNS and as_rows(second) == collections.Counter(once)
+    masked = brute_mask(once)
+    third = cp.mask_secrets(spark, spark.createDataFrame(once, SCHEMA), path)
+    assert third.columns == cp.COLUMNS and as_rows(third) == collections.Counter(masked)
+    assert any("[secret]" in (r[1] or "") for r in masked) and any("sampleSample22" in (r[1] or "") for r in masked)
+    out = cp.run(spark, path).collect()
+    by_doc = collections.Counter((r.doc_id, r.n_tokens) for r in out)
+    assert by_doc == brute_tokens(masked)
+    bins = collections.defaultdict(list)
+    for r in out:
+        bins[r.bin_id].append(r)
+    for pieces in bins.values():
+        total = sum(p.n_tokens for p in pieces)
+        assert pieces[0].filled == total and pieces[0].capacity == packing.Lengths().downsized(total)
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1), (2, 1)], [(1, 0)], [(None, 1), (3, None)], [(1, 1), (2, 0)]])
+def test_nothing_goes_without_usable_labels(spark, corpus, tmp_path, labels):
+    """No labels, one class, or too few rows to tell the classes apart."""
+    path, rows, _ = corpus
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    assert as_rows(cp.drop_toxic(spark, docs, str(tmp_path))) == collections.Counter(rows)
+
+
+def test_toxic_stage_follows_the_classifier(spark, corpus):
+    path, _, _ = corpus
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    predicted = toxicity.toxicity(docs, spark.read.parquet(f"{path}/labels.parquet")).where("predicted = 0").count()
+    assert cp.drop_toxic(spark, docs, path).count() == predicted
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_of_one_doc_id_or_none(spark):
+    """Exact and near copies go whatever their doc_id; different texts and texts without words stay."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(7, a), (7, a), (7, b), (3, b + " tail"), (None, a), (None, c), (None, c), (None, None), (9, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA)
+    kept = sorted(((r.doc_id, r.text) for r in cp.drop_near_copies(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(7, a), (3, b + " tail"), (None, c), (None, None), (9, "")], key=str)
