@@ -4,7 +4,8 @@ The payload of a document is stored in the format's own lossless unit, the quant
 coefficient: byte b is the coefficient whose magnitude category is 8 and whose eight extra bits
 are b. One 4:4:4 MCU has three blocks of 64 coefficients, hence 192 bytes; a restart marker
 follows every MCU. The decoder takes any baseline file with one interleaved scan (all sampling
-factors, restart intervals or none) and decodes many restart segments side by side.
+factors, restart intervals or none) and decodes many restart segments side by side; files with a scan
+for each component are refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -290,11 +291,17 @@ def thumbnail(parsed: Parsed, blocks: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(grid / 8 + 128), 0, 255).astype(np.uint8)
 
 
+def cell_means(pixels: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """The mean of each cell of a grid over all pixels; thumbnails with fewer pixels than cells repeat them."""
+    total = np.zeros((pixels.shape[0] + 1, pixels.shape[1] + 1), np.int64)
+    total[1:, 1:] = pixels.astype(np.int64).cumsum(axis=0).cumsum(axis=1)
+    (top, low), (left, right) = ((at[:-1], np.maximum(at[1:], at[:-1] + 1)) for at in (np.arange(n + 1) * size // n for n, size in ((rows, pixels.shape[0]), (cols, pixels.shape[1]))))
+    sums = total[np.ix_(low, right)] - total[np.ix_(top, right)] - total[np.ix_(low, left)] + total[np.ix_(top, left)]
+    return sums / np.outer(low - top, right - left)
+
+
 def thumbnail_hashes(pixels: np.ndarray) -> tuple[int, int]:
-    """Average hash and difference hash (64 bits each) of a grid sampled from the thumbnail."""
-    rows = (2 * np.arange(8) + 1) * pixels.shape[0] // 16
-    cols = (2 * np.arange(9) + 1) * pixels.shape[1] // 18
-    grid = pixels[np.ix_(rows, cols)].astype(np.int32)
-    mean = grid[:, :8] * 64 > grid[:, :8].sum()
-    step = grid[:, 1:] > grid[:, :-1]
-    return tuple(int.from_bytes(np.packbits(x).tobytes(), "big") for x in (mean, step))
+    """Average hash and difference hash (64 bits each); every pixel of the thumbnail counts."""
+    square, wide = cell_means(pixels, 8, 8), cell_means(pixels, 8, 9)
+    bits = (square > square.mean(), wide[:, 1:] > wide[:, :-1])
+    return tuple(int.from_bytes(np.packbits(x).tobytes(), "big") for x in bits)
