@@ -37,7 +37,7 @@ def replace_all(text: Column, replacements: Mapping[str, str]) -> Column:
 
 
 def unicode_form(text: Column, form: str) -> Column:
-    """Unicode normalization; plain ASCII texts skip the Arrow function."""
+    """Unicode normalization; texts of ASCII alone reach the Arrow function as null and stay as they are."""
     if form not in FORMS:
         raise ValueError(f"unknown Unicode form {form!r}; one of {', '.join(FORMS)}")
 
@@ -45,7 +45,7 @@ def unicode_form(text: Column, form: str) -> Column:
     def normalized(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else unicodedata.normalize(form, t))
 
-    return F.when(text.rlike(r"[^\x00-\x7F]"), normalized(text)).otherwise(text)
+    return F.coalesce(normalized(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 @dataclass(frozen=True)
@@ -80,6 +80,27 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(basename(path), r"\.[^.]+$", "")
 
 
+def dirname(path: Column) -> Column:
+    """What stands before the last slash; empty without one."""
+    return F.regexp_replace(F.regexp_extract(path, r"^(.*)/[^/]*$", 1), "(?<=[^/])/+$", "")
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """path below the folder root; others stay."""
+    start = root.rstrip("/") + "/"
+    return F.when(path.startswith(start), F.substr(path, F.lit(len(start) + 1))).otherwise(path)
+
+
+def split_values(cell: Column, separator: str = ";") -> Column:
+    """The non-empty values of a cell; the separator is literal. F.array_join joins them back."""
+    return F.filter(F.split(F.coalesce(cell, F.lit("")), f"\\Q{separator}\\E"), lambda x: x != "")
+
+
+def slug_of(name: str) -> str:
+    """slug() of a string in the driver."""
+    return "".join(c if c.isalnum() else "-" for c in name).strip("-").lower()
+
+
 def slug(text: Column) -> Column:
     """Lower case; every character but letters and digits becomes '-', with none at the ends."""
     return F.lower(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}]", "-"), "^-+|-+$", ""))
@@ -96,7 +117,7 @@ def characters(text: Column) -> Column:
 
 
 def compact_number(value: Column) -> Column:
-    """9000000 as 9M and 200000 as 200k; other whole numbers as they are, small fractions in exponent form."""
+    """9000000 as 9M and 200000 as 200k; other whole numbers as they are, small fractions in exponent form; booleans in lower case are cast by Spark."""
     whole = value.cast("long")
     exact = F.when(whole % 1000000 == 0, F.concat((whole / 1000000).cast("long").cast("string"), F.lit("M"))).when(whole % 1000 == 0, F.concat((whole / 1000).cast("long").cast("string"), F.lit("k"))).otherwise(whole.cast("string"))
     return F.when(value == 0, F.lit("0")).when(value == whole, exact).when(F.abs(value) < 0.001, F.format_string("%.1e", value)).otherwise(value.cast("string"))

@@ -1,17 +1,42 @@
-"""Character vocabularies, label encoding, decoding, and length filters."""
+"""Character vocabularies, label encoding, decoding, collation, id spaces and length filters."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping, Sequence
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import characters
-
 PAD, UNK, WORD = "[PAD]", "[UNK]", "|"
+CODE_POINTS = 0x110000
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
 
 
-def character_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    return texts.select(F.explode(characters(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+def character_counts(texts: DataFrame, text: str = "text", by: str | None = None) -> DataFrame:
+    """(by, token, n): how often each character occurs, counted batch by batch before anything is shuffled."""
+    columns = [by] if by else []
+    fields = [pa.field(c, pa.string()) for c in [*columns, "token"]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: dict = {}
+            for row in zip(*[batch.column(c).to_pylist() for c in [*columns, text]], strict=True):
+                if row[-1]:
+                    parts.setdefault(row[:-1], []).append(row[-1])
+            for key, found in parts.items():
+                point, n = np.unique(code_points("".join(found)), return_counts=True)
+                columns_of = [[key[0]] * len(n)] if by else []
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns_of], pa.array(map(chr, point), pa.string()), pa.array(n, pa.int64())], schema=pa.schema([*fields, pa.field("n", pa.int64())]))
+
+    schema = (f"`{by}` string, " if by else "") + "token string, n long"
+    rows = texts.select(*[F.col(c).cast("string").alias(c) for c in columns], text)
+    return rows.mapInArrow(run, schema).groupBy(*columns, "token").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(texts: DataFrame, text: str = "text", min_frequency: int = 1) -> DataFrame:
@@ -26,14 +51,27 @@ def vocabulary(texts: DataFrame, text: str = "text", min_frequency: int = 1) ->
     return special.unionByName(kept)
 
 
-def vocabulary_map(vocab: DataFrame) -> Column:
-    """The vocabulary as a literal map; it has as many entries as there are distinct characters."""
-    rows = vocab.collect()
-    return F.create_map(*[F.lit(x) for r in sorted(rows, key=lambda r: r["id"]) for x in (r["token"], r["id"])])
+def encoder(vocab: DataFrame) -> Callable[[Column], Column]:
+    """text -> array of ids by a character vocabulary; spaces are bars, other characters [UNK], a null text has no labels.
 
+    The vocabulary travels as one id for each code point up to its largest: at most 4.4 MB, whatever the corpus.
+    """
+    rows = {r["token"]: r["id"] for r in vocab.collect()}  # a row a character, fewer than there are code points
+    table = np.full(CODE_POINTS, rows.get(UNK, 1), np.int32)
+    for token, i in rows.items():
+        if len(token) == 1:
+            table[ord(token)] = i
+    table[ord(" ")] = table[ord(WORD)]
+    known = np.flatnonzero(table != table[-1])
+    shared = vocab.sparkSession.sparkContext.broadcast(table[: int(known.max(initial=0)) + 2])
 
-def encode(text: Column, vocab: Column) -> Column:
-    return F.transform(characters(F.replace(text, F.lit(" "), F.lit(WORD))), lambda c: F.coalesce(F.element_at(vocab, c), F.lit(1)))
+    @F.pandas_udf("array<int>")
+    def encoded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ids = shared.value
+        for batch in texts:
+            yield batch.map(lambda t: [] if not t else ids[np.minimum(code_points(t), len(ids) - 1)])
+
+    return encoded
 
 
 def collapse(ids: Column, pad: int = 0) -> Column:
@@ -42,7 +80,7 @@ def collapse(ids: Column, pad: int = 0) -> Column:
 
 
 def decode(ids: Column, tokens: Column) -> Column:
-    """ids to text through an array of tokens by id; bars become spaces."""
+    """ids to text through an array of tokens by id; bars become spaces. drop_special() first leaves special tokens out."""
     return F.replace(F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), ""), F.lit(WORD), F.lit(" "))
 
 
@@ -55,9 +93,32 @@ def mask_to_pad(ids: Column, pad: int = 0) -> Column:
     return F.transform(ids, lambda x: F.when(x == -100, F.lit(pad)).otherwise(x))
 
 
-def pad_to(ids: Column, length: Column) -> Column:
-    """Labels padded with -100 to length."""
-    return F.concat(ids, F.array_repeat(F.lit(-100), F.greatest(length - F.size(ids), F.lit(0))))
+def drop_special(ids: Column, special: Sequence[int]) -> Column:
+    """ids without those of special tokens."""
+    return F.filter(ids, lambda x: ~x.isin(*special)) if special else ids
+
+
+def pad_to(values: Column, length: Column, fill: Column | None = None) -> Column:
+    """values padded to length, labels with -100."""
+    return F.concat(values, F.array_repeat(F.lit(-100) if fill is None else fill, F.greatest(length - F.size(values), F.lit(0))))
+
+
+def collate(rows: DataFrame, batch: str, labels: str = "labels", inputs: str | None = None, start: int | None = None) -> DataFrame:
+    """Rows whose labels, and inputs if named, are padded to the longest of their batch.
+
+    Labels are padded with -100 and inputs with 0. If every row of a batch begins with start, it is stripped
+    there; a row without labels begins with nothing.
+    """
+    first = F.get(F.col(labels), F.lit(0))
+    starts = F.bool_and(F.coalesce(first == F.lit(start), F.lit(False))) if start is not None else F.lit(False)
+    longest = [F.max(F.size(labels)).alias("_longest"), starts.alias("_starts")] + ([F.max(F.size(inputs)).alias("_inputs")] if inputs else [])
+    joined = rows.join(rows.groupBy(batch).agg(*longest), batch)
+    padded = pad_to(F.col(labels), F.col("_longest"))
+    out = joined.withColumn(labels, F.when(F.col("_starts"), F.slice(padded, F.lit(2), F.greatest(F.col("_longest") - 1, F.lit(0)))).otherwise(padded))
+    if inputs:
+        kind = dict(rows.dtypes)[inputs].removeprefix("array<").removesuffix(">")
+        out = out.withColumn(inputs, pad_to(F.col(inputs), F.col("_inputs"), F.lit(0).cast(kind)))
+    return out.select(*rows.columns)
 
 
 def drop_reason(input_length: Column, label_length: Column, max_input: int | None, max_label: int | None) -> Column:
@@ -71,12 +132,57 @@ def id_space_problems(vocab: DataFrame) -> DataFrame:
     return stats.select("size", ((F.col("low") == 0) & (F.col("high") == F.col("size") - 1) & (F.col("ids") == F.col("size"))).alias("contiguous"), (F.col("tokens") == F.col("size")).alias("distinct_tokens"))
 
 
+def check_id_space(vocab: DataFrame) -> None:
+    """Raises if tokens repeat or ids are not exactly 0 to size - 1."""
+    seen = id_space_problems(vocab).first()
+    if not seen.distinct_tokens:
+        raise ValueError("a token occurs more than once, so the vocabulary has fewer entries than ids")
+    if not seen.contiguous:
+        raise ValueError(f"ids are not contiguous from 0 to {seen.size - 1}")
+
+
+def colliding(learned: DataFrame, special: DataFrame) -> DataFrame:
+    """Learned tokens that equal a special one."""
+    return learned.join(special.select("token"), "token", "left_semi").select("token")
+
+
 def special_block(special: DataFrame, learned: int) -> DataFrame:
     """Special tokens in their old order get the ids from learned on."""
     return special.select("token", F.col("id").alias("old_id"), (F.row_number().over(Window.orderBy("id")) - 1 + learned).cast("int").alias("new_id"))
 
 
+def overlap(source: DataFrame, target: DataFrame) -> DataFrame:
+    """(token, id, source_id) of target tokens whose canonical form a source token shares; of several sources the least id.
+
+    Both have token, id and canonical; tokens without a canonical form are hidden.
+    """
+    first = source.where("canonical <> ''").groupBy("canonical").agg(F.min("id").alias("source_id"))
+    return target.where("canonical <> ''").join(first, "canonical").select("token", "id", "source_id")
+
+
 def remap(ids: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """old_id to new_id through the token; null where the new vocabulary lacks it."""
     by_old = ids.join(old.select(F.col("id").alias("old_id"), "token"), "old_id", "left")
     return by_old.join(new.select("token", F.col("id").alias("new_id")), "token", "left")
+
+
+def remap_settings(settings: Mapping, old: Mapping[int, str], new: Mapping[str, int]) -> dict:
+    """Settings that name token ids, carried from an old vocabulary (token by id) to a new one (id by token).
+
+    Scalars *_token_id become null if the new one lacks the token, and stay absent if absent; maps lose such entries;
+    suppress_tokens is cleared; begin_suppress_tokens keeps those found; forced ids become null.
+    """
+    to = lambda i: new.get(old.get(i))
+    out = dict(settings)
+    for name, value in settings.items():
+        if name.startswith("forced_"):
+            out[name] = None
+        elif name == "suppress_tokens":
+            out[name] = []
+        elif name == "begin_suppress_tokens":
+            out[name] = [to(i) for i in value or [] if to(i) is not None]
+        elif isinstance(value, Mapping):
+            out[name] = {k: to(i) for k, i in value.items() if to(i) is not None}
+        elif name.endswith("_token_id") and value is not None:
+            out[name] = to(value)
+    return out

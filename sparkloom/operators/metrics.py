@@ -15,35 +15,45 @@ def words(text: Column) -> Column:
     return F.filter(F.split(flatten_whitespace(text), " "), lambda w: w != "")
 
 
-def word_edits(reference: Column, hypothesis: Column, both: Column) -> Column:
-    """Least substitutions, deletions and insertions of two word lists; both holds their distinct words.
+#: The first letter that stands for a word, and the range of surrogates, which are no letters.
+_FIRST, _SURROGATES, _SKIP = 0x4E00, 0xD800, 0x800
+
+
+def letters(reference: list[str], hypothesis: list[str]) -> tuple[str, str]:
+    """Both word lists with one character for each distinct word."""
+    code = {w: _FIRST + i for i, w in enumerate(dict.fromkeys([*reference, *hypothesis]))}
+    return tuple("".join([chr(c if c < _SURROGATES else c + _SKIP) for c in map(code.__getitem__, ws)]) for ws in (reference, hypothesis))
 
-    Words become one character each. The arguments should be plain columns, as a lambda computes
-    them again for every word otherwise.
-    """
-    code = lambda ws: F.array_join(F.transform(ws, lambda w: _letter(F.array_position(both, w))), "")
-    return F.levenshtein(code(reference), code(hypothesis)).cast("long")
 
+def _lettered(references: pd.Series, hypotheses: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([letters(r.split(" ") if r else [], h.split(" ") if h else []) for r, h in zip(references, hypotheses, strict=True)], columns=["r", "h"])
 
-def _letter(position: Column) -> Column:
-    """A distinct character of the basic plane for each position (more than 50,000 before surrogates matter)."""
-    value = (position + 0x4E00).cast("int")
-    utf8 = F.concat(*[F.unhex(F.lpad(F.hex(b), 2, "0")) for b in (F.shiftright(value, 12).bitwiseOR(F.lit(0xE0)), F.shiftright(value, 6).bitwiseAND(F.lit(0x3F)).bitwiseOR(F.lit(0x80)), value.bitwiseAND(F.lit(0x3F)).bitwiseOR(F.lit(0x80)))])
-    return F.decode(utf8, "UTF-8")
+
+def word_edits(reference: Column, hypothesis: Column) -> Column:
+    """Least substitutions, deletions and insertions of the words of two flattened texts; JVM edit distance of one letter a word."""
+    coded = F.pandas_udf(_lettered, "r string, h string")(reference, hypothesis)
+    return F.levenshtein(coded["r"], coded["h"]).cast("long")
 
 
 def align(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
-    """Substitutions, deletions, insertions of one best alignment; prefers diagonal steps, then deletions."""
+    """Substitutions, deletions, insertions of one best alignment; prefers diagonal steps, then deletions.
+
+    Costs are computed a row at a time: insertions along a row are a running minimum.
+    """
     n, m = len(reference), len(hypothesis)
-    cost = np.zeros((n + 1, m + 1), np.int64)
-    cost[:, 0], cost[0] = np.arange(n + 1), np.arange(m + 1)
+    code = {w: i for i, w in enumerate(dict.fromkeys([*reference, *hypothesis]))}
+    a, b = (np.array([code[w] for w in ws], np.int32) for ws in (reference, hypothesis))
+    step = np.arange(m + 1, dtype=np.int32)
+    cost = np.empty((n + 1, m + 1), np.int32)
+    cost[0] = step
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i, j] = min(cost[i - 1, j - 1] + (reference[i - 1] != hypothesis[j - 1]), cost[i - 1, j] + 1, cost[i, j - 1] + 1)
+        row = cost[i - 1] + 1
+        row[1:] = np.minimum(row[1:], cost[i - 1, :-1] + (b != a[i - 1]))
+        cost[i] = np.minimum.accumulate(row - step) + step
     s = d = ins = 0
     while n or m:
-        if n and m and cost[n, m] == cost[n - 1, m - 1] + (reference[n - 1] != hypothesis[m - 1]):
-            s += reference[n - 1] != hypothesis[m - 1]
+        if n and m and cost[n, m] == cost[n - 1, m - 1] + (a[n - 1] != b[m - 1]):
+            s += a[n - 1] != b[m - 1]
             n, m = n - 1, m - 1
         elif n and cost[n, m] == cost[n - 1, m] + 1:
             d, n = d + 1, n - 1
@@ -66,15 +76,14 @@ def error_counts(pairs: DataFrame) -> DataFrame:
     """Adds ref_words, word_edits, ref_chars and char_edits; all 0 where the reference is blank."""
     names = pairs.columns
     texts = pairs.select("*", strip(F.coalesce("reference", F.lit(""))).alias("_ref"), strip(F.coalesce("hypothesis", F.lit(""))).alias("_hyp"))
-    listed = texts.select("*", words(F.col("_ref")).alias("_rw"), words(F.col("_hyp")).alias("_hw"))
-    listed = listed.select("*", F.array_distinct(F.concat("_rw", "_hw")).alias("_both"))
-    counts = {"ref_words": F.size("_rw").cast("long"), "word_edits": word_edits(F.col("_rw"), F.col("_hw"), F.col("_both")), "ref_chars": F.length("_ref").cast("long"), "char_edits": F.levenshtein("_ref", "_hyp").cast("long")}
+    flat = texts.select("*", flatten_whitespace(F.col("_ref")).alias("_rf"), flatten_whitespace(F.col("_hyp")).alias("_hf"))
+    counts = {"ref_words": F.size(words(F.col("_ref"))).cast("long"), "word_edits": word_edits(F.col("_rf"), F.col("_hf")), "ref_chars": F.length("_ref").cast("long"), "char_edits": F.levenshtein("_ref", "_hyp").cast("long")}
     zero = F.lit(0).cast("long")
-    return listed.select(*names, *[F.when(F.col("_ref") == "", zero).otherwise(v).alias(k) for k, v in counts.items()])
+    return flat.select(*names, *[F.when(F.col("_ref") == "", zero).otherwise(v).alias(k) for k, v in counts.items()])
 
 
 def error_rates(counted: DataFrame, *by: str) -> DataFrame:
-    """wer and cer as ratios of sums; 1 where no reference has words."""
-    sums = counted.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("ref_words", "word_edits", "ref_chars", "char_edits")])
+    """wer and cer as ratios of sums; 1 where no reference has words, and for no rows at all."""
+    sums = counted.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("ref_words", "word_edits", "ref_chars", "char_edits")])
     rate = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(1.0))
     return sums.withColumns({"wer": rate("word_edits", "ref_words"), "cer": rate("char_edits", "ref_chars")})

@@ -24,8 +24,11 @@ def normalize_selector(selector) -> Selector | None:
     return tuple(out)
 
 
-def matches(selector: Selector, columns: Sequence[str], multi_valued: Sequence[str] = ()) -> Column:
-    """The selector as a predicate that is never null; KeyError names a column that is not there."""
+def matches(selector: Selector, columns: Sequence[str], multi_valued: Sequence[str] = (), types: Mapping[str, str] | None = None) -> Column:
+    """The selector as a predicate that is never null; KeyError names a column that is not there.
+
+    types are the columns' types, as in dict(df.dtypes); a boolean column is compared with 'True' and 'False'.
+    """
     unknown = sorted({c for clause in selector for c, _ in clause} - set(columns))
     if unknown:
         raise KeyError(f"selector names unknown columns: {', '.join(unknown)}")
@@ -33,7 +36,9 @@ def matches(selector: Selector, columns: Sequence[str], multi_valued: Sequence[s
     def accepts(column: str, values: tuple[str, ...]) -> Column:
         if column in multi_valued:
             return F.arrays_overlap(F.col(column), F.array(*map(F.lit, values)) if values else F.array().cast("array<string>"))
-        return F.col(column).cast("string").isin(*values) if values else F.lit(False)
+        # booleans are written as Python writes them, True and False
+        cell = F.initcap(F.col(column).cast("string")) if (types or {}).get(column) == "boolean" else F.col(column).cast("string")
+        return cell.isin(*values) if values else F.lit(False)
 
     clauses = [reduce(Column.__and__, [accepts(c, v) for c, v in clause]) for clause in selector]
     return F.coalesce(reduce(Column.__or__, clauses, F.lit(False)), F.lit(False))

@@ -35,21 +35,38 @@ def run_params_diff(t):
     return R.parameter_diff(_params(t), ["run1", "run2", "run3", "absent"])
 
 
-@query("SELECT 'run' || p_partkey AS run, CASE WHEN p_partkey % 3 = 0 THEN 'new ' || p_type ELSE p_type END AS params, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS note FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0")
+# Registered runs are parts by their number; the runs that files know are the parts that orders ask for, and customers' numbers.
+_RUNS = "reg AS (SELECT 'run' || p_partkey AS run, p_type AS params, p_brand AS note FROM part), files AS (SELECT 'run' || c_custkey AS run, 'new ' || c_mktsegment AS params FROM customer)"
+
+
+def _registry(t):
+    return t("part").select(F.concat(F.lit("run"), "p_partkey").alias("run"), F.col("p_type").alias("params"), F.col("p_brand").alias("note"))
+
+
+def _found(t):
+    return t("customer").select(F.concat(F.lit("run"), "c_custkey").alias("run"), F.concat(F.lit("new "), "c_mktsegment").alias("params"))
+
+
+@query(f"WITH {_RUNS} SELECT coalesce(files.run, reg.run) AS run, coalesce(files.params, reg.params) AS params, coalesce(note, '') AS note FROM reg FULL JOIN files ON reg.run = files.run")
 def registry_upsert(t):
-    run = F.concat(F.lit("run"), "p_partkey")
-    old = t("part").where("p_partkey % 2 = 0").select(run.alias("run"), F.col("p_type").alias("params"), F.col("p_brand").alias("note"))
-    new = t("part").where("p_partkey % 3 = 0").select(run.alias("run"), F.concat(F.lit("new "), "p_type").alias("params"))
-    return R.upsert(old, new, ["note"])
+    return R.upsert(_registry(t), _found(t), ["note"])
 
 
-@query("""WITH f AS (SELECT 'run' || p_partkey AS run FROM part WHERE p_partkey % 4 <> 0), r AS (SELECT 'run' || p_partkey AS run, CASE WHEN p_size < 10 THEN ' ' ELSE p_name END AS note, CASE WHEN p_size > 40 THEN NULL ELSE p_type END AS observation FROM part WHERE p_partkey % 5 <> 0)
+@query("""WITH f AS (SELECT 'run' || c_custkey AS run FROM customer), r AS (SELECT 'run' || p_partkey AS run, CASE WHEN p_size < 10 THEN ' ' ELSE p_name END AS note, CASE WHEN p_size > 40 THEN NULL ELSE p_type END AS observation FROM part)
 SELECT run, 'unregistered' AS debt FROM f WHERE run NOT IN (SELECT run FROM r) UNION ALL SELECT run, 'no file' FROM r WHERE run NOT IN (SELECT run FROM f) UNION ALL SELECT run, 'note' FROM r WHERE coalesce(trim(note), '') = '' UNION ALL SELECT run, 'observation' FROM r WHERE coalesce(trim(observation), '') = ''""")
 def annotation_debt(t):
-    run = F.concat(F.lit("run"), "p_partkey").alias("run")
-    files = t("part").where("p_partkey % 4 <> 0").select(run)
-    registry = t("part").where("p_partkey % 5 <> 0").select(run, F.when(F.col("p_size") < 10, " ").otherwise(F.col("p_name")).alias("note"), F.when(F.col("p_size") <= 40, F.col("p_type")).alias("observation"))
-    return R.debts(files, registry)
+    registry = t("part").select(F.concat(F.lit("run"), "p_partkey").alias("run"), F.when(F.col("p_size") < 10, " ").otherwise(F.col("p_name")).alias("note"), F.when(F.col("p_size") <= 40, F.col("p_type")).alias("observation"))
+    return R.debts(_found(t).select("run"), registry)
+
+
+@query("SELECT run, row_number() OVER (ORDER BY regexp_extract(run, '^[^0-9]*'), CAST(regexp_extract(run, '[0-9]+') AS BIGINT)) AS place FROM (SELECT 'run' || c_custkey AS run FROM customer)")
+def natural_order(t):
+    """Places in the order v2, v10."""
+    from ..sources import indexed
+
+    head, number = R.natural_key(F.col("run"))
+    rows = _found(t).select("run", head.alias("_head"), number.alias("_number"))
+    return indexed(rows, ["_head", "_number"], "place").select("run", (F.col("place") + 1).alias("place"))
 
 
 @query(f"WITH {_PARAMS}, c AS (SELECT run, param, CASE WHEN value LIKE '%7' THEN value || 'x' ELSE value END AS value FROM params WHERE value <> 'ECONOMY') SELECT a.run, a.param, a.value AS recorded, c.value AS configured FROM params a LEFT JOIN c ON a.run = c.run AND a.param = c.param WHERE a.value IS DISTINCT FROM c.value")
@@ -62,12 +79,12 @@ def registry_verify(t):
 _AVG = f"WITH {_LOG}, m AS (SELECT grp, metric, count(DISTINCT run) AS members FROM log GROUP BY grp, metric)"
 
 
-@query(f"{_AVG} SELECT l.grp, l.metric, step, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS band, any_value(members) AS members FROM log l JOIN m ON m.grp = l.grp AND m.metric = l.metric GROUP BY l.grp, l.metric, step HAVING count(DISTINCT run) = any_value(members)")
+@query(f"{_AVG} SELECT l.grp, l.metric, step, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS band, any_value(members) AS members, l.grp || ' (n=' || any_value(members) || ')' AS label FROM log l JOIN m ON m.grp = l.grp AND m.metric = l.metric GROUP BY l.grp, l.metric, step HAVING count(DISTINCT run) = any_value(members)")
 def seed_average(t):
     return R.replicate_average(_log(t)).withColumns({"mean": F.round("mean", 6), "band": F.round("band", 6)})
 
 
-@query(f"{_AVG} SELECT l.grp, l.metric, step, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high, any_value(members) AS members FROM log l JOIN m ON m.grp = l.grp AND m.metric = l.metric GROUP BY l.grp, l.metric, step HAVING count(DISTINCT run) = any_value(members)")
+@query(f"{_AVG} SELECT l.grp, l.metric, step, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high, any_value(members) AS members, l.grp || ' (n=' || any_value(members) || ')' AS label FROM log l JOIN m ON m.grp = l.grp AND m.metric = l.metric GROUP BY l.grp, l.metric, step HAVING count(DISTINCT run) = any_value(members)")
 def seed_average_band(t):
     return R.replicate_average(_log(t), "minmax").withColumn("mean", F.round("mean", 6))
 
@@ -83,17 +100,17 @@ def latest_checkpoint(t):
     return _log(t).groupBy("run").agg(F.max("step").cast("long").alias("latest_step"), F.max_by("value", F.struct("step", "metric")).alias("value"))
 
 
-@query("""WITH remote AS (SELECT DISTINCT 'run' || user_id AS run FROM events), l AS (SELECT 'run' || user_id AS run, bool_or(event_type = 'purchase' AND value > 100) AS finished, user_id % 7 = 0 AS closed FROM events WHERE user_id % 3 <> 0 GROUP BY user_id)
+@query("""WITH remote AS (SELECT DISTINCT 'run' || user_id AS run FROM events), l AS (SELECT 'run' || o_custkey AS run, bool_or(o_orderstatus = 'F') AS finished, bool_or(o_orderpriority = '5-LOW') AS closed FROM orders GROUP BY o_custkey)
 SELECT remote.run, CASE WHEN finished IS NULL THEN 'fetch' WHEN closed OR finished THEN 'none' ELSE 'refresh' END AS action FROM remote LEFT JOIN l ON l.run = remote.run""")
 def fetch_status(t):
-    run = F.concat(F.lit("run"), "user_id").alias("run")
-    local = t("events").where("user_id % 3 <> 0").groupBy("user_id").agg(F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > 100)).alias("finished")).select(run, "finished", (F.col("user_id") % 7 == 0).alias("closed"))
-    return R.fetch_plan(t("events").select(run).distinct(), local)
+    """Runs that log events against copies that customers' orders stand for."""
+    local = t("orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "F").alias("finished"), F.bool_or(F.col("o_orderpriority") == "5-LOW").alias("closed"))
+    return R.fetch_plan(t("events").select(F.concat(F.lit("run"), "user_id").alias("run")).distinct(), local.select(F.concat(F.lit("run"), "o_custkey").alias("run"), "finished", "closed"))
 
 
 @query(f"""WITH {_LOG}, v AS (SELECT run, step, value FROM log WHERE metric = 'error'), b AS (SELECT *, min(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v),
 k AS (SELECT *, max(CASE WHEN before IS NULL OR value < before THEN step END) OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING) AS last FROM b)
-SELECT run, CAST(min(CASE WHEN step - last >= 5 THEN step END) AS BIGINT) AS stop_step, min(value) AS best, false AS diverged FROM k GROUP BY run""")
+SELECT run, CAST(min(CASE WHEN step - last >= 5 THEN step END) AS BIGINT) AS stop_step, min(value) AS best, bool_or(isnan(value) OR isinf(value)) AS diverged FROM k GROUP BY run""")
 def early_stopping(t):
     log = _log(t).where("metric = 'error'").select("run", "step", "value")
     return R.stopping_point(log, 5).withColumn("stop_step", F.col("stop_step").cast("long"))
@@ -117,3 +134,63 @@ def value_format(t):
 @query("WITH p AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type FROM events) SELECT k, event_type, count(*) AS n FROM p GROUP BY k, event_type")
 def record_read(t):
     return t("events").select(F.from_json("props", "k long")["k"].alias("k"), "event_type").groupBy("k", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'run' || user_id AS experiment, array_to_string(list_sort(list(event_type || '-' || event_id)), ',') AS directories FROM events GROUP BY user_id")
+def copies_by_experiment(t):
+    copies = t("events").select(F.concat(F.lit("run"), "user_id").alias("experiment"), F.concat_ws("-", "event_type", "event_id").alias("directory"))
+    return R.by_experiment(copies).select("experiment", F.array_join("directories", ",").alias("directories"))
+
+
+@query("SELECT source, count(nullif(text, '')) AS present, coalesce(min(sha256(nullif(text, ''))) = max(sha256(nullif(text, ''))), false) AS agree FROM documents GROUP BY source")
+def agreeing_copies(t):
+    return R.agreeing(t("documents").select("source", F.nullif("text", F.lit("")).alias("text")), "source", "text")
+
+
+@query("SELECT 'run' || user_id AS run, event_id FROM events WHERE contains('run' || user_id, '7') AND ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 7 DAY")
+def inventory_window(t):
+    inventory = t("events").select(F.concat(F.lit("run"), "user_id").alias("run"), "event_id", "ts")
+    return R.in_window(inventory, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), 7, "7", "ts").select("run", "event_id")
+
+
+@query("SELECT 'run' || p_partkey AS run, 'brand=' || p_brand AS params FROM part WHERE p_type = 'ECONOMY' AND p_size = 7")
+def registry_selection(t):
+    params = F.create_map(F.lit("brand"), "p_brand", F.lit("name"), "p_name")
+    registry = t("part").select(F.concat(F.lit("run"), "p_partkey").alias("run"), F.col("p_type").alias("era"), F.col("p_size").cast("string").alias("group"), params.alias("params"))
+    return R.selected(registry, "ECONOMY", "7", ["name"]).select("run", F.array_join(F.transform(F.map_entries("params"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("params"))
+
+
+@query("SELECT doc_id, CASE WHEN k < 7 THEN 'processed_' || 'wide' || substr(name, 15) ELSE name END AS renamed FROM (SELECT doc_id, 'processed_base_' || source AS name, length(source) AS k FROM documents WHERE length(source) < 7 UNION ALL SELECT doc_id, 'processed_basement_' || source, 7 FROM documents WHERE length(source) >= 7)")
+def slug_swap(t):
+    """processed_base_x goes over to processed_wide_x; processed_basement_x is another model's."""
+    name = F.when(F.length("source") < 7, F.concat(F.lit("processed_base_"), "source")).otherwise(F.concat(F.lit("processed_basement_"), "source"))
+    return t("documents").select("doc_id", R.swapped_slug(name, "base", "wide").alias("renamed"))
+
+
+@query("SELECT DISTINCT 'processed_' || lang || '_' || source || '_focus-v' AS name FROM documents")
+def repeated_slug_dropped(t):
+    name = F.concat(F.lit("processed_"), "lang", F.lit("_"), "source", F.lit("_focus-v-"), "lang")
+    once = R.without_repeated_slug(name)
+    return t("documents").select(R.without_repeated_slug(once).alias("name")).distinct()
+
+
+@query("""WITH d AS (SELECT DISTINCT source AS name FROM documents UNION SELECT DISTINCT lang FROM documents), n AS (SELECT name, left(name, 2) AS target FROM d), w AS (SELECT target, count(*) AS k FROM n WHERE name <> target GROUP BY target)
+SELECT name, n.target, CASE WHEN name = n.target THEN 'none' WHEN n.target IN (SELECT name FROM d) OR k > 1 THEN 'skip' ELSE 'rename' END AS action FROM n LEFT JOIN w ON w.target = n.target""")
+def rename_plan(t):
+    names = t("documents").select(F.col("source").alias("name")).union(t("documents").select("lang")).distinct()
+    return R.rename_plan(names, F.left("name", F.lit(2)))
+
+
+@query("""WITH l AS (SELECT p_partkey AS directory, p_type AS type, p_brand AS record FROM part), e AS (SELECT c_custkey AS directory, CASE WHEN c_nationkey < 8 THEN NULL WHEN c_nationkey < 16 THEN p_brand ELSE c_mktsegment END AS record FROM customer LEFT JOIN part ON p_partkey = c_custkey)
+SELECT l.directory, CASE WHEN type NOT IN ('ECONOMY', 'STANDARD', 'PROMO') THEN 'unknown-type' WHEN e.directory IS NULL THEN 'no-data' WHEN e.record IS NULL THEN 'write' WHEN e.record = l.record THEN 'already-migrated' ELSE 'differs' END AS status FROM l LEFT JOIN e ON e.directory = l.directory""")
+def record_plan(t):
+    legacy = t("part").select(F.col("p_partkey").alias("directory"), F.col("p_type").alias("type"), F.col("p_brand").alias("record"))
+    same = t("customer").join(t("part"), F.col("p_partkey") == F.col("c_custkey"), "left")
+    record = F.when(F.col("c_nationkey") >= 16, F.col("c_mktsegment")).when(F.col("c_nationkey") >= 8, F.col("p_brand"))
+    return R.record_plan(legacy, same.select(F.col("c_custkey").alias("directory"), record.alias("record")), ["ECONOMY", "STANDARD", "PROMO"])
+
+
+@query("SELECT conv_id AS example_index, text AS hypothesis, url AS example FROM conversations JOIN pages ON page_id = conv_id")
+def prediction_paths(t):
+    predictions = t("conversations").select(F.col("conv_id").alias("example_index"), F.col("text").alias("hypothesis"))
+    return R.with_features(predictions, t("pages").select(F.col("page_id").alias("example_index"), F.col("url").alias("audio_path")))

@@ -44,6 +44,11 @@ def ctc_decode(t):
     return _frames(t).select("vec_id", L.decode(L.collapse(F.col("ids")), tokens).alias("decoded"))
 
 
+@query(f"WITH {_FRAMES} SELECT vec_id, array_to_string(list_filter(ids, lambda x: x NOT IN (0, 2)), ',') AS ids FROM f")
+def drop_special_ids(t):
+    return _frames(t).select("vec_id", _list(L.drop_special(F.col("ids"), [0, 2])).alias("ids"))
+
+
 @query(f"WITH {_FRAMES} SELECT vec_id, array_to_string(list_transform(ids, lambda x: CASE WHEN x = 3 THEN 0 ELSE x END), ',') AS padded, array_to_string(list_filter(ids, lambda x: x <> 3), ',') AS dropped FROM f")
 def strip_sentinel(t):
     masked = F.transform("ids", lambda x: F.when(x == 3, F.lit(-100)).otherwise(x))
@@ -84,11 +89,27 @@ def word_errors(t):
     return M.error_counts(_pairs(t)).select("conv_id", "turn", "ref_words", "word_edits")
 
 
-@query()
+# DuckDB's edit distance counts bytes, so each of the corpus's characters, fewer than 127, becomes one ASCII character first.
+_ASCII = f"""{_P}, k AS (SELECT string_agg(ch, '' ORDER BY ch) AS every, string_agg(chr(CAST(n AS INTEGER)), '' ORDER BY ch) AS plain FROM (SELECT ch, row_number() OVER (ORDER BY ch) AS n FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM conversations WHERE text <> ''))),
+ce AS (SELECT conv_id, turn, role, length(reference) AS ref_chars, CASE WHEN reference = '' THEN 0 ELSE levenshtein(translate(reference, every, plain), translate(hypothesis, every, plain)) END AS char_edits FROM p, k)"""
+
+
+@query(f"WITH {_ASCII} SELECT conv_id, turn, ref_chars, char_edits FROM ce")
 def char_errors(t):
     return M.error_counts(_pairs(t)).select("conv_id", "turn", "ref_chars", "char_edits")
 
 
+@query(f"WITH {_ASCII} SELECT CAST(sum(ref_chars) AS BIGINT) AS ref_chars, CAST(sum(char_edits) AS BIGINT) AS char_edits, sum(char_edits) / CAST(sum(ref_chars) AS DOUBLE) AS cer FROM ce")
+def corpus_cer(t):
+    return M.error_rates(M.error_counts(_pairs(t))).select("ref_chars", "char_edits", "cer")
+
+
+@query(f"WITH {_P} SELECT CAST(0 AS BIGINT) AS ref_words, 1.0::DOUBLE AS wer, 1.0::DOUBLE AS cer FROM p WHERE reference = 'no such turn' HAVING count(*) = 0")
+def rates_without_references(t):
+    """Without references both rates are 1."""
+    return M.error_rates(M.error_counts(_pairs(t).where("reference = 'no such turn'"))).select("ref_words", "wer", "cer")
+
+
 @query(f"WITH RECURSIVE {_P}, {_dp(_WORDS)} SELECT CAST(sum(n) AS BIGINT) AS ref_words, CAST(sum(edits) AS BIGINT) AS word_edits, sum(edits) / CAST(sum(n) AS DOUBLE) AS wer FROM e")
 def corpus_wer(t):
     return M.error_rates(M.error_counts(_pairs(t))).select("ref_words", "word_edits", "wer")
@@ -109,10 +130,13 @@ def _tokens(t):
     return t("embeddings").select(F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("token"), "vec_id", "label", F.col("embedding").alias("vector"))
 
 
-@query("SELECT 't' || CAST(vec_id AS VARCHAR) AS token, md5(array_to_string(list_transform(CASE WHEN vec_id % 10 = 0 THEN list_transform(embedding, lambda x: 0) ELSE list_transform(embedding, lambda x: CAST(floor(x * 1000) AS BIGINT)) END, lambda x: x), ',')) AS vector_md5, vec_id % 10 = 0 AS restored FROM embeddings")
+@query("""WITH s AS (SELECT 't' || doc_id AS token, list(quality ORDER BY quality, toxic) AS v FROM labels GROUP BY doc_id)
+SELECT 't' || vec_id AS token, md5(array_to_string(coalesce(v, list_transform(embedding, lambda x: CAST(floor(x * 1000) AS BIGINT))), ',')) AS vector_md5, v IS NOT NULL AS restored FROM embeddings LEFT JOIN s ON s.token = 't' || vec_id""")
 def embedding_restore(t):
+    """Vectors by token; where a label has the number, its own short vector is put in place."""
     target = _tokens(t).select("token", F.transform("vector", lambda x: F.floor(x.cast("double") * 1000)).alias("vector"))
-    source = _tokens(t).where("vec_id % 10 = 0").select("token", F.transform("vector", lambda x: F.lit(0).cast("long")).alias("vector"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("quality", "toxic"))), lambda r: r["quality"].cast("long"))
+    source = t("labels").groupBy("doc_id").agg(listed.alias("vector")).select(F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("token"), "vector")
     return V.restore(target, source).select("token", F.md5(F.array_join(F.col("vector").cast("array<string>"), ",").cast("binary")).alias("vector_md5"), "restored")
 
 

@@ -100,9 +100,9 @@ p AS (SELECT grp, s, coalesce(sum(s) OVER (ORDER BY md5('1:' || grp), grp ROWS B
 SELECT grp, s AS group_size FROM p WHERE before < ({target})"""
 
 
-def _sample(df: DataFrame, size: float, unit) -> DataFrame:
+def _sample(df: DataFrame, size: float, unit, amount: bool = False) -> DataFrame:
     rows = df.select(F.col("key").cast("string").alias("grp"), unit.cast("long").alias("unit"))
-    drawn = sampling.sample_groups(rows, "grp", size, 1)
+    drawn = sampling.sample_groups(rows, "grp", size, 1, amount=amount)
     return rows.join(drawn, "grp", "left_semi").groupBy("grp").agg(F.sum("unit").alias("group_size"))
 
 
@@ -113,12 +113,18 @@ def group_sample_examples(t):
 
 @query(_sampled("size", "100000000"))
 def group_sample_hours(t):
-    return _sample(examples(t), 100_000_000, F.col("size"))
+    return _sample(examples(t), 100_000_000, F.col("size"), True)
 
 
-@query(_sampled("CASE WHEN size <= 30000000 THEN size ELSE 0 END", "SELECT CAST(round_even(sum(CASE WHEN size <= 30000000 THEN size ELSE 0 END) * CAST(0.1 AS DOUBLE), 0) AS BIGINT) FROM ex"))
+@query(_sampled("CASE WHEN size <= 30000000 THEN size ELSE 0 END", "50000000.5"))
 def group_sample_usable_only(t):
-    return _sample(examples(t), 0.1, F.when(F.col("size") <= 30_000_000, F.col("size")).otherwise(0))
+    return _sample(examples(t), 50_000_000.5, F.when(F.col("size") <= 30_000_000, F.col("size")).otherwise(0), True)
+
+
+@query(_sampled("CASE WHEN size <= 30000000 THEN 1 ELSE 0 END", "0.5"))
+def group_sample_amount_under_one(t):
+    """An amount under one unit is no fraction: groups up to the first that weighs anything."""
+    return _sample(examples(t), 0.5, F.when(F.col("size") <= 30_000_000, 1).otherwise(0), True)
 
 
 def _filled(size: str, budget: str, where: str = "true") -> str:
@@ -151,15 +157,17 @@ def budget_fill_matched(t):
     return _fill(df.where("c_mktsegment <> 'BUILDING'"), F.col("size"), budget)
 
 
-SPEC = splits.SplitSpec(test={"c_mktsegment": "BUILDING"}, test_size=0.5, dev_size=0.1, dev_group_by="c_nationkey", test_remainder="train", train_budget="matched", unit="size", max_size=45_000_000)
-ASSIGNED = f"""{EX}, u AS (SELECT *, CAST(c_nationkey AS VARCHAR) AS grp, CAST(key AS VARCHAR) AS tgrp, CASE WHEN size <= 45000000 THEN size ELSE 0 END AS unit FROM ex),
+# Rules the SQL states by itself: whole groups in order while what was taken is under the target; test and dev groups and the
+# order of the pool by dev_group_by; over-long rows weigh nothing in the budget, which is the pool's own size less the kept remainder's.
+SPEC = splits.SplitSpec(test={"c_mktsegment": "BUILDING"}, test_size=0.5, dev_size=0.1, dev_group_by="c_nationkey", test_remainder="train", train_budget="matched", units_per_hour=360_000, max_size=45_000_000)
+ASSIGNED = f"""{EX}, u AS (SELECT *, CAST(c_nationkey AS VARCHAR) AS grp, CASE WHEN size <= 45000000 THEN size ELSE 0 END AS unit FROM ex),
 sel AS (SELECT * FROM u WHERE c_mktsegment = 'BUILDING'), rest AS (SELECT * FROM u WHERE c_mktsegment <> 'BUILDING'),
 tg AS (SELECT grp, coalesce(sum(n) OVER (ORDER BY md5('1:' || grp), grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT grp, count(*) AS n FROM sel GROUP BY grp)),
 td AS (SELECT grp FROM tg WHERE before < (SELECT CAST(round_even(count(*) * CAST(0.5 AS DOUBLE), 0) AS BIGINT) FROM sel)),
 dg AS (SELECT grp, coalesce(sum(n) OVER (ORDER BY md5('1:' || grp), grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT grp, count(*) AS n FROM rest GROUP BY grp)),
 dd AS (SELECT grp FROM dg WHERE before < (SELECT CAST(round_even(count(*) * CAST(0.1 AS DOUBLE), 0) AS BIGINT) FROM rest)),
 pool AS (SELECT * FROM rest WHERE grp NOT IN (SELECT grp FROM dd)), kept AS (SELECT * FROM sel WHERE grp NOT IN (SELECT grp FROM td)),
-pf AS (SELECT example_index, coalesce(sum(unit) OVER (ORDER BY md5('1:' || tgrp), tgrp, example_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pool),
+pf AS (SELECT example_index, coalesce(sum(unit) OVER (ORDER BY md5('1:' || grp), grp, example_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pool),
 asg AS (SELECT example_index, 'test' AS split FROM sel WHERE grp IN (SELECT grp FROM td) UNION ALL SELECT example_index, 'dev' FROM rest WHERE grp IN (SELECT grp FROM dd)
   UNION ALL SELECT example_index, 'train' FROM pf WHERE before < (SELECT sum(unit) FROM pool) - (SELECT coalesce(sum(unit), 0) FROM kept) UNION ALL SELECT example_index, 'train' FROM kept)"""
 _REPORT = "count(*) AS examples, CAST(sum(size) AS BIGINT) AS total_size, count(*) FILTER (size <= 45000000) AS usable_examples, CAST(sum(CASE WHEN size <= 45000000 THEN size ELSE 0 END) AS BIGINT) AS usable_size"
@@ -182,12 +190,33 @@ def split_report_by(t):
     return splits.report(df, splits.assign(df, SPEC), ["c_mktsegment"], SPEC.max_size)
 
 
-@query(f"WITH {ASSIGNED} SELECT s AS split, count(example_index) AS examples, round(coalesce(sum(size), 0) / 360000.0, 3) AS hours FROM (VALUES ('train'), ('dev'), ('test')) v(s) LEFT JOIN (SELECT * FROM asg JOIN ex USING (example_index)) a ON a.split = s GROUP BY s")
+@query(f"""WITH {ASSIGNED} SELECT s AS split, count(example_index) AS examples, round(coalesce(sum(size), 0) / 360000.0, 3) AS hours, count(example_index) FILTER (size <= 45000000) AS usable_examples,
+round(coalesce(sum(size) FILTER (size <= 45000000), 0) / 360000.0, 3) AS usable_hours FROM (VALUES ('train'), ('dev'), ('test')) v(s) LEFT JOIN (SELECT * FROM asg JOIN ex USING (example_index)) a ON a.split = s GROUP BY s""")
 def split_counts_hours(t):
     df = examples(t)
-    names = df.sparkSession.createDataFrame([(s,) for s in splits.ORDER], "split string")
-    sums = splits.report(df, splits.assign(df, SPEC), [], SPEC.max_size)
-    return names.join(sums, "split", "left").select("split", F.coalesce("examples", F.lit(0)).cast("long").alias("examples"), F.round(F.coalesce("total_size", F.lit(0)) / 360000.0, 3).alias("hours"))
+    return splits.split_sizes(df, splits.assign(df, SPEC), SPEC.units_per_hour, SPEC.max_size)
+
+
+_HOURS = f"""{EX}, u AS (SELECT *, CAST(key AS VARCHAR) AS grp, c_mktsegment = 'BUILDING' AS sel FROM ex),
+g AS (SELECT grp, coalesce(sum(s) OVER (ORDER BY md5('3:' || grp), grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT grp, sum(CASE WHEN size <= 20000000 THEN size ELSE 0 END) AS s FROM u WHERE sel GROUP BY grp)),
+f AS (SELECT example_index, coalesce(sum(CASE WHEN size <= 20000000 THEN 1 ELSE 0 END) OVER (ORDER BY md5('3:' || grp), grp, example_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u WHERE NOT sel AND c_nationkey <> 4)"""
+
+
+@query(f"WITH {_HOURS} SELECT example_index, 'test' AS split FROM u JOIN g USING (grp) WHERE sel AND before < 0.75 * 36000000 UNION ALL SELECT example_index, 'dev' FROM u WHERE NOT sel AND c_nationkey = 4 UNION ALL SELECT example_index, 'train' FROM f WHERE before < 1000")
+def split_assign_hours(t):
+    """A test split of less than an hour, whole keys, and a train budget in examples, where over-long rows weigh nothing."""
+    spec = splits.SplitSpec(test={"c_mktsegment": "BUILDING"}, test_size=0.75, test_size_unit="hours", dev={"c_nationkey": 4}, train_budget=1000, train_budget_unit="examples", units_per_hour=36_000_000, max_size=20_000_000, seed=3)
+    return splits.assign(examples(t), spec)
+
+
+@query(f"WITH {EX}, h AS (SELECT o_orderkey AS example_index, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'PRIO-' || CAST(o_custkey AS VARCHAR) END AS source FROM orders) SELECT h.example_index, regexp_extract(source, '^PRIO-([0-9]+)$', 1) AS key, c_mktsegment FROM h JOIN ex USING (example_index) WHERE source IS NOT NULL")
+def attributes_of_matched(t):
+    """Keys from a column, and attributes by key; rows without a key are dropped."""
+    spec = splits.SplitSpec(key_column="c_custkey", key_from="source", key_pattern="^PRIO-([0-9]+)$", unmatched="drop")
+    source = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.concat(F.lit("PRIO-"), F.col("o_custkey").cast("string")))
+    rows = splits.keyed(t("orders").select(F.col("o_orderkey").alias("example_index"), source.alias("source")), "source", spec)
+    metadata = t("customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_mktsegment")
+    return splits.attributed(rows, metadata, spec).select("example_index", "key", "c_mktsegment")
 
 
 @query("""WITH s AS (SELECT doc_id AS example_index, CASE WHEN lang = 'de' THEN 'test' ELSE 'train' END AS source_split FROM documents),

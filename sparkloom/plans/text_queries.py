@@ -61,25 +61,24 @@ def char_vocab_min_freq(t):
 
 @query("SELECT lang, ch AS token, count(*) AS n FROM (SELECT lang, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '') GROUP BY lang, ch")
 def vocab_by_split(t):
-    return t("documents").select("lang", F.explode(T.characters(F.col("text"))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
+    return L.character_counts(t("documents"), by="lang")
 
 
 _MAP = f"WITH {_CHARS}, {_VOCAB.format(least=500)}, m AS (SELECT map(list(token), list(id)) AS vm FROM vocab)"
-_IDS = "list_transform(string_split(replace(text, ' ', '|'), ''), lambda x: coalesce(vm[x], 1))"
+_IDS = "CASE WHEN text = '' THEN [] ELSE list_transform(string_split(replace(text, ' ', '|'), ''), lambda x: coalesce(vm[x], 1)) END"
 
 
-@query(f"{_MAP} SELECT doc_id, md5(array_to_string({_IDS}, ',')) AS labels_md5, CAST(len({_IDS}) AS BIGINT) AS label_length FROM documents, m WHERE text <> ''")
+@query(f"{_MAP} SELECT doc_id, md5(array_to_string({_IDS}, ',')) AS labels_md5, CAST(len({_IDS}) AS BIGINT) AS label_length FROM documents, m")
 def encode_labels(t):
-    docs = t("documents").where("text <> ''")
-    vocab = L.vocabulary_map(L.vocabulary(docs, min_frequency=500))
-    ids = docs.select("doc_id", L.encode(F.col("text"), vocab).alias("labels"))
+    docs = t("documents")
+    encode = L.encoder(L.vocabulary(docs, min_frequency=500))
+    ids = docs.select("doc_id", encode(F.col("text")).alias("labels"))
     return ids.select("doc_id", F.md5(F.array_join(F.col("labels").cast("array<string>"), ",").cast("binary")).alias("labels_md5"), F.size("labels").cast("long").alias("label_length"))
 
 
 @query(f"{_MAP} SELECT item_id, CAST(len(text) AS BIGINT) AS n, CAST(len(list_filter({_IDS}, lambda x: x = 1)) AS BIGINT) AS unknown FROM benchmark, m")
 def unk_rate_external(t):
-    vocab = L.vocabulary_map(L.vocabulary(t("documents"), min_frequency=500))
-    ids = L.encode(F.col("text"), vocab)
+    ids = L.encoder(L.vocabulary(t("documents"), min_frequency=500))(F.col("text"))
     return t("benchmark").select("item_id", F.length("text").cast("long").alias("n"), F.size(F.filter(ids, lambda x: x == 1)).cast("long").alias("unknown"))
 
 
@@ -198,8 +197,56 @@ def stale_ids(t):
 
 @query("SELECT doc_id, CAST(row_number() OVER (ORDER BY source, doc_id) - 1 AS BIGINT) AS example_index FROM documents")
 def example_index(t):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    counts = t("documents").groupBy("source").agg(F.count("*").alias("n"))
-    before = counts.select("source", F.coalesce(F.sum("n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rows = t("documents").select("doc_id", "source").withColumn("at", F.row_number().over(w) - 1)
-    return rows.join(before, "source").select("doc_id", (F.col("at") + F.col("before")).cast("long").alias("example_index"))
+    from ..sources import indexed
+
+    return indexed(t("documents").select("source", "doc_id"), ["source", "doc_id"]).select("doc_id", "example_index")
+
+
+@query(f"SELECT doc_id, regexp_replace(nfc_normalize(text), '^x', '') AS nfc, length(nfc_normalize(text)) AS nfc_length FROM documents")
+def unicode_nfc(t):
+    form = T.unicode_form(F.col("text"), "NFC")
+    return t("documents").select("doc_id", F.regexp_replace(form, "^x", "").alias("nfc"), F.length(form).cast("long").alias("nfc_length"))
+
+
+_PATHS = "n AS (SELECT doc_id, '/corpus/' || source || '/' || lang || '/' || doc_id || '.wav' AS path, source || ';;' || lang || ';' AS cell FROM documents)"
+
+
+@query(f"WITH {_PATHS} SELECT doc_id, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, substr(path, 9) AS below, array_to_string(list_filter(string_split(cell, ';'), lambda x: x <> ''), '+') AS cell FROM n")
+def path_parts(t):
+    path = F.concat(F.lit("/corpus/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".wav"))
+    cell = F.concat("source", F.lit(";;"), "lang", F.lit(";"))
+    return t("documents").select("doc_id", T.dirname(path).alias("folder"), T.relative_path(path, "/corpus").alias("below"), F.array_join(T.split_values(cell), "+").alias("cell"))
+
+
+@query("""WITH b AS (SELECT doc_id, source AS batch, list_transform(string_split(left(text, 12), ''), lambda c: ascii(c)) AS labels FROM documents WHERE text <> ''),
+s AS (SELECT batch, max(len(labels)) AS longest, bool_and(labels[1] < 128) AS plain FROM b GROUP BY batch)
+SELECT doc_id, array_to_string(list_concat(labels, list_transform(range(len(labels), longest), lambda x: -100)), ',') AS labels FROM b JOIN s USING (batch)""")
+def collate_labels(t):
+    points = F.transform(T.characters(F.left("text", F.lit(12))), lambda c: F.ascii(c))
+    rows = t("documents").where("text <> ''").select("doc_id", F.col("source").alias("batch"), points.alias("labels"))
+    return L.collate(rows, "batch").select("doc_id", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
+
+
+@query("""WITH b AS (SELECT conv_id, turn, list_concat([CASE WHEN role = 'user' OR conv_id % 2 = 0 THEN 7 ELSE 8 END], list_transform(string_split(left(text, 5), ''), lambda c: ascii(c))) AS labels FROM conversations),
+s AS (SELECT conv_id, max(len(labels)) AS longest, bool_and(labels[1] = 7) AS starts FROM b GROUP BY conv_id)
+SELECT conv_id, turn, array_to_string(list_concat(CASE WHEN starts THEN labels[2:] ELSE labels END, list_transform(range(len(labels), longest), lambda x: -100)), ',') AS labels FROM b JOIN s USING (conv_id)""")
+def collate_start_stripped(t):
+    """The start token 7 goes from conversations whose every turn begins with it."""
+    start = F.array(F.when((F.col("role") == "user") | (F.col("conv_id") % 2 == 0), 7).otherwise(8))
+    points = F.transform(T.characters(F.left("text", F.lit(5))), lambda c: F.ascii(c))
+    rows = t("conversations").select("conv_id", "turn", F.concat(start, points).alias("labels"))
+    return L.collate(rows, "conv_id", start=7).select("conv_id", "turn", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
+
+
+@query(f"WITH {_CHARS}, {_VOCAB.format(least=1)}, s AS (SELECT lower(token) AS canonical, min(id) AS source_id FROM vocab WHERE trim(token) <> '' GROUP BY 1) SELECT DISTINCT substr(text, 1, 1) AS token, source_id FROM benchmark JOIN s ON canonical = lower(substr(text, 1, 1))")
+def vocabulary_overlap(t):
+    source = L.vocabulary(t("documents")).withColumn("canonical", F.trim(F.lower("token")))
+    token = F.substring("text", 1, 1)
+    target = t("benchmark").select(token.alias("token"), F.lit(0).alias("id"), F.lower(token).alias("canonical")).distinct()
+    return L.overlap(source, target).select("token", "source_id")
+
+
+@query("SELECT DISTINCT source AS token FROM documents WHERE source IN (SELECT DISTINCT source FROM documents WHERE lang = 'de')")
+def special_collisions(t):
+    learned = t("documents").select(F.col("source").alias("token")).distinct()
+    return L.colliding(learned, t("documents").where("lang = 'de'").select(F.col("source").alias("token")))
