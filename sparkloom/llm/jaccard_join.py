@@ -257,10 +257,10 @@ def _near_groups(percent: int) -> Callable:
 
 
 def _dealt(rows: DataFrame, count: str, block: int) -> DataFrame:
-    """Rows (cid, ...) of groups of count rows, in tasks (lo, hi): every two rows of a group meet in one."""
+    """Rows (cid, ...) of groups of count rows, in tasks (lo, hi) with the row's own block: every two rows of a group meet in one."""
     blocks = F.ceil(F.col(count) / block).cast("int")
     each = rows.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return each.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("own", "other")
+    return each.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
 
 
 def _regions(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -379,6 +379,25 @@ def _join_region(percent: int) -> Callable:
     return run
 
 
+def _count_links(percent: int) -> Callable:
+    """Rows (cid, n, own, shingles) of the task (lo, hi) -> (cid, links): how many documents of the other block, or of the one block, each links to."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("cid").reset_index(drop=True)
+        sets = [np.frombuffer(b, np.uint64) for b in pdf["shingles"]]
+        bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        own, n = pdf["own"].to_numpy(), pdf["n"].to_numpy(np.int64)
+        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        pairs = np.unique(np.sort(region_pairs(np.concatenate(sets), bounds, percent, own == lo), axis=1), axis=0)
+        pairs = pairs[(own[pairs[:, 0]] != own[pairs[:, 1]]) | (lo == hi)]
+        links = np.zeros(len(pdf), np.int64)
+        np.add.at(links, pairs[:, 0], n[pairs[:, 1]])
+        np.add.at(links, pairs[:, 1], n[pairs[:, 0]])
+        return pd.DataFrame({"cid": pdf["cid"], "links": links})[links > 0]
+
+    return run
+
+
 def _block(count: str) -> Column:
     """The block of a class in a group of count classes."""
     return F.pmod(F.xxhash64("cid"), F.ceil(F.col(count) / BLOCK)).cast("int")
@@ -414,49 +433,49 @@ def _wanted_sets(size: int) -> Callable:
     return run
 
 
-def _linked(rows: DataFrame, regions: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+def _loaded(rows: DataFrame, wanted: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """wanted (cid, ...) with the shingles of each class, from one row of it: the one of its least doc_id and text digest."""
+    rest = [f.name for f in wanted.schema.fields if f.name != "cid"]
+    named = rows.select("doc_id", F.xxhash64("text").alias("digest"), "text").alias("t")
+    reps = wanted.join(classes.select("cid", "doc_id", "digest"), "cid").alias("w")
+    # rows without doc_id are told apart by their digest
+    same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.digest") == F.col("w.digest"))
+    texts = named.join(reps, same).select("cid", *rest, "text")
+    return texts.mapInPandas(_wanted_sets(size), ", ".join(["cid long", *(f"{n} long" for n in rest), "shingles binary"]))
+
+
+def _linked(rows: DataFrame, members: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """(cid, root) of all members of regions, joined by exact comparison.
 
     First every block of a region meets one of its blocks, which already connects the bulk of a
     class of near copies. Sets still outside a region's largest piece then meet all of it; two
     sets of one piece need no comparison, so a large class costs no square of its size.
     """
-
-    named = rows.select("doc_id", F.xxhash64("text").alias("digest"), "text")
-
-    def loaded(wanted: DataFrame) -> DataFrame:
-        """The sets of the classes, from one row each: the one of their least doc_id and text digest."""
-        rest = [f.name for f in wanted.schema.fields if f.name != "cid"]
-        reps = wanted.join(classes.select("cid", "doc_id", "digest"), "cid")
-        # rows without doc_id are told apart by their digest
-        same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.digest") == F.col("w.digest"))
-        texts = named.alias("t").join(reps.alias("w"), same).select("cid", *rest, "text")
-        return texts.mapInPandas(_wanted_sets(size), ", ".join(["cid long", *(f"{n} long" for n in rest), "shingles binary"]))
-
-    members = written(evenly_joined(regions, regions.groupBy("gid").agg(F.count("*").alias("members")), ["gid"], ["cid"]), "members")
     edges = "a long, b long"
-    first = _first_tasks(loaded(members)).groupBy("gid", "lo", "hi").applyInPandas(_join_region(percent), edges)
+    first = _first_tasks(_loaded(rows, members, classes, size)).groupBy("gid", "lo", "hi").applyInPandas(_join_region(percent), edges)
     bulk = connected_components(first)
     found = bulk.withColumnsRenamed({"node": "cid", "component": "piece"})
     pieces = written(members.join(found, "cid", "left").select("cid", "gid", "members", F.coalesce("piece", "cid").alias("piece")), "pieces")
     counts = pieces.where(F.col("members") > 2 * BLOCK).groupBy("gid", "piece").agg(F.count("*").alias("n"))  # two blocks have met
     split = counts.groupBy("gid").agg(F.max_by("piece", F.struct("n", "piece")).alias("main"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
-    rest = _rest_tasks(loaded(evenly_joined(pieces, split, ["gid"], ["cid"], "inner"))).groupBy("gid", "lo", "hi").applyInPandas(_join_region(percent), edges)
+    rest = _rest_tasks(_loaded(rows, evenly_joined(pieces, split, ["gid"], ["cid"], "inner"), classes, size)).groupBy("gid", "lo", "hi").applyInPandas(_join_region(percent), edges)
     strays = connected_components(rest)
     linked = written(_merged(pieces.select("cid", "piece"), strays).withColumnsRenamed({"piece": "root"}), "linked")
-    for gone in (members, bulk, pieces, strays):
+    for gone in (bulk, pieces, strays):
         dropped(gone)
     return linked
 
 
-def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, links: bool = False) -> DataFrame:
     """Classes of documents linked, directly or through others, by Jaccard similarity >= percent / 100.
 
     Words are runs without ASCII white space, A-Z lowered; a document's set is its distinct
     size-word shingles, the whole sequence if it has fewer words. Null, empty and wordless texts have
     no shingles and link with nothing. Equal sets are one class from the start, so copies cost one row each.
     Returns one row per input row, repeated rows included: doc_id, n_shingles and component_id, the smallest
-    doc_id of the class (nulls aside; null if there is no other). Other columns are ignored.
+    doc_id of the class (nulls aside; null if there is no other). With links also n_links, the number of other
+    rows linked directly; for that all blocks of a region meet, also those already known to be connected, which
+    the classes alone do not need. Other columns are ignored.
     Shingles are compared by 64-bit hashes.
     """
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
@@ -473,15 +492,23 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     signed = rows.select("text").mapInPandas(_signature_rows(size, percent, common), "sig long, cid long")
     regions = _regions(signed, sets.where("cid is not null"), percent)
 
-    linked = _linked(rows, regions, classes, size, percent)
+    members = written(evenly_joined(regions, regions.groupBy("gid").agg(F.count("*").alias("members")), ["gid"], ["cid"]), "members")
+    linked = _linked(rows, members, classes, size, percent)
     heads = classes.join(linked, "cid", "left").select("cid", "doc_id", "n", F.coalesce("root", "cid").alias("root"), F.col("root").isNotNull().alias("many"))
     grouped = heads.where("many or n > 1")
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = written(evenly_joined(grouped, least, ["root"], ["cid"]).select("cid", "component_id"), "set-classes")
-    for gone in (regions, linked, classes):
+    found = evenly_joined(grouped, least, ["root"], ["cid"])
+    if links:
+        tasks = _dealt(_loaded(rows, members.join(classes.select("cid", "n"), "cid"), classes, size), "members", BLOCK)
+        degrees = tasks.groupBy("gid", "lo", "hi").applyInPandas(_count_links(percent), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
+        found = found.join(degrees, "cid", "left").withColumn("n_links", F.col("n") - 1 + F.coalesce("links", F.lit(0)))
+    extra = ["n_links"] if links else []
+    of_class = written(found.select("cid", "component_id", *extra), "set-classes")
+    for gone in (regions, members, linked, classes):
         dropped(gone)
     rows_of_class = evenly_joined(sets.select("doc_id", "digest", "n_shingles", "cid"), of_class, ["cid"], ["doc_id", "digest"])
-    return rows_of_class.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in extra]
+    return rows_of_class.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *counts)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
