@@ -157,7 +157,8 @@ def mask_live(docs: DataFrame, owner: Column, repository: Column, copied_owners:
     name = next(n for n in (f"uid{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
     kept = written(docs.withColumn(name, F.monotonically_increasing_id()), "texts")
     scanned = scan(kept.withColumn("doc_id", F.col(name)), owner, repository).withColumnRenamed("doc_id", "uid")
-    live = held(written(scanned.where("size(base) + size(generic) > 0"), "secrets")).where(F.col("owners") < copied_owners)
+    # written before anything is asked of the spans: a filter on them would be pushed into the scan and repeat it for every span
+    live = held(written(scanned, "secrets")).where(F.col("owners") < copied_owners)
     spans = live.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("size")).alias("start"), "end"))).alias("live_spans"))
     both = kept.join(spans.withColumnRenamed("uid", name), name, "left")
     text = F.col("text")
