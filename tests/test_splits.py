@@ -289,6 +289,6 @@ def test_default_assignment(spark):
     count = lambda df: {r.split: r["count"] for r in df.groupBy("split").count().collect()}
     assert count(splits.default_assignment(rows, 0.2, 1)) == {"train": 72, "dev": 18, "test": 10}
     assert count(splits.default_assignment(rows, 15, 1)) == {"train": 75, "dev": 15, "test": 10}
-    named = rows.withColumn("source_split", F.when(F.col("id") < 3, "validation").otherwise(F.col("source_split")))
+    named = rows.withColumn("source_split", F.when(F.col("example_index") < 3, "validation").otherwise(F.col("source_split")))
     assert count(splits.default_assignment(named, 0.2, 1)) == {"validation": 3, "train": 87, "test": 10}
     assert count(splits.default_assignment(rows.where("source_split = 'test'"), 0.2, 1)) == {"test": 10}
