@@ -277,6 +277,7 @@ def _regions(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     stars = shared.where("head <> cid").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
     sides = [sketches.withColumnsRenamed({"cid": end, "size": f"size_{end}", "sketch": f"sketch_{end}"}) for end in "ab"]
     near = written(stars.join(sides[0], "a").join(sides[1], "b").mapInPandas(_near_stars(percent), "a long, b long"), "near")
+    released(signed.sparkSession)
 
     pieces = connected_components(near).withColumnsRenamed({"node": "cid", "component": "piece"})
     placed = shared.join(pieces, "cid", "left").select("sig", "cid", F.coalesce("piece", "cid").alias("piece"))
@@ -289,6 +290,7 @@ def _regions(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     regions = written(_merged(pieces, merges).withColumnsRenamed({"piece": "gid"}), "regions")
     for gone in (shared, near, pieces, merges):
         dropped(gone)
+    released(signed.sparkSession)
     return regions
 
 
@@ -456,6 +458,7 @@ def _linked(rows: DataFrame, members: DataFrame, classes: DataFrame, size: int,
     bulk = connected_components(first)
     found = bulk.withColumnsRenamed({"node": "cid", "component": "piece"})
     pieces = written(members.join(found, "cid", "left").select("cid", "gid", "members", F.coalesce("piece", "cid").alias("piece")), "pieces")
+    released(rows.sparkSession)
     counts = pieces.where(F.col("members") > 2 * BLOCK).groupBy("gid", "piece").agg(F.count("*").alias("n"))  # two blocks have met
     split = counts.groupBy("gid").agg(F.max_by("piece", F.struct("n", "piece")).alias("main"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
     rest = _rest_tasks(_loaded(rows, evenly_joined(pieces, split, ["gid"], ["cid"], "inner"), classes, size)).groupBy("gid", "lo", "hi").applyInPandas(_join_region(percent), edges)
@@ -463,6 +466,7 @@ def _linked(rows: DataFrame, members: DataFrame, classes: DataFrame, size: int,
     linked = written(_merged(pieces.select("cid", "piece"), strays).withColumnsRenamed({"piece": "root"}), "linked")
     for gone in (bulk, pieces, strays):
         dropped(gone)
+    released(rows.sparkSession)
     return linked
 
 
