@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -195,11 +196,25 @@ def stale_ids(t):
     return L.vocabulary(t("documents")).join(F.broadcast(size)).where("id >= size").select(F.col("id").alias("stale_id"))
 
 
-@query("SELECT doc_id, CAST(row_number() OVER (ORDER BY source, doc_id) - 1 AS BIGINT) AS example_index FROM documents")
+@query("SELECT doc_id, source, md5(text) AS digest, n_chars, CAST(row_number() OVER (ORDER BY source, doc_id) - 1 AS BIGINT) AS example_index FROM documents")
 def example_index(t):
+    """Numbers carried with the whole rows."""
     from ..sources import indexed
 
-    return indexed(t("documents").select("source", "doc_id"), ["source", "doc_id"]).select("doc_id", "example_index")
+    rows = indexed(t("documents"), ["source", "doc_id"])
+    return rows.select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("digest"), "n_chars", "example_index")
+
+
+@query("SELECT source || '/' || doc_id || '.wav' AS example, n_chars / 16.0::DOUBLE AS duration, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS example_index FROM documents")
+def examples_csv(t):
+    """Written as CSV files in the order of doc_id and read back, numbered in the order of their lines."""
+    from ..scratch import scratch_dir
+    from ..sources import examples_csv as read
+
+    rows = t("documents").orderBy("doc_id").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("example"), (F.col("n_chars") / 16.0).alias("duration"))
+    path = f"{scratch_dir(rows.sparkSession)}/examples-{uuid.uuid4().hex}"
+    rows.write.csv(path, header=True)
+    return read(rows.sparkSession, path)
 
 
 @query(f"SELECT doc_id, regexp_replace(nfc_normalize(text), '^x', '') AS nfc, length(nfc_normalize(text)) AS nfc_length FROM documents")

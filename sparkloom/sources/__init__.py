@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..files import exists, folders, read_text
 from ..functions.text import relative_path, split_values, strip
 from ..operators.labels import drop_reason
+from ..scratch import written
 
 Source = Callable[[SparkSession, Mapping], DataFrame]
 _REGISTRY: dict[str, Source] = {}
@@ -49,17 +50,19 @@ def standardize(df: DataFrame, audio_column: str | None, text_column: str | None
 
 
 def indexed(df: DataFrame, order: list[str], name: str = "example_index") -> DataFrame:
-    """Adds the row's place in the order, from 0 without holes.
+    """Adds the row's place in the order, from 0 without holes or repeats.
 
-    Rows are range-partitioned, sorted and counted partition by partition, so no task sees them all. The rows must be
-    told apart by order; df is read twice.
+    Rows are range-partitioned, sorted and written to the scratch folder once, each with its partition and its place there;
+    sizes of partitions and numbers come from that one table, so that both see the same partitions, whatever other
+    columns there are. No task sees all rows. Nulls come first; rows that are equal in order are numbered in any order.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy(*order)
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    numbered = placed.withColumn("_at", F.row_number().over(within) - 1).join(F.broadcast(before), "_part")  # a row a partition
-    return numbered.withColumn(name, (F.col("_at") + F.col("_before")).cast("long")).drop("_part", "_at", "_before")
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(placed.withColumn("_place", F.monotonically_increasing_id()), "indexed").withColumn("_part", F.shiftrightunsigned("_place", 33))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))  # a row a partition
+    place = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(starts), "_part").withColumn(name, (place + F.col("_before")).cast("long")).drop("_part", "_place", "_before")
 
 
 def concat(parts: list[DataFrame]) -> DataFrame:

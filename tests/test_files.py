@@ -94,6 +94,25 @@ def test_indexed(spark):
     assert [r.example_index for r in sorted(got, key=lambda r: (r.a, r.id))] == list(range(5000))
 
 
+@pytest.mark.parametrize("order", [["a", "id"], ["id"]])
+def test_indexed_with_payload(spark, tmp_path, order):
+    """Every number once and in its place, on a table with other columns, which changes how Spark samples and coalesces."""
+    df = spark.range(0, 1_000_000, 1, 13).select(F.hash("id").alias("a"), "id", F.sha2(F.col("id").cast("string"), 256).alias("payload"), F.repeat(F.lit("x"), F.col("id").cast("int") % 50).alias("more"))
+    sources.indexed(df.repartition(11, "payload"), order).write.parquet(f"{tmp_path}/t")
+    got = spark.read.parquet(f"{tmp_path}/t")
+    assert got.columns == ["a", "id", "payload", "more", "example_index"]
+    assert got.agg(F.count("*"), F.countDistinct("example_index"), F.min("example_index"), F.max("example_index")).first()[:] == (1_000_000, 1_000_000, 0, 999_999)
+    table = got.select("a", "id", "example_index").toPandas().sort_values(order)
+    assert (table["example_index"].to_numpy() == range(1_000_000)).all()
+
+
+def test_indexed_ties_nulls_and_no_rows(spark):
+    df = spark.createDataFrame([(None, 1), ("b", 2), ("a", 3), ("b", 4), (None, 5)], "k string, v int")
+    got = sources.indexed(df, ["k"]).orderBy("example_index").collect()
+    assert [r.k for r in got] == [None, None, "a", "b", "b"] and [r.example_index for r in got] == list(range(5)) and {r.v for r in got} == {1, 2, 3, 4, 5}
+    assert sources.indexed(df.limit(0), ["k"]).collect() == []
+
+
 def test_audio_headers_and_listing(spark, archive):
     (archive / "train" / "odd.wav").write_bytes(wav(1.25, 16000, 2, b"JUNK" + struct.pack("<I", 3) + b"abc\0"))
     rows = {r.example.split("/")[-1]: (r.duration, r.rate, r.channels) for r in sources.audio_headers(spark, f"{archive}/train").collect()}
