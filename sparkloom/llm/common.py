@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import dropped, scratch_dir, written
+
+__all__ = ["dropped", "scratch_dir", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,49 +23,12 @@ def whole_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the one spark.checkpoint.dir names.
-
-    Only where that setting is absent (local tests) a temporary folder is set instead.
-    """
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='loom-')}"
-    sc.setCheckpointDir(named)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def written(df: DataFrame, name: str = "t", codec: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._loom_path = path
-    return out
-
-
 def released(spark: SparkSession) -> None:
     """Lets the driver collect its garbage, so that the files of shuffles that no plan needs any more are deleted."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by written() that no later plan reads; other tables are left alone."""
-    path = getattr(df, "_loom_path", None)
-    if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def chunks(items: list, weight, limit: int) -> Iterator[list]:
     """Consecutive runs of items whose weights add up to limit, or single heavier items."""
     run, total = [], 0
