@@ -107,7 +107,7 @@ def lloyd(vectors: DataFrame, k: int = 40, rounds: int = 5, length: int = 64, sc
     rows and repeated ids each count and have their own row, also rows without id, which start no cluster
     unless there are fewer than k others. Fewer than k vectors give as many clusters, none give no rows; empty
     clusters keep their centroid and ties go to the lowest number, so equal starting centroids leave all but one empty.
-    Components that as integers don't fit a long, and distances beyond one, raise. Other columns are ignored.
+    Components that as integers don't fit a long, and distances or sums of them beyond one, raise. Other columns are ignored.
 
     Returns vec_id, cluster, distance (squared), cluster_inertia and inertia (sums of distances of the cluster and of all),
     cluster_size, centroid (array of its integers).
