@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # The parts of a config that hold parameters, names that are no parameters, and the order of the best known ones.
 SECTIONS = ("model", "training", "dataset", "focus")
-SKIPPED = frozenset("name sources path cache_dir config tokenizer_path model_freeze_prefix metric_for_best_model optim lr_scheduler_type type split format external_eval_sets".split())
+SKIPPED = {"name", "sources", "path", "cache_dir", "config", "tokenizer_path", "model_freeze_prefix", "metric_for_best_model", "optim", "lr_scheduler_type", "type", "split", "format", "external_eval_sets"}
 PREFERRED = ("pretrained_name", "short_name", "language", "tokenizer", "lr", "effective_batch", "dropout", "weight_decay", "max_steps", "focus_enabled", "vocab_size", "tokenizer_algorithm")
 
 
@@ -76,8 +76,13 @@ def upsert(registry: DataFrame, params: DataFrame, human: list[str]) -> DataFram
 
 
 def natural_key(name: Column) -> list[Column]:
-    """Sort columns for names like v2 and v10."""
-    return [F.regexp_extract(name, r"^\D*", 0), F.regexp_extract(name, r"\d+", 0).try_cast("long")]
+    """Sort columns for names like v2-b9 and v10-b1: every run of digits counts as a number, and the name itself decides ties.
+
+    Numbers of any length are compared, by their digits without leading zeros.
+    """
+    number = lambda d: F.ltrim(d, F.lit("0"))
+    texts, digits = (F.regexp_extract_all(name, F.lit(r"([^0-9]*)([0-9]*)"), F.lit(i)) for i in (1, 2))
+    return [F.zip_with(texts, digits, lambda t, d: F.struct(t.alias("text"), F.length(number(d)).alias("size"), number(d).alias("digits"))), name]
 
 
 def debts(files: DataFrame, registry: DataFrame) -> DataFrame:
@@ -144,7 +149,8 @@ def path_selected(df: DataFrame, path: str, wanted: str | None = None, unwanted:
 
 
 def full_match(name: Column, pattern: str) -> Column:
-    return name.rlike(f"^(?:{pattern})$")
+    """Whether pattern matches the whole name, its line breaks included."""
+    return name.rlike(rf"\A(?:{pattern})\z")
 
 
 def of_model(directory: Column, slug: str, prefix: str = "processed_") -> Column:
@@ -193,23 +199,57 @@ def with_features(predictions: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def latest(copies: DataFrame, by: str, order: list[Column]) -> DataFrame:
-    """The first row of each by in the order."""
+    """The first row of each by in the order. Spark keeps only that row of each task's part before the shuffle, so a large by sorts nowhere whole."""
     return copies.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
 def fetch_plan(remote: DataFrame, local: DataFrame) -> DataFrame:
-    """(run, action): fetch what is missing, refresh what is unfinished, leave what is complete or closed."""
+    """(run, action): leave what is closed or complete, fetch what is missing or whose state is unknown, refresh what is unfinished."""
     joined = remote.join(local, "run", "left")
-    action = F.when(F.col("finished").isNull(), "fetch").when(F.col("closed") | F.col("finished"), "none").otherwise("refresh")
+    action = F.when(F.col("closed"), "none").when(F.col("finished").isNull(), "fetch").when(F.col("finished"), "none").otherwise("refresh")
     return joined.select("run", action.alias("action"))
 
 
-def stopping_point(log: DataFrame, patience: int) -> DataFrame:
-    """Per run: first step at which the running minimum has not improved for patience log rows, and divergence."""
-    w = Window.partitionBy("run").orderBy("step")
-    best = F.min(F.when(~F.isnan("value"), F.col("value"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = F.min(F.when(~F.isnan("value"), F.col("value"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = log.withColumn("improved", (before.isNull() | (F.col("value") < before)).cast("int")).withColumn("best", best).withColumn("at", F.row_number().over(w))
-    last = F.max(F.when(F.col("improved") == 1, F.col("at"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    waited = marked.withColumn("waited", F.col("at") - last)
-    return waited.groupBy("run").agg(F.min(F.when(F.col("waited") >= patience, F.col("step"))).alias("stop_step"), F.min("best").alias("best"), F.max(F.isnan("value") | (F.abs("value") == float("inf"))).alias("diverged"))
+#: Steps whose rows one task scans.
+PIECE = 1 << 16
+
+
+def _scan(df: DataFrame, by: list[str], name: str, value: Column, how: str, last: int) -> DataFrame:
+    """Adds the min, max or sum of value over the rows of by up to this one (last = 0) or the one before it (last = -1).
+
+    Rows of (by, _piece) are scanned on their own and the totals of pieces once more, so a long log is cut into pieces.
+    """
+    total, join = {"min": (F.min, F.least), "max": (F.max, F.greatest), "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))}[how]
+    keyed, keys = df.withColumn("_value", value), [*by, "_piece"]
+    totals = keyed.groupBy(*keys).agg(total("_value").alias("_total"))
+    before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, total("_total").over(before).alias("_carried"))
+    inside = total("_value").over(Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, last))
+    return keyed.withColumn("_inside", inside).join(carried, keys).withColumn(name, join(F.col("_carried"), F.col("_inside"))).drop("_value", "_inside", "_carried")
+
+
+def stopping_point(log: DataFrame, patience: int, delay: int = 0, threshold: float = 0.0, greater_is_better: bool = False) -> DataFrame:
+    """(run, stop_step, best, diverged_step) of a log (run, step, value); steps are told apart and values not null.
+
+    An evaluation improves if it is the run's first one or better than the best before it by more than threshold. From step
+    delay on, evaluations that don't improve are counted, and one that does sets the count to 0; the run stops where the
+    count reaches patience, null if it never does. The best so far follows all evaluations, those before delay too. A
+    NaN improves nothing, and as the first value nothing improves on it. diverged_step is the first step of a NaN or an infinite value.
+    """
+    sign = -1.0 if greater_is_better else 1.0
+    bad = F.isnan("value")
+    rows = log.select("run", "step", "value", (sign * F.col("value")).alias("_cost")).withColumn("_piece", F.floor(F.col("step") / PIECE))
+    firsts = rows.groupBy("run").agg(F.min("step").alias("_start"), F.isnan(F.min_by("_cost", "step")).alias("_stuck"))
+    seen = _scan(rows, ["run"], "_best", F.when(~bad, F.col("_cost")), "min", -1).join(firsts, "run")
+    better = ~F.col("_stuck") & ~bad & (F.col("_cost") < F.col("_best")) & (F.col("_best") - F.col("_cost") > threshold)
+    improved = (F.col("step") == F.col("_start")) | better
+    active = F.col("step") >= delay
+    counted = _scan(seen.withColumn("_improved", improved), ["run"], "_at", active.cast("int"), "sum", 0)
+    reset = _scan(counted, ["run"], "_reset", F.when(active & F.col("_improved"), F.col("_at")), "max", 0)
+    waited = F.col("_at") - F.coalesce("_reset", F.lit(0))
+    best = F.when(F.any_value("_stuck"), F.lit(float("nan"))).otherwise(sign * F.min(F.when(~bad, F.col("_cost"))))
+    return reset.groupBy("run").agg(
+        F.min(F.when(active & (waited >= patience), F.col("step"))).alias("stop_step"),
+        best.alias("best"),
+        F.min(F.when(bad | (F.abs("value") == float("inf")), F.col("step"))).alias("diverged_step"),
+    )

@@ -67,14 +67,20 @@ def group_totals(rows: DataFrame, group: str, size: str, seed: int, order: str =
     return prefix_before(totals, "group_size", ["ord", group], bucket, "before")
 
 
-def target_of(size: float, rows: DataFrame, size_column: str, amount: bool) -> DataFrame:
-    """One row: size itself if it is an amount, of the rows' total the fraction rounded half to even if under 1, else the whole number."""
+def target_of(size: float, rows: DataFrame, size_column: str, amount: bool, rounding: str = "even") -> DataFrame:
+    """One row: size itself if it is an amount, of the rows' total the fraction if under 1, else the whole number.
+
+    The fraction is rounded to the next whole number, half to even, or with rounding "up" to the one above.
+    """
+    if rounding not in ("even", "up"):
+        raise ValueError(f"rounding must be even or up, not {rounding!r}")
     if not amount and size < 1:
-        return rows.agg(F.bround(F.coalesce(F.sum(size_column), F.lit(0)).cast("double") * size).alias("target"))
+        part = F.coalesce(F.sum(size_column), F.lit(0)).cast("double") * size
+        return rows.agg((F.bround(part) if rounding == "even" else F.ceil(part).cast("double")).alias("target"))
     return rows.sparkSession.range(1).select(F.lit(float(size) if amount else float(int(size))).alias("target"))
 
 
-def sample_groups(rows: DataFrame, group: str, size: float, seed: int, size_column: str = "unit", amount: bool = False, order: str = "hash") -> DataFrame:
+def sample_groups(rows: DataFrame, group: str, size: float, seed: int, size_column: str = "unit", amount: bool = False, order: str = "hash", rounding: str = "even") -> DataFrame:
     """Groups taken whole, in seeded order, while the total so far is under the target; overshoots by a group at most.
 
     A size of 0 takes none. With amount, size is the target in units of size_column, also under 1; else a size
@@ -82,7 +88,7 @@ def sample_groups(rows: DataFrame, group: str, size: float, seed: int, size_colu
     """
     if not size:
         return rows.select(group).limit(0)
-    return group_totals(rows, group, size_column, seed, order).join(F.broadcast(target_of(size, rows, size_column, amount))).where("before < target").select(group)
+    return group_totals(rows, group, size_column, seed, order).join(F.broadcast(target_of(size, rows, size_column, amount, rounding))).where("before < target").select(group)
 
 
 def fill_to_budget(rows: DataFrame, group: str, index: str, budget: DataFrame, seed: int, size_column: str = "unit", order: str = "hash") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Mapping
 from dataclasses import MISSING, asdict, dataclass, fields
 
@@ -141,7 +142,7 @@ def _placed(examples: DataFrame, spec: SplitSpec) -> DataFrame:
     """
     test, dev, train, exclude = (normalize_selector(s) for s in (spec.test, spec.dev, spec.train, spec.exclude))
     flag = lambda s: matches(s, examples.columns, spec.multi_valued, dict(examples.dtypes)) if s is not None else F.lit(False)
-    usable = F.lit(True) if spec.max_size is None else F.col("size") <= spec.max_size
+    usable = F.lit(True) if spec.max_size is None else F.coalesce(F.col("size") <= spec.max_size, F.lit(True))  # an unknown size is no reason to drop
     hours = lambda u: F.when(usable, F.col("size")).otherwise(0) if u == "hours" else F.lit(1)
     dev_group = spec.dev_group_by or "key"
     rows = (examples.where(~flag(exclude)) if exclude else examples).select(
@@ -227,12 +228,16 @@ def split_sizes(examples: DataFrame, assignment: DataFrame, units_per_hour: int,
 def default_assignment(rows: DataFrame, dev_size: float, seed: int, order: str = "hash") -> DataFrame:
     """Without metadata: source splits stay, and dev is drawn from train.
 
-    Any source split besides train and test, or the lack of train, leaves the splits as they are.
+    Any source split besides train and test, or the lack of train, leaves the splits as they are. A dev_size under 1 is
+    a fraction, rounded up to whole examples, else a number of examples; if no example would train, this raises.
     """
-    names = {r[0] for r in rows.select("source_split").distinct().collect()}
+    counts = {r.source_split: r["count"] for r in rows.groupBy("source_split").count().collect()}  # a row a split
     keep = rows.select("example_index", F.col("source_split").alias("split"))
-    if not dev_size or "train" not in names or not names <= {"train", "test"}:
+    if not dev_size or "train" not in counts or not set(counts) <= {"train", "test"}:
         return keep
+    n = counts["train"]
+    if (math.ceil(dev_size * n) if dev_size < 1 else int(dev_size)) >= n:
+        raise ValueError(f"a dev_size of {dev_size} leaves none of {n} train examples")
     train = rows.where("source_split = 'train'").select("example_index", F.col("example_index").cast("string").alias("g"), F.lit(1).cast("long").alias("one"))
-    dev = sample_groups(train, "g", dev_size, seed, "one", order=order).select(F.col("g").cast("long").alias("example_index"), F.lit(True).alias("drawn"))
+    dev = sample_groups(train, "g", dev_size, seed, "one", order=order, rounding="up").select(F.col("g").cast("long").alias("example_index"), F.lit(True).alias("drawn"))
     return keep.join(dev, "example_index", "left").select("example_index", F.when(F.col("drawn"), "dev").otherwise(F.col("split")).alias("split"))

@@ -59,14 +59,14 @@ def annotation_debt(t):
     return R.debts(_found(t).select("run"), registry)
 
 
-@query("SELECT run, row_number() OVER (ORDER BY regexp_extract(run, '^[^0-9]*'), CAST(regexp_extract(run, '[0-9]+') AS BIGINT)) AS place FROM (SELECT 'run' || c_custkey AS run FROM customer)")
+@query("SELECT 'g' || c_nationkey || '-b' || c_custkey AS run, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS place FROM customer")
 def natural_order(t):
-    """Places in the order v2, v10."""
+    """Places in the order g2-b9, g2-b10, g10-b1."""
     from ..sources import indexed
 
-    head, number = R.natural_key(F.col("run"))
-    rows = _found(t).select("run", head.alias("_head"), number.alias("_number"))
-    return indexed(rows, ["_head", "_number"], "place").select("run", (F.col("place") + 1).alias("place"))
+    names = t("customer").select(F.concat(F.lit("g"), "c_nationkey", F.lit("-b"), "c_custkey").alias("run"), "c_mktsegment")
+    key, _ = R.natural_key(F.col("run"))
+    return indexed(names.withColumn("_key", key), ["_key", "run"], "place").select("run", (F.col("place") + 1).alias("place"))
 
 
 @query(f"WITH {_PARAMS}, c AS (SELECT run, param, CASE WHEN value LIKE '%7' THEN value || 'x' ELSE value END AS value FROM params WHERE value <> 'ECONOMY') SELECT a.run, a.param, a.value AS recorded, c.value AS configured FROM params a LEFT JOIN c ON a.run = c.run AND a.param = c.param WHERE a.value IS DISTINCT FROM c.value")
@@ -101,19 +101,36 @@ def latest_checkpoint(t):
 
 
 @query("""WITH remote AS (SELECT DISTINCT 'run' || user_id AS run FROM events), l AS (SELECT 'run' || o_custkey AS run, bool_or(o_orderstatus = 'F') AS finished, bool_or(o_orderpriority = '5-LOW') AS closed FROM orders GROUP BY o_custkey)
-SELECT remote.run, CASE WHEN finished IS NULL THEN 'fetch' WHEN closed OR finished THEN 'none' ELSE 'refresh' END AS action FROM remote LEFT JOIN l ON l.run = remote.run""")
+SELECT remote.run, CASE WHEN closed THEN 'none' WHEN finished IS NULL THEN 'fetch' WHEN finished THEN 'none' ELSE 'refresh' END AS action FROM remote LEFT JOIN l ON l.run = remote.run""")
 def fetch_status(t):
     """Runs that log events against copies that customers' orders stand for."""
     local = t("orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "F").alias("finished"), F.bool_or(F.col("o_orderpriority") == "5-LOW").alias("closed"))
     return R.fetch_plan(t("events").select(F.concat(F.lit("run"), "user_id").alias("run")).distinct(), local.select(F.concat(F.lit("run"), "o_custkey").alias("run"), "finished", "closed"))
 
 
-@query(f"""WITH {_LOG}, v AS (SELECT run, step, value FROM log WHERE metric = 'error'), b AS (SELECT *, min(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v),
-k AS (SELECT *, max(CASE WHEN before IS NULL OR value < before THEN step END) OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING) AS last FROM b)
-SELECT run, CAST(min(CASE WHEN step - last >= 5 THEN step END) AS BIGINT) AS stop_step, min(value) AS best, bool_or(isnan(value) OR isinf(value)) AS diverged FROM k GROUP BY run""")
+def _stopping_sql(metric: str, patience: int, delay: int, threshold: float, greater: bool) -> str:
+    """The rule one evaluation after the other."""
+    better, gain = ("v.value > m.best", "v.value - m.best") if greater else ("v.value < m.best", "m.best - v.value")
+    return f"""WITH RECURSIVE {_LOG}, v AS (SELECT run, step, value, row_number() OVER (PARTITION BY run ORDER BY step) AS k FROM log WHERE metric = '{metric}'),
+m AS (SELECT run, k, step, value, value AS best, 0 AS waited FROM v WHERE k = 1 UNION ALL
+SELECT v.run, v.k, v.step, v.value, CASE WHEN {better} THEN v.value ELSE m.best END, CASE WHEN v.step < {delay} THEN m.waited WHEN {better} AND {gain} > {threshold} THEN 0 ELSE m.waited + 1 END FROM m JOIN v ON v.run = m.run AND v.k = m.k + 1)
+SELECT run, CAST(min(CASE WHEN waited >= {patience} AND step >= {delay} THEN step END) AS BIGINT) AS stop_step, arg_max(best, k) AS best, CAST(min(CASE WHEN isnan(value) OR isinf(value) THEN step END) AS BIGINT) AS diverged_step FROM m GROUP BY run"""
+
+
+def _stopping(t, metric, patience, delay, threshold, greater):
+    log = _log(t).where(F.col("metric") == metric).select("run", F.col("step").cast("long").alias("step"), "value")
+    return R.stopping_point(log, patience, delay, threshold, greater)
+
+
+@query(_stopping_sql("error", 5, 0, 0.0, False))
 def early_stopping(t):
-    log = _log(t).where("metric = 'error'").select("run", "step", "value")
-    return R.stopping_point(log, 5).withColumn("stop_step", F.col("stop_step").cast("long"))
+    return _stopping(t, "error", 5, 0, 0.0, False)
+
+
+@query(_stopping_sql("purchase", 3, 6, 2.5, True))
+def early_stopping_delayed(t):
+    """A metric to be raised, judged from step 6 on, by gains of more than 2.5."""
+    return _stopping(t, "purchase", 3, 6, 2.5, True)
 
 
 @query("SELECT 'run' || user_id AS run, list_sort(list(DISTINCT event_type))[1] AS first_metric, count(*) AS copies FROM events GROUP BY user_id")
@@ -123,7 +140,13 @@ def run_grouping(t):
 
 @query("SELECT DISTINCT p_name AS name FROM part WHERE regexp_matches(p_name, 'ring|red') AND NOT regexp_matches(p_name, '^small')")
 def path_pattern(t):
-    return t("part").where(F.col("p_name").rlike("ring|red") & ~F.col("p_name").rlike("^small")).select(F.col("p_name").alias("name")).distinct()
+    return R.path_selected(t("part"), "p_name", "ring|red", "^small").select(F.col("p_name").alias("name")).distinct()
+
+
+@query("SELECT event_type AS metric, count(*) AS n FROM events WHERE event_type IN ('click', 'error') GROUP BY event_type")
+def metric_full_match(t):
+    names = t("events").withColumn("metric", F.col("event_type"))
+    return names.where(R.full_match(F.col("metric"), "click|err|error")).groupBy("metric").agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size * 1000 % 1000000 = 0 THEN CAST(p_size // 1000 AS VARCHAR) || 'M' ELSE CAST(p_size AS VARCHAR) || 'k' END AS shown FROM part")

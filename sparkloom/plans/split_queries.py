@@ -106,7 +106,7 @@ def _sample(df: DataFrame, size: float, unit, amount: bool = False) -> DataFrame
     return rows.join(drawn, "grp", "left_semi").groupBy("grp").agg(F.sum("unit").alias("group_size"))
 
 
-@query(_sampled("1", "SELECT CAST(round_even(count(*) * CAST(0.2 AS DOUBLE), 0) AS BIGINT) FROM ex"))
+@query(_sampled("1", "SELECT CAST(ceil(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) FROM ex"))
 def group_sample_examples(t):
     return _sample(examples(t), 0.2, F.lit(1))
 
@@ -116,6 +116,19 @@ def group_sample_hours(t):
     return _sample(examples(t), 100_000_000, F.col("size"), True)
 
 
+@query(_sampled("size", "SELECT sum(size) // 1000 * 217 FROM ex"))
+def group_sample_hours_many(t):
+    """About a fifth of all groups: the order and the overshoot of many."""
+    df = examples(t)
+    return _sample(df, df.agg(F.expr("sum(size) div 1000 * 217")).first()[0], F.col("size"), True)
+
+
+@query(_sampled("CASE WHEN size <= 30000000 THEN size ELSE 0 END", "SELECT sum(size) // 1000 * 304 FROM ex"))
+def group_sample_usable_many(t):
+    df = examples(t)
+    return _sample(df, df.agg(F.expr("sum(size) div 1000 * 304")).first()[0], F.when(F.col("size") <= 30_000_000, F.col("size")).otherwise(0), True)
+
+
 @query(_sampled("CASE WHEN size <= 30000000 THEN size ELSE 0 END", "50000000.5"))
 def group_sample_usable_only(t):
     return _sample(examples(t), 50_000_000.5, F.when(F.col("size") <= 30_000_000, F.col("size")).otherwise(0), True)
@@ -144,6 +157,13 @@ def budget_fill_numeric(t):
     return _fill(df, F.col("size"), df.sparkSession.range(1).select(F.lit(50_000_000).cast("long").alias("budget")))
 
 
+@query(_filled("size", "SELECT sum(size) // 1000 * 283 FROM ex"))
+def budget_fill_many(t):
+    """Rows of many groups, the last one partial."""
+    df = examples(t)
+    return _fill(df, F.col("size"), df.agg(F.expr("sum(size) div 1000 * 283").alias("budget")))
+
+
 @query(_filled("1", "1000"))
 def budget_fill_examples(t):
     df = examples(t)
@@ -209,6 +229,19 @@ def split_assign_hours(t):
     return splits.assign(examples(t), spec)
 
 
+_UNKNOWN = f"""{EX}, u AS (SELECT example_index, CAST(key AS VARCHAR) AS grp, c_mktsegment = 'MACHINERY' AS sel, CASE WHEN o_orderpriority <> '5-LOW' THEN size END AS size FROM ex JOIN orders ON o_orderkey = example_index),
+f AS (SELECT example_index, coalesce(sum(CASE WHEN size > 20000000 THEN 0 ELSE 1 END) OVER (ORDER BY md5('5:' || grp), grp, example_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u WHERE NOT sel)"""
+
+
+@query(f"WITH {_UNKNOWN} SELECT example_index, 'test' AS split FROM u WHERE sel UNION ALL SELECT example_index, 'train' FROM f WHERE before < 5000")
+def split_assign_unknown_sizes(t):
+    """A budget in examples, where those of unknown size weigh one like the usable ones."""
+    spec = splits.SplitSpec(test={"c_mktsegment": "MACHINERY"}, dev=[], train_budget=5000, train_budget_unit="examples", max_size=20_000_000, seed=5)
+    unknown = t("orders").where("o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("example_index"), F.lit(True).alias("unknown"))
+    df = examples(t).join(unknown, "example_index", "left")
+    return splits.assign(df.withColumn("size", F.when(F.col("unknown").isNull(), F.col("size"))), spec)
+
+
 @query(f"WITH {EX}, h AS (SELECT o_orderkey AS example_index, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'PRIO-' || CAST(o_custkey AS VARCHAR) END AS source FROM orders) SELECT h.example_index, regexp_extract(source, '^PRIO-([0-9]+)$', 1) AS key, c_mktsegment FROM h JOIN ex USING (example_index) WHERE source IS NOT NULL")
 def attributes_of_matched(t):
     """Keys from a column, and attributes by key; rows without a key are dropped."""
@@ -221,7 +254,7 @@ def attributes_of_matched(t):
 
 @query("""WITH s AS (SELECT doc_id AS example_index, CASE WHEN lang = 'de' THEN 'test' ELSE 'train' END AS source_split FROM documents),
 p AS (SELECT example_index, row_number() OVER (ORDER BY md5('7:' || example_index), CAST(example_index AS VARCHAR)) - 1 AS before FROM s WHERE source_split = 'train')
-SELECT s.example_index, CASE WHEN before < (SELECT CAST(round_even(count(*) * CAST(0.2 AS DOUBLE), 0) AS BIGINT) FROM p) THEN 'dev' ELSE source_split END AS split FROM s LEFT JOIN p USING (example_index)""")
+SELECT s.example_index, CASE WHEN before < (SELECT CAST(ceil(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) FROM p) THEN 'dev' ELSE source_split END AS split FROM s LEFT JOIN p USING (example_index)""")
 def default_dev_split(t):
     rows = t("documents").select(F.col("doc_id").alias("example_index"), F.when(F.col("lang") == "de", "test").otherwise("train").alias("source_split"))
     return splits.default_assignment(rows, 0.2, 7)

@@ -167,13 +167,11 @@ def standardize_columns(t):
     return standardize(t("conversations"), "conv_id", "text")
 
 
-_SPECIALS = "(VALUES ('<s>', 3), ('<pad>', 1), ('</s>', 9)) s(token, id)"
-
-
-@query(f"SELECT token, id AS old_id, CAST(row_number() OVER (ORDER BY id) - 1 + 100 AS INTEGER) AS new_id FROM {_SPECIALS}")
+@query(f"WITH {_CHARS}, {_VOCAB.format(least=1)}, s AS (SELECT source AS token, min(doc_id) AS id FROM documents GROUP BY source) SELECT token, id AS old_id, CAST(row_number() OVER (ORDER BY id) - 1 + (SELECT count(*) FROM vocab) AS INTEGER) AS new_id FROM s")
 def special_block_ids(t):
-    special = t("region").sparkSession.createDataFrame([("<s>", 3), ("<pad>", 1), ("</s>", 9)], "token string, id int")
-    return L.special_block(special, 100)
+    """Sources as special tokens, in the order of their first document, behind the learned vocabulary."""
+    special = t("documents").groupBy(F.col("source").alias("token")).agg(F.min("doc_id").alias("id"))
+    return L.special_block(special, L.vocabulary(t("documents")).count())
 
 
 @query(f"WITH {_CHARS}, {_VOCAB.format(least=1)} SELECT count(*) AS size, min(id) = 0 AND max(id) = count(*) - 1 AND count(DISTINCT id) = count(*) AS contiguous, count(DISTINCT token) = count(*) AS distinct_tokens FROM vocab")

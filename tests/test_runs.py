@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,8 +26,9 @@ def test_parameters():
 def test_display_and_natural_order(spark):
     df = spark.createDataFrame([("zeta",), ("vocab_size",), ("alpha",), ("lr",)], "p string")
     assert [r.p for r in df.orderBy(R.display_rank(F.col("p")), "p").collect()] == ["lr", "vocab_size", "alpha", "zeta"]
-    runs = spark.createDataFrame([("v10",), ("v2",), ("a3",), ("v",)], "r string")
-    assert [r.r for r in runs.orderBy(*R.natural_key(F.col("r"))).collect()] == ["a3", "v", "v2", "v10"]
+    want = ["", "3", "12", "a3", "v", "v1-a1", "v1-b2", "v1-b010", "v1-b10", "v1-b10c", "v2", "v10", "v" + "9" * 50, "v1" + "0" * 50]
+    runs = spark.createDataFrame([(w,) for w in want], "r string").repartition(5)
+    assert [r.r for r in runs.orderBy(*R.natural_key(F.col("r"))).collect()] == want
 
 
 def test_diff_and_upsert(spark):
@@ -92,8 +96,39 @@ def test_fetch_latest_and_stopping(spark):
     copies = spark.createDataFrame([("e", "x", 0, 50), ("e", "y", 1, 10), ("e", "w", 1, 10), ("f", "z", -1, -1)], "exp string, name string, finished int, step int")
     order = [F.col("finished").desc(), F.col("step").desc(), F.col("name")]
     assert {r.exp: r.name for r in R.latest(copies, "exp", order).collect()} == {"e": "w", "f": "z"}
-    log = spark.createDataFrame([("a", i, v) for i, v in enumerate([5.0, 3.0, 4.0, 3.0, 3.5, 1.0])] + [("b", 0, 2.0), ("b", 1, float("nan"))], "run string, step int, value double")
-    assert {r.run: (r.stop_step, r.best, r.diverged) for r in R.stopping_point(log, 3).collect()} == {"a": (4, 1.0, False), "b": (None, 2.0, True)}
+    closed = spark.createDataFrame([("a", None, True), ("b", None, False), ("c", None, None)], "run string, finished boolean, closed boolean")
+    assert {r.run: r.action for r in R.fetch_plan(remote, closed).collect()} == {"a": "none", "b": "fetch", "c": "fetch", "d": "fetch"}
+
+
+def stopped(log, patience, delay, threshold, greater):
+    """The callback's rule, one evaluation after the other: (stop_step, best, diverged_step)."""
+    best, waited, stop, broken = None, 0, None, None
+    for step, value in log:
+        better = best is None or ((value > best if greater else value < best) and abs(value - best) > threshold)
+        if step >= delay:
+            waited = 0 if better else waited + 1
+            stop = step if stop is None and waited >= patience else stop
+        if best is None or (value > best if greater else value < best):
+            best = value
+        broken = step if broken is None and (math.isnan(value) or math.isinf(value)) else broken
+    return stop, repr(best), broken
+
+
+@pytest.mark.parametrize("greater", [False, True])
+@pytest.mark.parametrize(("patience", "delay", "threshold"), [(1, 0, 0.0), (3, 0, 0.0), (2, 40, 0.25), (4, 13, 1.0)])
+def test_stopping_rule(spark, monkeypatch, greater, patience, delay, threshold):
+    monkeypatch.setattr(R, "PIECE", 16)  # most logs are cut into pieces
+    rng, odd = random.Random(patience), [math.nan, math.inf, -math.inf]
+    logs = {f"r{i}": sorted((s, rng.choice(odd) if rng.random() < 0.02 else round(rng.gauss(5 - s / 60, 1), 2)) for s in rng.sample(range(200), rng.randint(1, 60))) for i in range(40)}
+    logs |= {"nan first": [(0, math.nan), *[(i, 5.0 - i) for i in range(1, 30)]], "falls": [(i, 50.0 - i) for i in range(50)], "flat": [(i, 1.0) for i in range(50)]}
+    df = spark.createDataFrame([(r, s, v) for r, log in logs.items() for s, v in log], "run string, step long, value double")
+    got = {r.run: (r.stop_step, repr(r.best), r.diverged_step) for r in R.stopping_point(df, patience, delay, threshold, greater).collect()}
+    assert got == {r: stopped(log, patience, delay, threshold, greater) for r, log in logs.items()}
+
+
+def test_full_match_reads_line_breaks(spark):
+    df = spark.createDataFrame([("a",), ("a\n",), ("ab",), ("b",), (None,)], "s string")
+    assert [r.s for r in df.where(R.full_match(F.col("s"), "a|b")).collect()] == ["a", "b"]
 
 
 def test_entry():

@@ -289,6 +289,20 @@ def test_default_assignment(spark):
     count = lambda df: {r.split: r["count"] for r in df.groupBy("split").count().collect()}
     assert count(splits.default_assignment(rows, 0.2, 1)) == {"train": 72, "dev": 18, "test": 10}
     assert count(splits.default_assignment(rows, 15, 1)) == {"train": 75, "dev": 15, "test": 10}
+    assert count(splits.default_assignment(rows.where("example_index < 23"), 0.1, 1)) == {"train": 20, "dev": 3}  # up, as 2.3 is more than two
+    for size in (23, 0.99):
+        with pytest.raises(ValueError, match="none of 23"):
+            splits.default_assignment(rows.where("example_index < 23"), size, 1)
     named = rows.withColumn("source_split", F.when(F.col("example_index") < 3, "validation").otherwise(F.col("source_split")))
     assert count(splits.default_assignment(named, 0.2, 1)) == {"validation": 3, "train": 87, "test": 10}
     assert count(splits.default_assignment(rows.where("source_split = 'test'"), 0.2, 1)) == {"test": 10}
+
+
+def test_budget_in_examples_without_sizes(spark):
+    """An unknown size weighs an example like any other: the budget fills."""
+    df = spark.range(20).select(F.col("id").alias("example_index"), F.col("id").cast("string").alias("key"), F.lit(None).cast("long").alias("size"))
+    got = splits.assign(df, SplitSpec(test=[], dev=[], train_budget=3, train_budget_unit="examples", max_size=10)).collect()
+    assert [r.split for r in got] == ["train"] * 3
+    mixed = df.withColumn("size", F.when(F.col("example_index") < 10, 99))
+    kept = splits.assign(mixed, SplitSpec(test=[], dev=[], train_budget=3, train_budget_unit="examples", max_size=10)).collect()
+    assert sum(r.example_index >= 10 for r in kept) == 3  # the too large ones weigh nothing
