@@ -2,11 +2,13 @@
 
 The density of an element is its characters a tag, lowered by the links among them (densities()).
 The element whose children's densities have the largest sum holds the main text; what else is at
-least as dense as the least dense element on its path to the body belongs to it (main()).
+least as dense as the least dense element on its path to the body belongs to it, and so do articles and paragraphs
+beside it (main()).
 
 Density cannot tell some boilerplate from prose: a reader's comment is as dense as an article. Marks
 are a prior for that: elements whose tag, role or whole class or id token names boilerplate have density
-0 and leave no text. An element that holds most of the text is not marked unless an article, main
+0 and leave no text; of articles only those marked as remarks or adverts. An element that holds most of the text is
+not marked unless an article, main
 or h1 stands outside it.
 """
 
@@ -38,16 +40,19 @@ SCOPE = frozenset("html body table ul ol dl td th article section main div nav a
 #: Class, id and role say nothing of these.
 UNMARKED = frozenset("html body main article p h1 h2 h3 h4 h5 h6 blockquote pre table tr td th tbody thead dl dt dd figure".split())
 LANDMARKS = frozenset("article main h1".split())
+#: Blocks of prose that go with the main text beside them.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 # Words of class, id and role that mark boilerplate, and words that say no more beside them.
 MARKERS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
     "header masthead footer sidebar aside complementary contentinfo cookie cookies consent gdpr notice notices alert alerts popup modal dialog newsletter subscribe "
     "subscription signup login share sharing social related recommended comment comments reply replies disqus widget search copyright pagination pager toolbar".split()
 )
+REMARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments reply replies disqus".split())
 BESIDE = frozenset("site page top bottom left right main primary secondary box list area block bar wrap wrapper container slot section links items item form thread posts post articles buttons message 1 2 3 4".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
-_MARK = re.compile(r"""(?:^|[\s"'/])(?:(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(hidden)(?=[\s/=]|$))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>][^\s=/>]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
@@ -58,16 +63,16 @@ def names_boilerplate(token: str) -> bool:
     return all(w in MARKERS or w in BESIDE for w in found) and not MARKERS.isdisjoint(found)
 
 
-def _marked(tag: str, attributes: str) -> bool:
-    if tag in BOILERPLATE:
-        return True
-    if not attributes or tag in UNMARKED:
-        return False
-    return any(names_boilerplate(token) for m in _MARK.finditer(attributes) if m[2] for token in m[2].strip("\"'").split())
-
-
-def _hidden(attributes: str) -> bool:
-    return bool(attributes) and any(m[3] for m in _MARK.finditer(attributes))
+@lru_cache(maxsize=1 << 16)
+def _read(attributes: str) -> tuple[bool, bool, bool]:
+    """(hidden, boilerplate, remark) of a tag's attributes: the attribute hidden, and whether class, id or role names boilerplate, and such as an article element may be."""
+    hidden, tokens = False, []
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        hidden = hidden or name == "hidden"
+        if name in ("class", "id", "role"):
+            tokens += [token for token in value.strip("\"'").split() if names_boilerplate(token)]
+    return hidden, bool(tokens), any(not REMARKS.isdisjoint(re.split("[-_]+", token.lower())) for token in tokens)
 
 
 class Page:
@@ -77,7 +82,7 @@ class Page:
     """
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.mark, self.textless = ["#root"], [-1], [False], [False]
+        self.tag, self.parent, self.mark, self.named, self.textless = ["#root"], [-1], [False], [False], [False]
         self.own, self.body = [0], 0
         #: (element, text) in page order; element -1 is a boundary between blocks.
         self.events: list[tuple[int, str]] = []
@@ -148,8 +153,10 @@ class Page:
             self.tag.append(tag)
             self.parent.append(p)
             self.own.append(0)
-            self.mark.append(_marked(tag, attributes))
-            self.textless.append(self.textless[p] or tag in TEXTLESS or _hidden(attributes))
+            hidden, named, remark = _read(attributes) if attributes else (False, False, False)
+            self.mark.append(tag in BOILERPLATE or (remark if tag == "article" else named and tag not in UNMARKED))
+            self.named.append(named)
+            self.textless.append(self.textless[p] or tag in TEXTLESS or hidden)
             if tag == "body" and not self.body:
                 self.body = i
             if tag in RAW:
@@ -178,10 +185,10 @@ class Page:
         """The elements that hold the main text, as a list; a negative number -i - 1 is the own text of element i.
 
         First the element below the body with the largest sum of its children's densities, the outermost
-        of equals. An article element around it is the article, and all there is. Else
-        the threshold is the least density on the path to the body, the body included; every element
-        beside the path, and the own text of every element on it, that is as dense belongs to the main text,
-        and so does an h1 beside the path.
+        of equals. The threshold is the least density on the path from it to the body, the body included; every element
+        beside the path, and the own text of every element on it, that is as dense belongs to the main text.
+        Less dense elements do, unless most of their text is links or their class, id or role names boilerplate: an h1 beside the
+        path, an article element anywhere, and blocks of prose with the same parent as the first element.
         """
         dense = self.densities()
         sums = [0.0] * len(dense)
@@ -191,16 +198,19 @@ class Page:
         path = [best]
         while path[-1] > self.body:
             path.append(self.parent[path[-1]])
-        around = [i for i in path if self.tag[i] == "article"]
-        if around:
-            return around[-1:]
         threshold, on_path, found = min(dense[i] for i in path), set(path), [best]
         share = self.link_chars[self.body] / max(1, self.chars[self.body])
         for i in path[1:]:
             if self.own[i] and density(self.own[i], 0, 0, 0, share) >= threshold:
                 found.append(-i - 1)
         for i in range(self.body + 1, self.end[self.body]):
-            if self.parent[i] in on_path and i not in on_path and self.parent[i] != best and dense[i] and (dense[i] >= threshold or self.tag[i] == "h1"):
+            p = self.parent[i]
+            if i in on_path or not dense[i] or best < i < self.end[best]:
+                continue
+            beside, plain = p in on_path, 2 * self.link_chars[i] < self.chars[i] and not self.named[i]
+            if beside and (dense[i] >= threshold or self.tag[i] == "h1"):
+                found.append(i)
+            elif plain and (self.tag[i] == "article" or (beside and p == self.parent[best] and self.tag[i] in PROSE)):
                 found.append(i)
         return found
 
