@@ -32,7 +32,7 @@ class Settings:
     sizes: tuple[int, ...] = (4, 5, 6)
     bits: int = 20
     sample: int = 2000
-    evidence: float = 6.0
+    evidence: float = 7.0
     smoothing: float = 1.0
     ridge: float = 0.02
     steps: int = 300
@@ -121,18 +121,22 @@ def fit(texts: list[str], labels: np.ndarray, s: Settings = Settings()) -> Model
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings) -> tuple[list[str], np.ndarray]:
-    """At most about s.sample labelled texts of each class, those of the smallest hashes of doc_id.
+    """At most s.sample labelled texts of each class, never more rows: those of the smallest hashes.
 
-    Two labels of one doc_id both count. Rows without a label of 0 or 1 or without doc_id are not used.
+    Two labels of one doc_id both count, and so does each of several rows of a doc_id. Rows without a label of 0 or 1 or
+    without doc_id are not used. Labels are thinned by the hash of doc_id to about 2 * s.sample, as only so many
+    are needed, which makes the join a broadcast; the rows that it finds are then cut by the hash of doc_id and text.
     """
     label = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & usable)
     sizes = {r["y"]: r["n"] for r in label.groupBy("y").agg(F.count("*").alias("n")).collect()}
     position = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)).cast("double") / (1 << 30)
     share = F.when(F.col("y") == 1, F.lit(min(1.0, s.sample / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, s.sample / max(1, sizes.get(0, 0)))))
-    picked = F.broadcast(label.where(position < share))  # at most about 2 * s.sample rows
-    rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).join(picked, "doc_id").select("doc_id", "text", "y").toPandas()
-    rows = rows.sort_values(["doc_id", "text", "y"])
-    return rows["text"].tolist(), rows["y"].to_numpy()
+    picked = F.broadcast(label.where(position < share).groupBy("doc_id", "y").agg(F.count("*").alias("times")))
+    rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).join(picked, "doc_id").select("doc_id", "text", "y", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"))
+    order = [F.xxhash64("doc_id", "text", "time"), F.col("doc_id"), F.col("text")]
+    classes = [rows.where(F.col("y") == y).orderBy(*order).limit(s.sample) for y in (0, 1)]
+    found = classes[0].unionByName(classes[1]).toPandas().sort_values(["doc_id", "text", "y"])
+    return found["text"].tolist(), found["y"].to_numpy()
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

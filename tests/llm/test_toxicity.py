@@ -88,3 +88,16 @@ def test_odd_rows(spark):
     assert len(two) == 6 and len({r.score for r in two if r.doc_id == 3}) == 1
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert T.toxicity(docs.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).count() == 0
+
+
+@pytest.mark.parametrize("repeated", [1, 3000])
+def test_bound_of_rows(spark, repeated):
+    """However often a doc_id or its labels occur, no more than the documented rows come to the driver."""
+    docs = spark.range(60).union(spark.range(repeated).select(F.lit(7).cast("long"))).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(60)] + [(7, 0), (8, 1), (8, 1)], "doc_id long, toxic int")
+    for bound in (5, 40):
+        found, y = T.labelled_sample(docs, labels, F.lit(True), T.Settings(sample=bound))
+        assert len(found) == len(y) and (y == 0).sum() <= bound and (y == 1).sum() <= bound and min((y == 0).sum(), (y == 1).sum()) > 0
+        assert (found, list(y)) == (lambda a, b: (a, list(b)))(*T.labelled_sample(docs.repartition(3), labels, F.lit(True), T.Settings(sample=bound)))
+    every, y = T.labelled_sample(docs, labels, F.lit(True), T.Settings(sample=100_000))
+    assert len(every) == 63 + 2 * repeated
