@@ -170,3 +170,25 @@ def sparsemax_combine(t):
     weights = V.sparsemax(_scored(t), "label", "score").select("vec_id", "label", "weight")
     out = V.combine(weights, t("embeddings").select("vec_id", F.col("embedding").alias("vector")), "label", "vec_id")
     return out.select("label", "pos", F.round("value", 4).alias("value"))
+
+
+def _weights_sql(replicates: int) -> str:
+    limits = ", ".join(map(str, M.POISSON))
+    return f"""u AS (SELECT e.*, r.r AS replicate, CAST('0x' || substr(md5('4:' || (r.r // 8) || ':' || conv_id || '/' || turn), CAST(1 + 4 * (r.r % 8) AS INTEGER), 4) AS INTEGER) AS x FROM ce e, range({replicates}) r(r)),
+b AS (SELECT role, CAST(replicate AS INTEGER) AS replicate, CAST(sum(len(list_filter([{limits}], lambda l: x >= l)) * char_edits) AS BIGINT) AS errors, CAST(sum(len(list_filter([{limits}], lambda l: x >= l)) * ref_chars) AS BIGINT) AS total FROM u GROUP BY role, replicate)"""
+
+
+def _resampled(t):
+    """Character errors of every turn, drawn again for 40 corpora a role."""
+    counted = M.error_counts(_pairs(t)).withColumn("pair", F.concat_ws("/", "conv_id", "turn"))
+    return M.bootstrap(counted, "pair", "char_edits", "ref_chars", "role", seed=4)
+
+
+@query(f"WITH {_ASCII}, {_weights_sql(40)} SELECT role, replicate, errors, total, errors / CAST(total AS DOUBLE) AS rate FROM b")
+def cer_bootstrap(t):
+    return _resampled(t)
+
+
+@query(f"WITH {_ASCII}, {_weights_sql(40)} SELECT role, round(quantile_cont(errors / CAST(total AS DOUBLE), 0.025), 9) AS low, round(quantile_cont(errors / CAST(total AS DOUBLE), 0.975), 9) AS high FROM b GROUP BY role")
+def cer_intervals(t):
+    return M.intervals(_resampled(t), "role").select("role", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import batches as B
 from ..operators import labels as L
+from ..operators import ngrams as G
 from ..operators import sampling
 from .common import Catalogue
 
@@ -138,10 +140,37 @@ def identical_copies(t):
 @query(f"""WITH w AS (SELECT doc_id, string_split({_FLAT}, ' ') AS ws FROM documents WHERE {_FLAT} <> ''),
 g AS (SELECT unnest(list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1])) AS gram FROM w) SELECT gram, count(*) AS n FROM g GROUP BY gram""")
 def ngram_counts(t):
-    flat = T.flatten_whitespace(F.col("text"))
-    ws = t("documents").select(F.split(flat, " ").alias("ws")).where(F.size("ws") > 1)
-    pairs = F.zip_with(F.slice("ws", F.lit(1), F.size("ws") - 1), F.slice("ws", F.lit(2), F.size("ws") - 1), lambda a, b: F.concat_ws(" ", a, b))
-    return ws.select(F.explode(pairs).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return G.ngram_counts(t("documents"), orders=[2], marks=False).select("gram", F.col("count").alias("n"))
+
+
+_MARKED = f"w AS (SELECT list_concat(['<s>'], string_split({_FLAT}, ' '), ['</s>']) AS ws FROM documents WHERE {_FLAT} <> '')"
+
+
+@query(f"""WITH {_MARKED}, g AS (SELECT n, unnest(list_transform(range(1, greatest(len(ws) - n + 2, 1)), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS gram FROM w, range(1, 6) r(n)),
+c AS (SELECT n, gram, count(*) AS k FROM g GROUP BY n, gram) SELECT CAST(n AS INTEGER) AS n, k AS count, count(*) AS grams FROM c GROUP BY n, k""")
+def ngram_counts_of_counts(t):
+    """All orders from 1 to 5 in one pass, with the marks of lines."""
+    return G.counts_of_counts(G.ngram_counts(t("documents"), orders=[1, 2, 3, 4, 5]))
+
+
+@query(f"WITH {_MARKED}, g AS (SELECT n, unnest(list_transform(range(1, greatest(len(ws) - n + 2, 1)), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS gram FROM w, (VALUES (1), (3)) r(n)) SELECT n, gram, count(*) AS count FROM g GROUP BY n, gram")
+def ngram_counts_marked(t):
+    return G.ngram_counts(t("documents"), orders=[1, 3])
+
+
+_BATCHES = """o AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY md5('9:' || doc_id), doc_id) - 1 AS p FROM documents),
+b AS (SELECT doc_id, n_chars, p // 64 AS run, row_number() OVER (PARTITION BY p // 64 ORDER BY n_chars DESC, p) - 1 AS k FROM o),
+lb AS (SELECT doc_id, n_chars, CAST(run * 8 + k // 8 AS BIGINT) AS batch, CAST(k % 8 AS INTEGER) AS place FROM b)"""
+
+
+@query(f"WITH {_BATCHES} SELECT * FROM lb")
+def length_batches(t):
+    return B.length_batches(t("documents"), "doc_id", "n_chars", 8, 9, mega=8)
+
+
+@query(f"WITH {_BATCHES}, e AS (SELECT batch, count(*) AS n, sum(n_chars) AS units, max(n_chars) AS longest FROM lb GROUP BY batch) SELECT count(*) AS batches, CAST(sum(n) AS BIGINT) AS examples, CAST(sum(units) AS BIGINT) AS units, CAST(sum(n * longest) AS BIGINT) AS padded FROM e")
+def length_batches_padding(t):
+    return B.padding(B.length_batches(t("documents"), "doc_id", "n_chars", 8, 9, mega=8), "n_chars")
 
 
 @query("SELECT 'documents' AS origin, CAST(doc_id AS BIGINT) AS id, md5(text) AS content, 0 AS source_rank FROM documents UNION ALL SELECT 'benchmark', CAST(item_id AS BIGINT), md5(text), 1 FROM benchmark")

@@ -57,13 +57,13 @@ def indexed(df: DataFrame, order: list[str], name: str = "example_index") -> Dat
     columns there are. No task sees all rows. Nulls come first; rows that are equal in order are numbered in any order.
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    kept = written(placed.withColumn("_place", F.monotonically_increasing_id()), "indexed")
-    rows = kept.withColumn("_part", F.shiftrightunsigned("_place", 33))
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_part", before.alias("_before"))  # a row a partition
-    place = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    out = rows.join(F.broadcast(starts), "_part").withColumn(name, (place + F.col("_before")).cast("long")).drop("_part", "_place", "_before")
+    kept = written(placed.withColumn("_loom_place", F.monotonically_increasing_id()), "indexed")
+    rows = kept.withColumn("_loom_part", F.shiftrightunsigned("_loom_place", 33))
+    sizes = rows.groupBy("_loom_part").agg(F.count("*").alias("_loom_n"))
+    before = F.coalesce(F.sum("_loom_n").over(Window.orderBy("_loom_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_loom_part", before.alias("_loom_before"))  # a row a partition
+    place = F.col("_loom_place").bitwiseAND(F.lit((1 << 33) - 1))
+    out = rows.join(F.broadcast(starts), "_loom_part").withColumn(name, (place + F.col("_loom_before")).cast("long")).drop("_loom_part", "_loom_place", "_loom_before")
     out._loom_path = kept._loom_path  # dropped(out) deletes the table
     return out
 
