@@ -154,6 +154,24 @@ def value_format(t):
     return t("part").select("p_partkey", compact_number((F.col("p_size") * 1000).cast("double")).alias("shown"))
 
 
+@query("""WITH p AS (SELECT 'run' || p_partkey AS run, p_size, p_brand, p_type FROM part) SELECT run, 'language' AS param, lower(p_type) AS value FROM p
+UNION ALL SELECT run, 'pretrained_name', p_brand FROM p UNION ALL SELECT run, 'dropout', CASE WHEN p_size % 2 = 0 THEN '0.25' ELSE '1.0e-05' END FROM p UNION ALL SELECT run, 'lr', '2.0e-05' FROM p
+UNION ALL SELECT run, 'max_steps', p_size || 'k' FROM p UNION ALL SELECT run, 'save_steps', CAST(p_size * 1000 // 7 AS VARCHAR) FROM p WHERE p_size * 1000 // 7 % 1000 <> 0 UNION ALL SELECT run, 'save_steps', CAST(p_size // 7 AS VARCHAR) || 'k' FROM p WHERE p_size * 1000 // 7 % 1000 = 0
+UNION ALL SELECT run, 'effective_batch', CAST(4 * p_size AS VARCHAR) FROM p UNION ALL SELECT run, 'train_batch_size', CAST(p_size AS VARCHAR) FROM p UNION ALL SELECT run, 'gradient_accumulation_steps', '4' FROM p UNION ALL SELECT run, 'focus_enabled', CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END FROM p""")
+def config_parameters(t):
+    """A YAML config a part, with comments, lists, interpolations and a quotient, read back into parameters."""
+    from ..sources.configs import config_parameters as read
+
+    half = F.when(F.col("p_size") % 2 == 0, "0.25").otherwise("1e-5")
+    text = F.concat(
+        F.lit("# config\nexperiment_id: run"), F.col("p_partkey").cast("string"), F.lit("\nlanguage: '"), F.lower("p_type"), F.lit("'  # lower case\nmodel:\n  name: none\n  pretrained_name: "), F.col("p_brand"),
+        F.lit("\n  dropout: "), half, F.lit("\n  layers: [1, 2]\ntraining:\n  learning_rate: 2e-5\n  train_batch_size: "), F.col("p_size").cast("string"),
+        F.lit("\n  gradient_accumulation_steps: 4\n  max_steps: "), (F.col("p_size") * 1000).cast("string"), F.lit("\n  save_steps: ${divide:${training.max_steps},7}\nfocus:\n  enabled: "), (F.col("p_size") > 25).cast("string"), F.lit("\n"),
+    )
+    configs = t("part").select(F.col("p_partkey").alias("file"), text.alias("text"))
+    return read(configs, resolve=True).select("run", "param", "value")
+
+
 @query("WITH p AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type FROM events) SELECT k, event_type, count(*) AS n FROM p GROUP BY k, event_type")
 def record_read(t):
     return t("events").select(F.from_json("props", "k long")["k"].alias("k"), "event_type").groupBy("k", "event_type").agg(F.count("*").alias("n"))

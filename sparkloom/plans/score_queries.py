@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import decoding as D
 from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import vectors as V
+from ..sources import audio as A
 from .common import Catalogue
 
 _C = Catalogue()
@@ -192,3 +194,35 @@ def cer_bootstrap(t):
 @query(f"WITH {_ASCII}, {_weights_sql(40)} SELECT role, round(quantile_cont(errors / CAST(total AS DOUBLE), 0.025), 9) AS low, round(quantile_cont(errors / CAST(total AS DOUBLE), 0.975), 9) AS high FROM b GROUP BY role")
 def cer_intervals(t):
     return M.intervals(_resampled(t), "role").select("role", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+@query()
+def beam_decode(t):
+    """The best labelling of each vector's 16 frames by prefix beams; tests compare it with the sum over all paths."""
+    cut = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("embedding", i * 4 + 1, F.lit(4)))
+    found = D.beam_decode(t("embeddings").select("vec_id", cut.alias("frames")), "frames", 4, width=24)
+    return found.select("vec_id", _list(F.col("labels")).alias("ids"), F.round("log_prob", 6).alias("log_prob"))
+
+
+def _wav(body):
+    """A WAV file of 8-bit samples at 8 kHz around the bytes of body."""
+    little = lambda n: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(n), 8, "0"), i, 2) for i in (7, 5, 3, 1)]))
+    head = bytearray(b"WAVEfmt \x10\0\0\0\x01\0\x01\0\x40\x1f\0\0\x40\x1f\0\0\x01\0\x08\0data")
+    size = F.octet_length(body).cast("long")
+    return F.concat(F.lit(bytearray(b"RIFF")), little(size + 36), F.lit(head), little(size), body)
+
+
+@query("""WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents) SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS input_length,
+CAST(coalesce(list_sum(list_transform(regexp_extract_all(h, '..'), lambda b: CAST('0x' || b AS INTEGER) - 128)), 0) AS BIGINT) AS level FROM h""")
+def pcm_decode(t):
+    """Every text's bytes as the samples of a WAV file, decoded."""
+    rows = A.with_waveforms(t("documents").select("doc_id", _wav(F.encode("text", "UTF-8")).alias("content")), 8000)
+    level = F.aggregate("features", F.lit(0).cast("long"), lambda x, y: x + F.round(y * 128).cast("long"))
+    return rows.select("doc_id", "input_length", level.alias("level"))
+
+
+@query("SELECT doc_id, CAST(ceil(octet_length(encode(text)) * 441 / 320.0) AS BIGINT) AS input_length FROM documents")
+def pcm_resample(t):
+    """The same files at 11,025 Hz; tests compare the samples with closed forms."""
+    rows = A.with_waveforms(t("documents").select("doc_id", _wav(F.encode("text", "UTF-8")).alias("content")), 11025)
+    return rows.select("doc_id", "input_length")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import struct
 from collections.abc import Callable, Mapping
 from functools import reduce
@@ -15,6 +14,7 @@ from ..files import exists, folders, read_text
 from ..functions.text import relative_path, split_values, strip
 from ..operators.labels import drop_reason
 from ..scratch import written
+from .configs import parse
 
 Source = Callable[[SparkSession, Mapping], DataFrame]
 _REGISTRY: dict[str, Source] = {}
@@ -244,8 +244,8 @@ def record_files(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def read_record(spark: SparkSession, path: str) -> dict | None:
-    """A record written as JSON; None if the file is absent, {} if it is empty."""
-    return (json.loads(read_text(spark, path) or "{}") or {}) if exists(spark, path) else None
+    """A record written as JSON or YAML; None if the file is absent, {} if it is empty."""
+    return (parse(read_text(spark, path)) or {}) if exists(spark, path) else None
 
 
 def vocabulary_file(spark: SparkSession, path: str) -> DataFrame:
