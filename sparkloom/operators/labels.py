@@ -103,10 +103,10 @@ def pad_to(values: Column, length: Column, fill: Column | None = None) -> Column
     return F.concat(values, F.array_repeat(F.lit(-100) if fill is None else fill, F.greatest(length - F.size(values), F.lit(0))))
 
 
-def collate(rows: DataFrame, batch: str, labels: str = "labels", inputs: str | None = None, start: int | None = None) -> DataFrame:
+def collate(rows: DataFrame, batch: str, labels: str = "labels", inputs: str | None = None, start: int | None = None, mask: str | None = None) -> DataFrame:
     """Rows whose labels, and inputs if named, are padded to the longest of their batch.
 
-    Labels are padded with -100 and inputs with 0. If every row of a batch begins with start, it is stripped
+    Labels are padded with -100 and inputs with 0; mask names a column to add, with 1 for every input and 0 for what was padded. If every row of a batch begins with start, it is stripped
     there; a row without labels begins with nothing.
     """
     first = F.get(F.col(labels), F.lit(0))
@@ -117,8 +117,11 @@ def collate(rows: DataFrame, batch: str, labels: str = "labels", inputs: str | N
     out = joined.withColumn(labels, F.when(F.col("_starts"), F.slice(padded, F.lit(2), F.greatest(F.col("_longest") - 1, F.lit(0)))).otherwise(padded))
     if inputs:
         kind = dict(rows.dtypes)[inputs].removeprefix("array<").removesuffix(">")
+        own = F.size(inputs)
+        if mask:
+            out = out.withColumn(mask, F.concat(F.array_repeat(F.lit(1), own), F.array_repeat(F.lit(0), F.col("_inputs") - own)))
         out = out.withColumn(inputs, pad_to(F.col(inputs), F.col("_inputs"), F.lit(0).cast(kind)))
-    return out.select(*rows.columns)
+    return out.select(*rows.columns, *([mask] if inputs and mask else []))
 
 
 def drop_reason(input_length: Column, label_length: Column, max_input: int | None, max_label: int | None) -> Column:

@@ -203,6 +203,12 @@ def latest(copies: DataFrame, by: str, order: list[Column]) -> DataFrame:
     return copies.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
+def latest_checkpoint(checkpoints: DataFrame, by: str = "run", path: str = "path") -> DataFrame:
+    """(by, path, step) of the checkpoint with the largest number at the end of its path, so 10 comes after 9; paths without one don't count."""
+    step = F.try_to_number(F.regexp_extract(path, r"([0-9]+)/*$", 1), F.lit("9" * 18)).cast("long")
+    return checkpoints.withColumn("step", step).where("step is not null").groupBy(by).agg(F.max_by(path, F.struct("step", path)).alias(path), F.max("step").alias("step"))
+
+
 def fetch_plan(remote: DataFrame, local: DataFrame) -> DataFrame:
     """(run, action): leave what is closed or complete, fetch what is missing or whose state is unknown, refresh what is unfinished."""
     joined = remote.join(local, "run", "left")

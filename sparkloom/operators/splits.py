@@ -106,6 +106,12 @@ def keyed(examples: DataFrame, source: str, spec: SplitSpec) -> DataFrame:
     return examples.withColumn("key", extract_key(F.col(source).cast("string"), spec.key_pattern, from_path))
 
 
+def looked_up(examples: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
+    """All examples with the columns of their key's metadata row, null where there is none, and whether there is one in matched."""
+    rows = metadata.withColumn("_matched", F.lit(True))
+    return examples.join(rows, key, "left").withColumn("matched", F.coalesce("_matched", F.lit(False))).drop("_matched")
+
+
 def unmatched(examples: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
     """Examples whose key is null or has no metadata row."""
     return examples.join(metadata.select(key), key, "left_anti")

@@ -95,9 +95,11 @@ def latest_per_run(t):
     return R.latest(_log(t), "run", order).select("run", "metric", F.col("step").cast("long").alias("step"), "value")
 
 
-@query(f"WITH {_LOG} SELECT run, max(step) AS latest_step, arg_max(value, (step, metric)) AS value FROM log GROUP BY run")
+@query(f"WITH {_LOG} SELECT run, 'out/' || run || '/checkpoint-' || max(step) AS path, max(step) AS step FROM log GROUP BY run")
 def latest_checkpoint(t):
-    return _log(t).groupBy("run").agg(F.max("step").cast("long").alias("latest_step"), F.max_by("value", F.struct("step", "metric")).alias("value"))
+    """Folders of all steps of a run; the largest number is the latest."""
+    folders = _log(t).select("run", F.concat(F.lit("out/"), "run", F.lit("/checkpoint-"), F.col("step").cast("string")).alias("path"))
+    return R.latest_checkpoint(folders)
 
 
 @query("""WITH remote AS (SELECT DISTINCT 'run' || user_id AS run FROM events), l AS (SELECT 'run' || o_custkey AS run, bool_or(o_orderstatus = 'F') AS finished, bool_or(o_orderpriority = '5-LOW') AS closed FROM orders GROUP BY o_custkey)

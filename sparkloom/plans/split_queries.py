@@ -37,8 +37,7 @@ def key_extract(t):
 
 @query("SELECT d.doc_id, quality, toxic, l.doc_id IS NOT NULL AS matched FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def metadata_lookup(t):
-    labels = t("labels").withColumn("matched", F.lit(True))
-    return t("documents").select("doc_id").join(labels, "doc_id", "left").select("doc_id", "quality", "toxic", F.coalesce("matched", F.lit(False)).alias("matched"))
+    return splits.looked_up(t("documents").select("doc_id"), t("labels"), "doc_id").select("doc_id", "quality", "toxic", "matched")
 
 
 @query("SELECT source, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source")

@@ -260,31 +260,36 @@ def path_parts(t):
     return t("documents").select("doc_id", T.dirname(path).alias("folder"), T.relative_path(path, "/corpus").alias("below"), F.array_join(T.split_values(cell), "+").alias("cell"))
 
 
-@query("""WITH b AS (SELECT doc_id, source AS batch, list_transform(string_split(left(text, 12), ''), lambda c: ascii(c)) AS labels FROM documents WHERE text <> ''),
-s AS (SELECT batch, max(len(labels)) AS longest, bool_and(labels[1] < 128) AS plain FROM b GROUP BY batch)
-SELECT doc_id, array_to_string(list_concat(labels, list_transform(range(len(labels), longest), lambda x: -100)), ',') AS labels FROM b JOIN s USING (batch)""")
+@query(f"""WITH {_BATCHES}, p AS (SELECT d.doc_id, batch, list_transform(string_split(text, ''), lambda c: ascii(c)) AS labels FROM documents d JOIN lb USING (doc_id) WHERE text <> ''),
+s AS (SELECT batch, max(len(labels)) AS longest FROM p GROUP BY batch)
+SELECT doc_id, batch, md5(array_to_string(list_concat(labels, list_transform(range(len(labels), longest), lambda x: -100)), ',')) AS labels, md5(array_to_string(list_concat(labels, list_transform(range(len(labels), longest), lambda x: 0)), ',')) AS inputs,
+md5(array_to_string(list_concat(list_transform(labels, lambda x: 1), list_transform(range(len(labels), longest), lambda x: 0)), ',')) AS mask FROM p JOIN s USING (batch)""")
 def collate_labels(t):
-    points = F.transform(T.characters(F.left("text", F.lit(12))), lambda c: F.ascii(c))
-    rows = t("documents").where("text <> ''").select("doc_id", F.col("source").alias("batch"), points.alias("labels"))
-    return L.collate(rows, "batch").select("doc_id", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
+    """Code points of whole texts as labels and as inputs, padded in batches of like length, with the mask of what is no padding."""
+    batches = B.length_batches(t("documents"), "doc_id", "n_chars", 8, 9, mega=8).select("doc_id", "batch")
+    points = F.transform(T.characters(F.col("text")), lambda c: F.ascii(c))
+    rows = t("documents").where("text <> ''").select("doc_id", points.alias("labels"), points.alias("inputs")).join(batches, "doc_id")
+    listed = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ",").cast("binary")).alias(c)
+    return L.collate(rows, "batch", inputs="inputs", mask="mask").select("doc_id", "batch", *map(listed, ("labels", "inputs", "mask")))
 
 
-@query("""WITH b AS (SELECT conv_id, turn, list_concat([CASE WHEN role = 'user' OR conv_id % 2 = 0 THEN 7 ELSE 8 END], list_transform(string_split(left(text, 5), ''), lambda c: ascii(c))) AS labels FROM conversations),
+@query("""WITH b AS (SELECT conv_id, turn, list_concat([CASE WHEN role = 'user' OR conv_id % 2 = 0 THEN 7 ELSE 8 END], list_transform(string_split(text, ''), lambda c: ascii(c))) AS labels FROM conversations),
 s AS (SELECT conv_id, max(len(labels)) AS longest, bool_and(labels[1] = 7) AS starts FROM b GROUP BY conv_id)
 SELECT conv_id, turn, array_to_string(list_concat(CASE WHEN starts THEN labels[2:] ELSE labels END, list_transform(range(len(labels), longest), lambda x: -100)), ',') AS labels FROM b JOIN s USING (conv_id)""")
 def collate_start_stripped(t):
     """The start token 7 goes from conversations whose every turn begins with it."""
     start = F.array(F.when((F.col("role") == "user") | (F.col("conv_id") % 2 == 0), 7).otherwise(8))
-    points = F.transform(T.characters(F.left("text", F.lit(5))), lambda c: F.ascii(c))
+    points = F.transform(T.characters(F.col("text")), lambda c: F.ascii(c))
     rows = t("conversations").select("conv_id", "turn", F.concat(start, points).alias("labels"))
     return L.collate(rows, "conv_id", start=7).select("conv_id", "turn", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
 
 
-@query(f"WITH {_CHARS}, {_VOCAB.format(least=1)}, s AS (SELECT lower(token) AS canonical, min(id) AS source_id FROM vocab WHERE trim(token) <> '' GROUP BY 1) SELECT DISTINCT substr(text, 1, 1) AS token, source_id FROM benchmark JOIN s ON canonical = lower(substr(text, 1, 1))")
+@query(f"WITH {_CHARS}, {_VOCAB.format(least=1)}, s AS (SELECT lower(token) AS canonical, min(id) AS source_id FROM vocab WHERE trim(token) <> '' GROUP BY 1), b AS (SELECT DISTINCT unnest(string_split(text, '')) AS token FROM benchmark WHERE text <> '') SELECT token, source_id FROM b JOIN s ON canonical = lower(token)")
 def vocabulary_overlap(t):
+    """All characters of the benchmark against those of the documents, by their lower case."""
     source = L.vocabulary(t("documents")).withColumn("canonical", F.trim(F.lower("token")))
-    token = F.substring("text", 1, 1)
-    target = t("benchmark").select(token.alias("token"), F.lit(0).alias("id"), F.lower(token).alias("canonical")).distinct()
+    token = F.explode(T.characters(F.col("text"))).alias("token")
+    target = t("benchmark").where("text <> ''").select(token).distinct().select("token", F.lit(0).alias("id"), F.lower("token").alias("canonical"))
     return L.overlap(source, target).select("token", "source_id")
 
 

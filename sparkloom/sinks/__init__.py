@@ -12,12 +12,14 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import files
 from ..functions.text import slug_of
-from ..operators.splits import ORDER, SplitSpec, split_sizes
+from ..operators.selectors import matches, normalize_selector
+from ..operators.splits import ORDER, SplitSpec
+from ..scratch import dropped, written
 
 RECORD = "config.yaml"
 
@@ -170,18 +172,34 @@ def invalidate(spark: SparkSession, root: str, names: Sequence[str]) -> list[str
 # tables and reports
 
 
-def save_split(examples: DataFrame, assignment: DataFrame, spec: SplitSpec, folder: str, source: str = "key", metadata_digest: str = "") -> dict:
-    """Writes assignment.csv (example, split), ordered by train, dev, test and example_index, and split.yaml, with id, counts and hours.
+def save_split(examples: DataFrame, assignment: DataFrame, spec: SplitSpec, folder: str, source: str = "key", metadata_digest: str = "", unmatched: int = 0) -> dict:
+    """Writes assignment.csv (example, split), ordered by train, dev, test and example_index, and split.yaml.
 
-    assignment.csv is a folder of parts in order. Returns the record.
+    assignment.csv is a folder of parts in order. The record has the id, counts and hours of each split, and how many examples are
+    in none: excluded, of no metadata (unmatched, which the caller knows), or unused. All numbers but the last are observed while the
+    joined rows are written once for the sort, so the examples are read in one job. Returns the record.
     """
     spark = examples.sparkSession
+    excluded = matches(normalize_selector(spec.exclude), examples.columns, spec.multi_valued, dict(examples.dtypes)) if spec.exclude else F.lit(False)
+    usable = F.lit(True) if spec.max_size is None else F.coalesce(F.col("size") <= spec.max_size, F.lit(True))
+    rows = examples.select("example_index", F.col(source).alias("example"), "size", F.coalesce(excluded, F.lit(False)).alias("excluded"), usable.alias("usable"))
+    seen = Observation()
+    of = lambda name: F.col("split") == name
+    counted = [F.count_if(of(s)).alias(s) for s in ORDER] + [F.coalesce(F.sum(F.when(of(s), F.col("size"))), F.lit(0)).alias(f"{s}_size") for s in ORDER]
+    counted += [F.count_if(F.col("split").isNull() & F.col("excluded")).alias("excluded"), F.count_if(F.col("split").isNull() & ~F.col("excluded")).alias("unused"), F.count_if(F.col("split").isNotNull() & ~F.col("usable")).alias("too_long")]
+    joined = written(rows.join(assignment, "example_index", "left").observe(seen, *counted), "assigned")
     rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("split"))
-    rows = examples.select("example_index", F.col(source).alias("example")).join(assignment, "example_index")
-    rows.orderBy(rank, "example_index").select("example", "split").write.mode("overwrite").csv(f"{folder}/assignment.csv", header=True)
-    sizes = {r.split: r for r in split_sizes(examples, assignment, spec.units_per_hour, spec.max_size).collect()}
-    found = [s for s in ORDER if sizes[s].examples]
-    record = spec.record() | {"metadata_sha256": metadata_digest, "split_id": spec.split_id(metadata_digest), "counts": {s: sizes[s].examples for s in found}, "hours": {s: sizes[s].hours for s in found}}
+    joined.where("split is not null").orderBy(rank, "example_index").select("example", "split").write.mode("overwrite").csv(f"{folder}/assignment.csv", header=True)
+    dropped(joined)
+    sums = seen.get
+    found = [s for s in ORDER if sums[s]]
+    record = spec.record() | {
+        "metadata_sha256": metadata_digest,
+        "split_id": spec.split_id(metadata_digest),
+        "counts": {s: sums[s] for s in found},
+        "hours": {s: round(sums[f"{s}_size"] / spec.units_per_hour, 3) for s in found},
+        "left_out": {"excluded": sums["excluded"], "unmatched": unmatched, "unused": sums["unused"], "too_long": sums["too_long"]},
+    }
     write_record(spark, folder, record, "split.yaml")
     return record
 

@@ -271,3 +271,19 @@ def config_parameters(configs: DataFrame, file: str = "file", text: str = "text"
     """
     rows = configs.select(F.col(file).cast("string").alias("file"), F.col(text).alias("text"))
     return rows.mapInPandas(_table(resolve), "file string, run string, param string, value string, problem string")
+
+
+def checked_language(language: str | None, codes: Mapping[str, str], detect: str = "detect") -> str | None:
+    """A language that a model knows, as it was given: a code, or the name of one, in any case.
+
+    codes maps codes to names. None for the word that leaves the choice to the model. A language that is not set
+    raises, as it is more often forgotten than meant, and so does one that the model does not know.
+    """
+    if language is None:
+        raise ValueError(f"no language is set; give one of {', '.join(sorted(codes))}, or {detect!r}")
+    plain = str(language).lower()
+    if plain == detect:
+        return None
+    if plain in codes or plain in {name.lower() for name in codes.values()}:
+        return language
+    raise ValueError(f"unknown language {language!r}; give one of {', '.join(sorted(codes))}, or {detect!r}")

@@ -89,3 +89,11 @@ def test_parameters_in_bulk(spark):
     assert {(r.param, r.value) for r in got if r.file == "good"} == {("language", "små"), ("pretrained_name", "org/base-model:v1"), ("dropout", "0.001"), ("on", "true"), ("url", "http://host/a#b"), ("steps", "20k"), ("ratio", "0.5"), ("text", "line one\n  line two\n\nline three\n"), ("folded", "a b")}
     assert ("train_batch_size", "66") in {(r.param, r.value) for r in C.config_parameters(df, resolve=True).collect() if r.file == "good"}
     assert {r.run for r in got if r.file == "good"} == {"exp-12"}
+
+
+def test_language():
+    codes = {"en": "English", "sv": "Swedish"}
+    assert [C.checked_language(x, codes) for x in ("sv", "EN", "Swedish", "detect", "DETECT")] == ["sv", "EN", "Swedish", None, None]
+    for bad in (None, "klingon", ""):
+        with pytest.raises(ValueError, match="en, sv"):
+            C.checked_language(bad, codes)

@@ -229,6 +229,16 @@ def test_split_record(spark, tmp_path):
     assert [s for _, s in lines] == ["train"] * 10 + ["dev"] * 4 + ["test"] * 6
 
 
+def test_split_record_tells_what_is_left_out(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"k{i}", "xyz"[i % 3], 10 * i if i else None) for i in range(30)], "example_index long, key string, who string, size long")
+    spec = splits.SplitSpec(exclude={"who": "x"}, test={"who": "z"}, dev=[], train_budget=4, train_budget_unit="examples", max_size=200)
+    record = sinks.save_split(rows, splits.assign(rows, spec), spec, str(tmp_path / "s"), unmatched=2)
+    train = record["counts"]["train"]
+    long = sum(10 * r.example_index > 200 for r in splits.assign(rows, spec).collect())
+    assert record["left_out"] == {"excluded": 10, "unmatched": 2, "unused": 10 - train, "too_long": long} and record["counts"]["test"] == 10
+    assert sources.read_record(spark, f"{tmp_path}/s/split.yaml")["left_out"] == record["left_out"]
+
+
 def test_tables_and_reports(spark, tmp_path):
     pairs = spark.createDataFrame([(1, "q", "süß", "suss"), (0, "p", "", "x")], "example_index long, example string, reference string, hypothesis string")
     sinks.save_predictions(M.error_counts(pairs), f"{tmp_path}/p")
