@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,11 +30,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Whether Spark deletes the files of a query's shuffles when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside leave no shuffle files behind; a plan that runs again computes its shuffles again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str = "t", codec: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder, evaluated once."""
+    """df as a Parquet table in the shared folder, evaluated once; the files of its shuffles are deleted with the end of the job."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    with cleaned_up(spark):
+        df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path
     return out
