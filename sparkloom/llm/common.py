@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -23,12 +22,6 @@ def whole_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def released(spark: SparkSession) -> None:
-    """Lets the driver collect its garbage, so that the files of shuffles that no plan needs any more are deleted."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def chunks(items: list, weight, limit: int) -> Iterator[list]:
     """Consecutive runs of items whose weights add up to limit, or single heavier items."""
     run, total = [], 0

@@ -16,6 +16,8 @@ merged by connected components.
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -25,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, dropped, evenly_joined, released, table, whole_text, written
+from .common import chunks, dropped, evenly_joined, table, whole_text, written
 from .components import connected_components, local_roots
 from .counters import SCHEMA, collected, rows_of
 from .ngrams import mix, shingles
@@ -33,8 +35,10 @@ from .ngrams import mix, shingles
 BATCH_CHARS = 1 << 18
 #: Documents of a region that one task compares with as many others; larger regions are dealt out in blocks.
 BLOCK = 128
-#: Cells of at most this many documents are compared exactly, larger ones get this many pivots.
-LEAF, PIVOTS = 64, 4
+#: Cells of at most this many documents are compared exactly, larger ones get this many pivots, or the root of their number if that is more.
+LEAF, PIVOTS = 16, 4
+#: Sets farther than this from every pivot are a cell of their own, with pivots of its own.
+CORE = 0.5
 #: Buckets of a sketch at least, and members of a signature whose sketches one task compares with as many others.
 LEAST_SKETCH, SKETCH_BLOCK = 32, 1024
 #: Shingle frequencies are counted in 2 ** this many buckets; parts beyond the least number, as a share of it.
@@ -272,12 +276,10 @@ def _regions(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     compared sketch by sketch.
     """
     shared = written(signed.repartition("sig").sortWithinPartitions("sig", "cid").mapInPandas(_shared, "sig long, cid long, head long"), "shared")
-    released(signed.sparkSession)  # the signatures are the largest shuffle of the join
     sketches = sets.groupBy("cid").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     stars = shared.where("head <> cid").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
     sides = [sketches.withColumnsRenamed({"cid": end, "size": f"size_{end}", "sketch": f"sketch_{end}"}) for end in "ab"]
     near = written(stars.join(sides[0], "a").join(sides[1], "b").mapInPandas(_near_stars(percent), "a long, b long"), "near")
-    released(signed.sparkSession)
 
     pieces = connected_components(near).withColumnsRenamed({"node": "cid", "component": "piece"})
     placed = shared.join(pieces, "cid", "left").select("sig", "cid", F.coalesce("piece", "cid").alias("piece"))
@@ -290,7 +292,6 @@ def _regions(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     regions = written(_merged(pieces, merges).withColumnsRenamed({"piece": "gid"}), "regions")
     for gone in (shared, near, pieces, merges):
         dropped(gone)
-    released(signed.sparkSession)
     return regions
 
 
@@ -333,36 +334,47 @@ def _compare(values: np.ndarray, bounds: np.ndarray, home: np.ndarray, percent:
     return np.argwhere(linked)
 
 
-def region_pairs(values: np.ndarray, bounds: np.ndarray, percent: int, home: np.ndarray | None = None) -> np.ndarray:
+def region_pairs(values: np.ndarray, bounds: np.ndarray, percent: int, home: np.ndarray | None = None, seen: Counter | None = None) -> np.ndarray:
     """Index pairs of linked sets, each pair with a set at home found at least once.
 
     Voronoi cells around a few pivots, spread by farthest-first choice. If x and y link, then
     d(y, p) <= d(x, p) + e for x's pivot p, and y's own pivot q has d(x, q) >= d(x, p), hence
-    d(y, p) - d(y, q) <= 2e: y is at home in x's cell or replicated into it.
+    d(y, p) - d(y, q) <= 2e: y is at home in x's cell or replicated into it. Of those only the ones are replicated
+    whose distance to p is in the window of the distances at home, widened by e on both sides. Sets that share next to nothing with any
+    pivot are no cell's: they are one of their own, whose window is over the distance to the nearest pivot. seen counts
+    the cells, the sets at home in them and replicated into them, and the sets and pairs compared exactly.
     """
     n = len(bounds) - 1
     home = np.ones(n, bool) if home is None else home
-    if n <= LEAF:
-        return _compare(values, bounds, home, percent)
-    reach = (100 - percent) / 100
-    pivots, to = [0], []
-    for _ in range(PIVOTS):
-        p = pivots[-1]
-        to.append(distances(values, bounds, values[bounds[p] : bounds[p + 1]]))
-        pivots.append(int(np.argmax(np.min(to, axis=0))))
-    to = np.stack(to)
-    nearest, least = np.argmin(to, axis=0), to.min(axis=0)
-    cells = [np.flatnonzero((nearest == k) | (to[k] - least <= 2 * reach + 1e-9)) for k in range(PIVOTS)]
-    if sum(len(c) ** 2 for c in cells) >= n * n:  # no pivot separates these documents
-        return _compare(values, bounds, home, percent)
-    found = [np.zeros((0, 2), np.int64)]
-    for k, cell in enumerate(cells):
-        inside = home[cell] & (nearest[cell] == k)  # a pair is found in the cell of its document at home
-        if inside.any():
-            ends = np.concatenate([[0], np.cumsum(np.diff(bounds)[cell])])
-            flat = np.concatenate([values[bounds[i] : bounds[i + 1]] for i in cell])
-            found.append(cell[region_pairs(flat, ends, percent, inside)])
-    return np.concatenate(found)
+    seen = Counter() if seen is None else seen
+    if n > LEAF:
+        reach = (100 - percent) / 100
+        pivots, to = [0], []
+        for _ in range(max(PIVOTS, math.isqrt(n))):
+            p = pivots[-1]
+            to.append(distances(values, bounds, values[bounds[p] : bounds[p + 1]]))
+            pivots.append(int(np.argmax(np.min(to, axis=0))))
+        to = np.stack(to)
+        nearest, least = np.argmin(to, axis=0), to.min(axis=0)
+        cells = []
+        for k in range(-1, len(to)):
+            inside = home & (least > CORE if k < 0 else (nearest == k) & (least <= CORE))  # a pair is found in the cell of its document at home
+            if inside.any():
+                d = least if k < 0 else to[k]
+                low, high = d[inside].min() - reach - 1e-9, d[inside].max() + reach + 1e-9
+                cells.append((inside, inside | ((d - least <= 2 * reach + 1e-9) & (d >= low) & (d <= high))))
+        if sum(int(c.sum()) ** 2 for _, c in cells) < n * n:
+            found = [np.zeros((0, 2), np.int64)]
+            for inside, member in cells:
+                cell = np.flatnonzero(member)
+                seen.update(cells=1, home=int(inside.sum()), replicated=len(cell) - int(inside.sum()))
+                ends = np.concatenate([[0], np.cumsum(np.diff(bounds)[cell])])
+                flat = np.concatenate([values[bounds[i] : bounds[i + 1]] for i in cell])
+                found.append(cell[region_pairs(flat, ends, percent, inside[cell], seen)])
+            return np.concatenate(found)
+        seen.update(whole=1)  # no pivot separates these documents
+    seen.update(compared=n, pairs=n * n)
+    return _compare(values, bounds, home, percent)
 
 
 def _join_region(percent: int) -> Callable:
@@ -458,7 +470,6 @@ def _linked(rows: DataFrame, members: DataFrame, classes: DataFrame, size: int,
     bulk = connected_components(first)
     found = bulk.withColumnsRenamed({"node": "cid", "component": "piece"})
     pieces = written(members.join(found, "cid", "left").select("cid", "gid", "members", F.coalesce("piece", "cid").alias("piece")), "pieces")
-    released(rows.sparkSession)
     counts = pieces.where(F.col("members") > 2 * BLOCK).groupBy("gid", "piece").agg(F.count("*").alias("n"))  # two blocks have met
     split = counts.groupBy("gid").agg(F.max_by("piece", F.struct("n", "piece")).alias("main"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
     rest = _rest_tasks(_loaded(rows, evenly_joined(pieces, split, ["gid"], ["cid"], "inner"), classes, size)).groupBy("gid", "lo", "hi").applyInPandas(_join_region(percent), edges)
@@ -466,7 +477,6 @@ def _linked(rows: DataFrame, members: DataFrame, classes: DataFrame, size: int,
     linked = written(_merged(pieces.select("cid", "piece"), strays).withColumnsRenamed({"piece": "root"}), "linked")
     for gone in (bulk, pieces, strays):
         dropped(gone)
-    released(rows.sparkSession)
     return linked
 
 

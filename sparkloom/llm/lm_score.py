@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, released, table, whole_text, written
+from .common import chunks, table, whole_text, written
 from .ngrams import mix, words
 
 BATCH_CHARS = 1 << 20
@@ -202,7 +202,6 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, smoothing: Smo
     # the same join at every size: the ids grow with the corpus, so they are not to be broadcast
     marked = texts.hint("merge").join(ids, "doc_id", "left").select(F.col("doc_id").cast("string"), F.coalesce("target", F.lit(False)).alias("target"), "text")
     parts = written(marked.mapInPandas(_chunked, "chunk long, chars long, doc_ids array<string>, targets array<boolean>, lengths array<long>, texts binary"), "lm-chunks")
-    released(docs.sparkSession)
     chars = parts.agg(F.sum("chars")).first()[0] or 0
     shards = 1 << (max(LEAST_SHARDS, -(-chars // SHARD_CHARS)) - 1).bit_length()
     rounds = []
@@ -210,7 +209,6 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, smoothing: Smo
         asked = parts.mapInPandas(_asked(shards, part), "chunk long, kind int, shard long, keys binary, counts binary")
         dealt = asked.repartition("kind", "shard").sortWithinPartitions("kind", "shard")
         rounds.append(written(dealt.mapInPandas(_answered, "chunk long, kind int, shard long, distinct_keys long, tokens long, target_tokens long, counts binary"), "lm-counts"))
-        released(docs.sparkSession)
     answers = reduce(DataFrame.unionByName, rounds)
     vocabulary, *totals = (n or 0 for n in answers.where("kind = 0").agg(F.sum("distinct_keys"), F.sum("tokens"), F.sum("target_tokens")).first())
     # shards are the key space in order, so a chunk's sorted answers are in the order of its sorted keys

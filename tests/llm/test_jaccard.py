@@ -1,6 +1,8 @@
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +60,28 @@ def test_many_copies_and_no_rows(spark):
     assert got.where("component_id = 0 and n_links = 999").count() == 1000
     assert got.where("component_id = doc_id and n_links = 0").count() == 2000
     assert J.jaccard_components(df.limit(0), links=True).count() == 0
+
+
+@pytest.mark.parametrize("percent", [75, 80, 85])
+def test_pivots_windows_and_recursion(percent):
+    """Regions held together by chains: cells and windows find every pair that all comparisons find, comparing fewer."""
+    rng = random.Random(percent)
+    sets = []
+    for c in range(3):
+        items = [rng.getrandbits(64) for _ in range(900)]
+        for i in range(160):  # a window that slides over the items, so its ends have nothing in common
+            mine = set(items[5 * i : 5 * i + 80])
+            mine ^= {rng.getrandbits(64) for _ in range(rng.randrange(4))}
+            sets.append(mine)
+    rng.shuffle(sets)
+    values = np.concatenate([np.array(sorted(s), np.uint64) for s in sets])
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+    seen = Counter()
+    got = {tuple(sorted(p, reverse=True)) for p in J.region_pairs(values, bounds, percent, seen=seen).tolist()}
+    assert got == want and len(want) > 200
+    assert seen["cells"] > 40 and seen["replicated"] > 0 and seen["home"] > 2 * len(sets)  # several levels of cells
+    assert seen["pairs"] < len(sets) ** 2 / 4
+    home = np.array([rng.random() < 0.3 for _ in sets])
+    some = {tuple(sorted(p, reverse=True)) for p in J.region_pairs(values, bounds, percent, home).tolist()}
+    assert some == {(i, j) for i, j in want if home[i] or home[j]}
