@@ -91,7 +91,8 @@ def word_errors(t):
     return M.error_counts(_pairs(t)).select("conv_id", "turn", "ref_words", "word_edits")
 
 
-# DuckDB's edit distance counts bytes, so each of the corpus's characters, fewer than 127, becomes one ASCII character first.
+# DuckDB's edit distance counts bytes, so each of the corpus's characters becomes one ASCII character first: this SQL, not the
+# operator, holds for corpora of fewer than 127 distinct characters.
 _ASCII = f"""{_P}, k AS (SELECT string_agg(ch, '' ORDER BY ch) AS every, string_agg(chr(CAST(n AS INTEGER)), '' ORDER BY ch) AS plain FROM (SELECT ch, row_number() OVER (ORDER BY ch) AS n FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM conversations WHERE text <> ''))),
 ce AS (SELECT conv_id, turn, role, length(reference) AS ref_chars, CASE WHEN reference = '' THEN 0 ELSE levenshtein(translate(reference, every, plain), translate(hypothesis, every, plain)) END AS char_edits FROM p, k)"""
 
@@ -146,8 +147,8 @@ _ANCHOR = "anchor AS (SELECT label, embedding AS av FROM (SELECT label, embeddin
 
 
 def _scored(t):
-    w = Window.partitionBy("label").orderBy("vec_id")
-    anchor = t("embeddings").withColumn("k", F.row_number().over(w)).where("k = 1").select("label", F.col("embedding").alias("av"))
+    """Every vector's cosine with its label's first vector, which a label finds by one aggregation."""
+    anchor = t("embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("av"))
     return t("embeddings").join(anchor, "label").select("vec_id", "label", V.cosine(F.col("embedding"), F.col("av")).alias("score"), F.col("embedding").alias("vector"))
 
 
