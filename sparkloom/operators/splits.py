@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, extract_key, slug_of
+from ..scratch import written
 from .sampling import ORDERS, VALUES, budget_cut, group_cut, sample_groups
 from .selectors import matches, normalize_selector
 
@@ -144,7 +145,7 @@ def _group(df: DataFrame, name: str) -> Column:
 def _placed(examples: DataFrame, spec: SplitSpec) -> DataFrame:
     """A row an example that is not excluded: its place (test, dev, kept, pool or none), group and size in the budget.
 
-    flags of selectors first, then the draws, one after the other.
+    Flags of selectors are written first; then the draws follow, one after the other.
     """
     test, dev, train, exclude = (normalize_selector(s) for s in (spec.test, spec.dev, spec.train, spec.exclude))
     flag = lambda s: matches(s, examples.columns, spec.multi_valued, dict(examples.dtypes)) if s is not None else F.lit(False)
@@ -162,6 +163,7 @@ def _placed(examples: DataFrame, spec: SplitSpec) -> DataFrame:
         F.lit(1).cast("long").alias("one"),
         F.when(usable, hours(spec.train_budget_unit)).otherwise(0).cast("long").alias("unit"),
     )
+    rows = written(rows, "flags", "zstd")  # every draw reads it, and none the joins and selectors behind it
     if spec.test_size is not None:
         amount = spec.test_size_unit == "hours"
         size = spec.test_size * spec.units_per_hour if amount else spec.test_size
@@ -183,8 +185,8 @@ def assign(examples: DataFrame, spec: SplitSpec) -> DataFrame:
     precedence: exclude, test, dev, train. Rows larger than max_size are assigned, but weigh nothing in hours and
     budgets. The pool is filled up to the budget by whole groups of dev_group_by, else of the key.
 
-    Every draw is a small job over the totals of groups whose result is one row, and the assignment reads
-    examples once, without a shuffle of their rows. Raises if hours are asked for and a size is missing, if the kept
+    examples are read once and leave a narrow table of flags, groups and sizes. Every draw is a small job over it whose result is
+    one row, and so is the assignment, without a shuffle of its rows. Raises if hours are asked for and a size is missing, if the kept
     test remainder exceeds the budget, or if nothing trains.
     """
     hours = (spec.train_budget is not None and spec.train_budget_unit == "hours") or (spec.test_size is not None and spec.test_size_unit == "hours")

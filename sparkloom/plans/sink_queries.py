@@ -104,3 +104,52 @@ def embeddings_sidecar(t):
     sinks.save_embeddings(matrix, None, folder, {"model": "vectors"})
     inputs, outputs = sources.embedding_files(matrix.sparkSession, folder)
     return outputs.select("id", F.col("vector")[0].alias("first"), F.col("vector")[63].alias("last"), F.size("vector").alias("size"))
+
+
+# what sources read, from files that Spark writes from the tables
+
+
+@query("""SELECT 'c' || c_custkey AS key, array_to_string(list_filter(string_split(c_mktsegment || ';;' || CAST(c_nationkey AS VARCHAR) || CASE WHEN c_custkey % 3 = 0 THEN ';say "x", y' ELSE '' END, ';'), lambda x: x <> ''), '|') AS tags,
+CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'line' || chr(10) || c_nationkey END AS note FROM customer""")
+def metadata_csv(t):
+    """Attributes with several values, quotes, line breaks and empty cells, written as CSV and read back."""
+    more = F.when(F.col("c_custkey") % 3 == 0, ';say "x", y').otherwise("")
+    note = F.when(F.col("c_custkey") % 5 > 0, F.concat(F.lit("line\n"), F.col("c_nationkey").cast("string")))
+    rows = t("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("key"), F.concat(F.col("c_mktsegment"), F.lit(";;"), F.col("c_nationkey").cast("string"), more).alias("tags"), note.alias("note"))
+    path = _folder(rows)
+    rows.write.csv(path, header=True, quoteAll=True, escape='"')
+    return sources.metadata_table(rows.sparkSession, path, "key", ("tags",)).withColumn("tags", F.array_join("tags", "|"))
+
+
+@query(rf"SELECT line AS transcription, count(*) AS n FROM (SELECT regexp_replace(unnest(regexp_split_to_array(text, '\r\n|\n|\r')), '^[{T.WS}]+|[{T.WS}]+$', '', 'g') AS line FROM documents) WHERE line <> '' GROUP BY line")
+def text_lines(t):
+    """The lines of all texts as a source of lines."""
+    texts = t("documents").select("text").where("text is not null")
+    path = _folder(texts)
+    texts.write.text(path)
+    return sources.load_source(texts.sparkSession, {"type": "lines", "path": path}).groupBy("transcription").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT 'run' || user_id AS run, n AS global_step, CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS finished, CAST(position AS INTEGER) AS position, CAST(event_id AS VARCHAR) AS step, event_type AS metric FROM s""")
+def trainer_states(t):
+    """A state file a run, whose log holds the run's events; runs of even numbers are finished."""
+    entry = F.struct("ts", "event_id", F.create_map(F.lit("step"), F.col("event_id").cast("string"), F.lit("metric"), F.col("event_type")).alias("entry"))
+    logs = t("events").groupBy("user_id").agg(F.array_sort(F.collect_list(entry), lambda a, b: F.when((a["ts"] < b["ts"]) | ((a["ts"] == b["ts"]) & (a["event_id"] < b["event_id"])), -1).otherwise(1))["entry"].alias("log"))
+    ended = F.transform("log", lambda e, i: F.when((i == F.size("log") - 1) & (F.col("user_id") % 2 == 0), F.map_concat(e, F.create_map(F.lit("train_runtime"), F.lit("1")))).otherwise(e))
+    states = logs.select(F.concat(F.lit("run"), F.col("user_id").cast("string")).alias("run"), F.to_json(F.struct(F.size("log").alias("global_step"), ended.alias("log_history"))).alias("value"))
+    path = _folder(states)
+    states.write.partitionBy("run").text(path)
+    read = sources.trainer_states(states.sparkSession, path)
+    return read.select(F.regexp_extract("file", "run=([^/]+)/", 1).alias("run"), "global_step", "finished", "position", F.col("entry")["step"].alias("step"), F.col("entry")["metric"].alias("metric"))
+
+
+@query("SELECT 'run=' || p_brand || '%' AS directory, count(*) AS parts FROM part GROUP BY p_brand")
+def record_discovery(t):
+    """Records in folders of their own, found however deep."""
+    records = t("part").groupBy("p_brand").agg(F.count("*").alias("n")).select(F.col("p_brand").alias("run"), F.lit("x").alias("depth"), F.to_json(F.struct("n")).alias("value"))
+    path, spark = _folder(records), records.sparkSession
+    records.write.partitionBy("depth", "run").text(path)
+    found = sources.record_files(spark, path, "part-*")
+    name = F.concat(F.url_decode(F.regexp_extract("directory", "(run=[^/]+)$", 1)), F.lit("%"))
+    return found.select(name.alias("directory"), F.get_json_object("record", "$.n").cast("long").alias("parts"))
