@@ -8,8 +8,7 @@ beside it (main()).
 Density cannot tell some boilerplate from prose: a reader's comment is as dense as an article. Marks
 are a prior for that: elements whose tag, role or whole class or id token names boilerplate have density
 0 and leave no text; of articles only those marked as remarks or adverts. An element that holds most of the text is
-not marked unless an article, main
-or h1 stands outside it.
+not marked unless an article, main or h1 stands outside it.
 """
 
 from __future__ import annotations
@@ -251,7 +250,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """The main text of every page.
 
     Null or empty html has an empty text; broken markup is read as far as it goes, in time linear in
-    the elements however deep they nest. Repeated rows give repeated results; columns other than page_id, url and
+    the elements however deep they nest. Attributes are read one by one, so words in their values hide nothing. Of several article
+    elements all are kept that no mark or majority of links speaks against. Repeated rows give repeated results; columns other than page_id, url and
     html are ignored; no rows give none.
     """
     found = with_texts(pages, [F.col("page_id").cast("long"), "url"], per_text(whole_text("html"), "text string", lambda: _extract, BATCH_CHARS))

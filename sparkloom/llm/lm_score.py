@@ -193,7 +193,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, smoothing: Smo
     """Per-token losses in bits of every whole text under both models, and target minus background.
 
     Low scores read like the target documents, those whose doc_id is in targets. A null, empty or
-    wordless text has 0 words and scores 0. A null doc_id is no target; a model without documents
+    wordless text has 0 words and scores 0; a text longer than a chunk is a chunk of its own, read whole by one task. A null doc_id is no target; a model without documents
     is uniform. Repeated rows count and score each, and each is predicted by the others; other columns are
     ignored; no rows give none.
     """
