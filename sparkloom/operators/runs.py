@@ -119,7 +119,10 @@ def replicate_average(log: DataFrame, band: str = "std") -> DataFrame:
 
 
 def by_experiment(copies: DataFrame) -> DataFrame:
-    """(experiment, directories) of copies(directory, experiment), sorted; the directories without an experiment under null."""
+    """(experiment, directories) of copies(directory, experiment), sorted; the directories without an experiment under null.
+
+    An experiment's directories are one row's list: there are as many as times it was copied, which is a few.
+    """
     return copies.groupBy("experiment").agg(F.array_sort(F.collect_list("directory")).alias("directories"))
 
 
