@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,6 +23,12 @@ def whole_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def released(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage, Python's and the JVM's: a join of many jobs otherwise fills its heap with plans and metrics of the ones that are done."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def chunks(items: list, weight, limit: int) -> Iterator[list]:
     """Consecutive runs of items whose weights add up to limit, or single heavier items."""
     run, total = [], 0
