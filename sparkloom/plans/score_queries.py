@@ -136,8 +136,11 @@ def _tokens(t):
 @query("""WITH s AS (SELECT 't' || doc_id AS token, list(quality ORDER BY quality, toxic) AS v FROM labels GROUP BY doc_id)
 SELECT 't' || vec_id AS token, md5(array_to_string(coalesce(v, list_transform(embedding, lambda x: CAST(floor(x * 1000) AS BIGINT))), ',')) AS vector_md5, v IS NOT NULL AS restored FROM embeddings LEFT JOIN s ON s.token = 't' || vec_id""")
 def embedding_restore(t):
-    """Vectors by token; where a label has the number, its own short vector is put in place."""
-    target = _tokens(t).select("token", F.transform("vector", lambda x: F.floor(x.cast("double") * 1000)).alias("vector"))
+    """Vectors by token; where a label has the number, its own short vector is put in place.
+
+    Components are multiplied in their own precision, as in the SQL: a product that rounds up to a whole number counts as that number.
+    """
+    target = _tokens(t).select("token", F.transform("vector", lambda x: F.floor(x.cast("float") * F.lit(1000).cast("float"))).alias("vector"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("quality", "toxic"))), lambda r: r["quality"].cast("long"))
     source = t("labels").groupBy("doc_id").agg(listed.alias("vector")).select(F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("token"), "vector")
     return V.restore(target, source).select("token", F.md5(F.array_join(F.col("vector").cast("array<string>"), ",").cast("binary")).alias("vector_md5"), "restored")
