@@ -6,13 +6,17 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The marks of a sentence's ends.
 MARKS = ("<s>", "</s>")
-#: Characters of lines that are counted together before the shuffle.
-BATCH = 1 << 23
+#: Characters of lines that are counted together before the shuffle; a task's memory grows with them.
+BATCH = 1 << 21
+#: Grams of more words travel as windows, dealt by their first words.
+DEALT = 3
 
 
 def _runs(texts: list[str]) -> Iterator[list[str]]:
@@ -27,8 +31,8 @@ def _runs(texts: list[str]) -> Iterator[list[str]]:
         yield run
 
 
-def count_lines(lines: list[str], orders: Sequence[int], marks: bool) -> Iterator[pd.DataFrame]:
-    """(n, gram, count) of the lines, one frame an order; grams are spelled out once each.
+def _grams(lines: list[str], most: int, marks: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, Callable]]:
+    """For each n up to most: n, where grams of n words begin, their numbers, where their lines end, and what spells out the grams at places.
 
     A gram of n words is a pair of the gram before it and a word, so grams are told apart by whole numbers.
     """
@@ -41,25 +45,59 @@ def count_lines(lines: list[str], orders: Sequence[int], marks: bool) -> Iterato
         sizes.append(len(found))
     if not words:
         return
-    ids, distinct = pd.factorize(np.array(words, object))
+    coded = pa.array(words, pa.large_string()).dictionary_encode()
+    del words
+    ids, distinct = coded.indices.to_numpy(), coded.dictionary
     ends = np.repeat(np.cumsum(sizes), sizes)
-    at, gram = np.arange(len(words)), ids.astype(np.int64)
-    for n in range(1, max(orders) + 1):
+    at, gram = np.arange(len(ids)), ids.astype(np.int64)
+
+    def spelled(where: np.ndarray, n: int) -> pa.Array:
+        return pc.binary_join_element_wise(*[distinct.take(pa.array(ids[where + k])) for k in range(n)], pa.scalar(" ", pa.large_string()))
+
+    for n in range(1, most + 1):
         if n > 1:
             at = at[at + n <= ends[at]]
             gram = gram[at] * len(distinct) + ids[at + n - 1]
         if not len(at):
             return
-        _, first, same, count = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
-        if n in orders:
-            where = at[first]
-            yield pd.DataFrame({"n": np.int32(n), "gram": [" ".join(words[i : i + n]) for i in where.tolist()], "count": count})
-        whole = np.zeros(len(words), np.int64)
+        _, same = np.unique(gram, return_inverse=True)
+        yield n, at, same, ends, spelled
+        whole = np.zeros(len(ids), np.int64)
         whole[at] = same
         gram = whole
 
 
-def _counter(orders: Sequence[int], marks: bool) -> Callable:
+def _frame(n: int, at: np.ndarray, same: np.ndarray, spelled: Callable) -> pd.DataFrame:
+    """(n, gram, count) of the grams of n words that begin at places, once each."""
+    _, first, count = np.unique(same, return_index=True, return_counts=True)
+    gram = pd.Series(spelled(at[first], n), dtype=pd.ArrowDtype(pa.large_string()))
+    return pd.DataFrame({"n": np.int32(n), "gram": gram, "count": count})
+
+
+def count_lines(lines: list[str], orders: Sequence[int], marks: bool) -> Iterator[pd.DataFrame]:
+    """(n, gram, count) of the lines, one frame an order; grams are spelled out once each."""
+    for n, at, same, _, spelled in _grams(lines, max(orders), marks):
+        if n in orders:
+            yield _frame(n, at, same, spelled)
+
+
+def window_lines(lines: list[str], orders: Sequence[int], marks: bool) -> Iterator[pd.DataFrame]:
+    """(n, gram, count) of grams of fewer than DEALT words, and of windows: at each place the longest gram, shorter only at the end of a line.
+
+    All longer grams are beginnings of windows, so a place is one row instead of one for every order.
+    """
+    most = max(orders)
+    for n, at, same, ends, spelled in _grams(lines, most, marks):
+        if n < DEALT and n < most:
+            if n in orders:
+                yield _frame(n, at, same, spelled)
+            continue
+        last = np.flatnonzero(at + n == ends[at]) if n < most else slice(None)
+        if len(at[last]):
+            yield _frame(n, at[last], same[last], spelled)
+
+
+def _counter(count: Callable, orders: Sequence[int], marks: bool) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for pdf in batches:
@@ -67,14 +105,20 @@ def _counter(orders: Sequence[int], marks: bool) -> Callable:
             size += int(pdf["text"].str.len().sum())
             if size >= BATCH:
                 for part in _runs(held):
-                    yield from count_lines(part, orders, marks)
+                    yield from count(part, orders, marks)
                 held, size = [], 0
         for part in _runs(held):
-            yield from count_lines(part, orders, marks)
+            yield from count(part, orders, marks)
 
     return run
 
 
+def _parts(lines: DataFrame, text: str, count: Callable, orders: Sequence[int], marks: bool) -> DataFrame:
+    if not orders or min(orders) < 1:
+        raise ValueError("orders are whole numbers from 1 on")
+    return lines.select(F.col(text).cast("string").alias("text")).mapInPandas(_counter(count, tuple(orders), marks), "n int, gram string, count long")
+
+
 def ngram_counts(lines: DataFrame, text: str = "text", orders: Sequence[int] = (1, 2, 3), marks: bool = True) -> DataFrame:
     """(n, gram, count) of all n-grams of the orders; words are parted by white space and joined by one space.
 
@@ -82,12 +126,28 @@ def ngram_counts(lines: DataFrame, text: str = "text", orders: Sequence[int] = (
     pass over the lines counts all orders; batches of lines are added up before the shuffle, so
     a frequent gram travels once a batch.
     """
-    if not orders or min(orders) < 1:
-        raise ValueError("orders are whole numbers from 1 on")
-    parts = lines.select(F.col(text).cast("string").alias("text")).mapInPandas(_counter(tuple(orders), marks), "n int, gram string, count long")
-    return parts.groupBy("n", "gram").agg(F.sum("count").alias("count"))
+    return _parts(lines, text, count_lines, orders, marks).groupBy("n", "gram").agg(F.sum("count").alias("count"))
 
 
 def counts_of_counts(counted: DataFrame) -> DataFrame:
     """(n, count, grams): how many n-grams of each order occur count times, from which discounts are estimated."""
     return counted.groupBy("n", "count").agg(F.count("*").alias("grams"))
+
+
+def ngram_counts_of_counts(lines: DataFrame, text: str = "text", orders: Sequence[int] = (1, 2, 3), marks: bool = True) -> DataFrame:
+    """counts_of_counts() of ngram_counts() without sending every gram of every order.
+
+    Rows are windows, dealt by their first DEALT words; where they meet, each is taken apart into the grams that it begins
+    with, which lie in the same partition. Only the numbers of grams travel once more.
+    """
+    parts = _parts(lines, text, window_lines, orders, marks)
+    head = F.substring_index("gram", " ", DEALT)
+    dealt = parts.repartition(head).select(head.alias("head"), "n", "gram", "count")
+    least = min(DEALT, max(orders))
+    longer = [n for n in sorted(orders) if n >= least]
+    begins = F.filter(F.array(*map(F.lit, longer)), lambda k: k <= F.col("n"))
+    own = F.array("n") if least > min(orders) else F.array().cast("array<int>")
+    order = F.explode(F.when(F.col("n") < least, own).otherwise(begins)).alias("order")
+    grams = dealt.select("head", order, "gram", "count").withColumn("gram", F.call_function("substring_index", "gram", F.lit(" "), F.col("order")))
+    counted = grams.groupBy("head", "order", "gram").agg(F.sum("count").alias("count"))
+    return counts_of_counts(counted.select(F.col("order").alias("n"), "count"))

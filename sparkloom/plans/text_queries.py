@@ -150,7 +150,7 @@ _MARKED = f"w AS (SELECT list_concat(['<s>'], string_split({_FLAT}, ' '), ['</s>
 c AS (SELECT n, gram, count(*) AS k FROM g GROUP BY n, gram) SELECT CAST(n AS INTEGER) AS n, k AS count, count(*) AS grams FROM c GROUP BY n, k""")
 def ngram_counts_of_counts(t):
     """All orders from 1 to 5 in one pass, with the marks of lines."""
-    return G.counts_of_counts(G.ngram_counts(t("documents"), orders=[1, 2, 3, 4, 5]))
+    return G.ngram_counts_of_counts(t("documents"), orders=[1, 2, 3, 4, 5])
 
 
 @query(f"WITH {_MARKED}, g AS (SELECT n, unnest(list_transform(range(1, greatest(len(ws) - n + 2, 1)), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS gram FROM w, (VALUES (1), (3)) r(n)) SELECT n, gram, count(*) AS count FROM g GROUP BY n, gram")
