@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str.strip and \s see it, spelled out because Java's and DuckDB's classes differ.
 WS = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD = WS.replace(r"\x1c-\x20", r"\x1c-\x1f")  # without the space
 FORMS = ("NFC", "NFKC", "NFD", "NFKD")
 
 
@@ -20,8 +21,8 @@ def strip(text: Column) -> Column:
 
 
 def flatten_whitespace(text: Column) -> Column:
-    """Runs of white space become one space; none at the ends."""
-    return strip(F.regexp_replace(text, f"[{WS}]+", " "))
+    """Runs of white space become one space; none at the ends. Lone spaces, which are the most, are not replaced."""
+    return F.trim(F.regexp_replace(text, f"[{_ODD}][{WS}]*| [{WS}]+", " "))
 
 
 def drop_punctuation(text: Column) -> Column:
@@ -121,3 +122,20 @@ def compact_number(value: Column) -> Column:
     whole = value.cast("long")
     exact = F.when(whole % 1000000 == 0, F.concat((whole / 1000000).cast("long").cast("string"), F.lit("M"))).when(whole % 1000 == 0, F.concat((whole / 1000).cast("long").cast("string"), F.lit("k"))).otherwise(whole.cast("string"))
     return F.when(value == 0, F.lit("0")).when(value == whole, exact).when(F.abs(value) < 0.001, F.format_string("%.1e", value)).otherwise(value.cast("string"))
+
+
+#: Characters or bytes of a batch that Python takes up at once; what it makes of them may be many times as large.
+PORTION = 1 << 20
+
+
+def portions(sizes: Sequence[int], most: int | None = None) -> Iterator[slice]:
+    """Slices that together are all rows of a batch, in order, each of at most most in size or of one row."""
+    most = PORTION if most is None else most
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > most:
+            yield slice(start, i)
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield slice(start, len(sizes))
