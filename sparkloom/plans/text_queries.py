@@ -268,9 +268,10 @@ def collate_labels(t):
     """Code points of whole texts as labels and as inputs, padded in batches of like length, with the mask of what is no padding."""
     batches = B.length_batches(t("documents"), "doc_id", "n_chars", 8, 9, mega=8).select("doc_id", "batch")
     points = F.transform(T.characters(F.col("text")), lambda c: F.ascii(c))
-    rows = t("documents").where("text <> ''").select("doc_id", points.alias("labels"), points.alias("inputs")).join(batches, "doc_id")
+    texts = t("documents").where("text <> ''").select("doc_id", "text").join(batches, "doc_id")
+    rows = texts.select("doc_id", "batch", points.alias("labels"), points.alias("inputs"))
     listed = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ",").cast("binary")).alias(c)
-    return L.collate(rows, "batch", inputs="inputs", mask="mask").select("doc_id", "batch", *map(listed, ("labels", "inputs", "mask")))
+    return L.collate(rows, "batch", inputs="inputs", mask="mask", key="doc_id").select("doc_id", "batch", *map(listed, ("labels", "inputs", "mask")))
 
 
 @query("""WITH b AS (SELECT conv_id, turn, list_concat([CASE WHEN role = 'user' OR conv_id % 2 = 0 THEN 7 ELSE 8 END], list_transform(string_split(text, ''), lambda c: ascii(c))) AS labels FROM conversations),
