@@ -19,7 +19,7 @@ from .. import files
 from ..functions.text import slug_of
 from ..operators.selectors import matches, normalize_selector
 from ..operators.splits import ORDER, SplitSpec
-from ..scratch import dropped, written
+from ..scratch import cleaned_up, dropped, written
 
 RECORD = "config.yaml"
 
@@ -205,8 +205,13 @@ def save_split(examples: DataFrame, assignment: DataFrame, spec: SplitSpec, fold
 
 
 def save_json_lines(df: DataFrame, path: str, order: Sequence[str | Column]) -> None:
-    """A JSON object a row, in parts in order; letters beyond ASCII stay as they are and null fields are written."""
-    df.orderBy(*order).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """A JSON object a row, in parts in order; letters beyond ASCII stay as they are and null fields are written.
+
+    Rows are written once before they are sorted: a sort looks at all rows twice, and would compute them twice.
+    """
+    kept = written(df, "rows")
+    kept.orderBy(*order).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    dropped(kept)
 
 
 def save_predictions(scored: DataFrame, path: str) -> None:
@@ -242,11 +247,15 @@ def save_corpus(texts: DataFrame, folder: str, index: str, text: str = "text") -
     spark = texts.sparkSession
     if all(files.exists(spark, f"{folder}/corpus.{x}/_SUCCESS") for x in ("jsonl", "txt")):
         return False
-    if texts.isEmpty():
+    kept = written(texts.select(F.col(index).alias("index"), F.col(text).alias("text")), "corpus")  # computed once, not for each sort and its sample
+    if kept.isEmpty():
+        dropped(kept)
         raise ValueError("the corpus is empty")
-    ordered = texts.select(index, F.col(text).alias("text")).orderBy(index).select("text")
-    ordered.write.mode("overwrite").json(f"{folder}/corpus.jsonl")
-    ordered.write.mode("overwrite").text(f"{folder}/corpus.txt")
+    ordered = kept.orderBy("index").select("text")
+    with cleaned_up(spark):
+        ordered.write.mode("overwrite").json(f"{folder}/corpus.jsonl")
+        ordered.write.mode("overwrite").text(f"{folder}/corpus.txt")
+    dropped(kept)
     return True
 
 

@@ -68,6 +68,22 @@ def indexed(df: DataFrame, order: list[str], name: str = "example_index") -> Dat
     return out
 
 
+def in_file_order(df: DataFrame, name: str = "example_index") -> DataFrame:
+    """Adds the place of a row that was just read from text files: by file, then by line, from 0 without holes or repeats.
+
+    Rows are written to the scratch folder once, where they lie; a row's place is that of its block of a file, which only the number
+    of blocks has to be sorted for, and the row's place in the block.
+    """
+    kept = written(df.select("*", F.input_file_name().alias("_loom_file"), F.input_file_block_start().alias("_loom_block"), F.monotonically_increasing_id().alias("_loom_place")), "lines")
+    blocks = kept.groupBy("_loom_file", "_loom_block").agg(F.count("*").alias("_loom_n"), F.min("_loom_place").alias("_loom_first"))
+    before = F.coalesce(F.sum("_loom_n").over(Window.orderBy("_loom_file", "_loom_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("_loom_file", "_loom_block", (before - F.col("_loom_first")).alias("_loom_shift"))  # a row a block
+    out = kept.join(F.broadcast(starts), ["_loom_file", "_loom_block"]).withColumn(name, (F.col("_loom_place") + F.col("_loom_shift")).cast("long"))
+    out = out.drop("_loom_file", "_loom_block", "_loom_place", "_loom_shift")
+    out._loom_path = kept._loom_path  # dropped(out) deletes the table
+    return out
+
+
 def concat(parts: list[DataFrame]) -> DataFrame:
     """Rows of all parts, with the rank of their part in source_rank."""
     ranked = [df.withColumn("source_rank", F.lit(i)) for i, df in enumerate(parts)]
@@ -172,9 +188,7 @@ def metadata_table(spark: SparkSession, path: str, key: str, multi_valued: tuple
 
 def examples_csv(spark: SparkSession, path: str) -> DataFrame:
     """example STRING, duration DOUBLE in file order, numbered from 0 as example_index."""
-    df = spark.read.csv(path, header=True, schema="example string, duration double")
-    rows = df.select("*", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_row"))
-    return indexed(rows, ["_file", "_row"]).drop("_file", "_row")
+    return in_file_order(spark.read.csv(path, header=True, schema="example string, duration double"))
 
 
 def wav_frames(head: bytes | None) -> tuple[float, int, int] | None:
@@ -229,8 +243,13 @@ def trainer_states(spark: SparkSession, path: str) -> DataFrame:
 
     A file that is no JSON has global_step -1 and finished -1 and no entries.
     """
+    return trainer_states_of(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"))
+
+
+def trainer_states_of(texts: DataFrame) -> DataFrame:
+    """trainer_states() of (file, value), state files whose texts are rows."""
     schema = "global_step long, log_history array<map<string, string>>"
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", schema).alias("s"))
+    files = texts.select("file", F.from_json("value", schema).alias("s"))
     last = F.coalesce(F.map_contains_key(F.try_element_at("s.log_history", F.lit(-1)), "train_runtime"), F.lit(False))
     broken = F.col("s.global_step").isNull() & F.col("s.log_history").isNull()
     rows = files.select("file", F.when(broken, -1).otherwise(F.coalesce("s.global_step", F.lit(0))).alias("global_step"), F.when(broken, -1).otherwise(last.cast("int")).alias("finished"), "s.log_history")
