@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Collection, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 MARKS = ("<s>", "</s>")
 #: Characters of lines that are counted together before the shuffle; a task's memory grows with them.
 BATCH = 1 << 21
+# Fixed value: the largest of a gram's numbers, well inside 64 bits.
+NUMBERS = 1 << 62
 #: Grams of more words travel as windows, dealt by their first words.
 DEALT = 3
 
@@ -31,10 +33,11 @@ def _runs(texts: list[str]) -> Iterator[list[str]]:
         yield run
 
 
-def _grams(lines: list[str], most: int, marks: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, Callable]]:
-    """For each n up to most: n, where grams of n words begin, their numbers, where their lines end, and what spells out the grams at places.
+def _grams(lines: list[str], wanted: Collection[int], marks: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, Callable]]:
+    """For each n wanted: n, where grams of n words begin, their numbers, where their lines end, and what spells out the grams at places.
 
-    A gram of n words is a pair of the gram before it and a word, so grams are told apart by whole numbers.
+    A gram of n words is a pair of the gram before it and a word, so grams are told apart by whole numbers. They are
+    numbered anew where n is wanted, or where pairs would not fit 64 bits.
     """
     words, sizes = [], []
     for line in lines:
@@ -49,36 +52,44 @@ def _grams(lines: list[str], most: int, marks: bool) -> Iterator[tuple[int, np.n
     del words
     ids, distinct = coded.indices.to_numpy(), coded.dictionary
     ends = np.repeat(np.cumsum(sizes), sizes)
-    at, gram = np.arange(len(ids)), ids.astype(np.int64)
+    at, gram, kinds = np.arange(len(ids)), ids.astype(np.int64), len(distinct)
+
+    def numbered() -> tuple[np.ndarray, int]:
+        found = pa.array(gram[at]).dictionary_encode()
+        gram[at] = same = found.indices.to_numpy()
+        return same, len(found.dictionary)
 
     def spelled(where: np.ndarray, n: int) -> pa.Array:
         return pc.binary_join_element_wise(*[distinct.take(pa.array(ids[where + k])) for k in range(n)], pa.scalar(" ", pa.large_string()))
 
-    for n in range(1, most + 1):
+    for n in range(1, max(wanted) + 1):
         if n > 1:
+            if kinds * len(distinct) > NUMBERS:
+                _, kinds = numbered()
             at = at[at + n <= ends[at]]
-            gram = gram[at] * len(distinct) + ids[at + n - 1]
+            gram[at] = gram[at] * len(distinct) + ids[at + n - 1]
+            kinds *= len(distinct)
         if not len(at):
             return
-        _, same = np.unique(gram, return_inverse=True)
-        yield n, at, same, ends, spelled
-        whole = np.zeros(len(ids), np.int64)
-        whole[at] = same
-        gram = whole
+        if n in wanted:
+            same, kinds = numbered() if n > 1 else (ids, kinds)
+            yield n, at, same, ends, spelled
 
 
 def _frame(n: int, at: np.ndarray, same: np.ndarray, spelled: Callable) -> pd.DataFrame:
     """(n, gram, count) of the grams of n words that begin at places, once each."""
-    _, first, count = np.unique(same, return_index=True, return_counts=True)
-    gram = pd.Series(spelled(at[first], n), dtype=pd.ArrowDtype(pa.large_string()))
-    return pd.DataFrame({"n": np.int32(n), "gram": gram, "count": count})
+    count = np.bincount(same)
+    place = np.empty(len(count), np.int64)
+    place[same] = at  # any of a gram's places serves
+    met = np.flatnonzero(count)
+    gram = pd.Series(spelled(place[met], n), dtype=pd.ArrowDtype(pa.large_string()))
+    return pd.DataFrame({"n": np.int32(n), "gram": gram, "count": count[met]})
 
 
 def count_lines(lines: list[str], orders: Sequence[int], marks: bool) -> Iterator[pd.DataFrame]:
     """(n, gram, count) of the lines, one frame an order; grams are spelled out once each."""
-    for n, at, same, _, spelled in _grams(lines, max(orders), marks):
-        if n in orders:
-            yield _frame(n, at, same, spelled)
+    for n, at, same, _, spelled in _grams(lines, orders, marks):
+        yield _frame(n, at, same, spelled)
 
 
 def window_lines(lines: list[str], orders: Sequence[int], marks: bool) -> Iterator[pd.DataFrame]:
@@ -87,10 +98,10 @@ def window_lines(lines: list[str], orders: Sequence[int], marks: bool) -> Iterat
     All longer grams are beginnings of windows, so a place is one row instead of one for every order.
     """
     most = max(orders)
-    for n, at, same, ends, spelled in _grams(lines, most, marks):
-        if n < DEALT and n < most:
-            if n in orders:
-                yield _frame(n, at, same, spelled)
+    short = [n for n in orders if n < min(DEALT, most)]
+    for n, at, same, ends, spelled in _grams(lines, [*short, *range(min(DEALT, most), most + 1)], marks):
+        if n in short:
+            yield _frame(n, at, same, spelled)
             continue
         last = np.flatnonzero(at + n == ends[at]) if n < most else slice(None)
         if len(at[last]):
@@ -124,9 +135,11 @@ def ngram_counts(lines: DataFrame, text: str = "text", orders: Sequence[int] = (
 
     With marks a line has <s> before its first and </s> behind its last word. Null and blank lines have no words. One
     pass over the lines counts all orders; batches of lines are added up before the shuffle, so
-    a frequent gram travels once a batch.
+    a frequent gram travels once a batch. Rows are dealt out as they come: most grams are rare, so adding up
+    a task's batches once more before the shuffle would hold nearly all of its grams and hardly merge any.
     """
-    return _parts(lines, text, count_lines, orders, marks).groupBy("n", "gram").agg(F.sum("count").alias("count"))
+    dealt = _parts(lines, text, count_lines, orders, marks).repartition("n", "gram")
+    return dealt.groupBy("n", "gram").agg(F.sum("count").alias("count"))
 
 
 def counts_of_counts(counted: DataFrame) -> DataFrame:
