@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection, Iterator, Sequence
+from collections.abc import Callable, Collection, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 MARKS = ("<s>", "</s>")
 #: Characters of lines that are counted together before the shuffle; a task's memory grows with them.
 BATCH = 1 << 21
+# The rows that tasks hand back, for Spark and for Arrow.
+ROWS = "n int, gram string, count long"
+COUNTED = pa.schema([("n", pa.int32()), ("gram", pa.string()), ("count", pa.int64())])
 # Fixed value: the largest of a gram's numbers, well inside 64 bits.
 NUMBERS = 1 << 62
 #: Grams of more words travel as windows, dealt by their first words.
 DEALT = 3
 
 
-def _runs(texts: list[str]) -> Iterator[list[str]]:
+def _runs(texts: Iterable[str]) -> Iterator[list[str]]:
     run, size = [], 0
     for text in texts:
         run.append(text)
@@ -109,25 +112,31 @@ def window_lines(lines: list[str], orders: Sequence[int], marks: bool) -> Iterat
 
 
 def _counter(count: Callable, orders: Sequence[int], marks: bool) -> Callable:
+    """For mapInArrow: texts become strings one by one, not a whole batch of Spark's at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = (text for batch in batches for value in batch.column(0) if (text := value.as_py()))
+        for part in _runs(texts):
+            for frame in count(part, orders, marks):
+                yield from pa.Table.from_pandas(frame, preserve_index=False).cast(COUNTED).to_batches()
+
+    return run
+
+
+def _pandas_counter(count: Callable, orders: Sequence[int], marks: bool) -> Callable:
+    """The same for mapInPandas."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for pdf in batches:
-            held += [t for t in pdf["text"].tolist() if t]
-            size += int(pdf["text"].str.len().sum())
-            if size >= BATCH:
-                for part in _runs(held):
-                    yield from count(part, orders, marks)
-                held, size = [], 0
-        for part in _runs(held):
+        for part in _runs(text for pdf in batches for text in pdf["text"].tolist() if text):
             yield from count(part, orders, marks)
 
     return run
 
 
-def _parts(lines: DataFrame, text: str, count: Callable, orders: Sequence[int], marks: bool) -> DataFrame:
+def _texts(lines: DataFrame, text: str, orders: Sequence[int]) -> DataFrame:
     if not orders or min(orders) < 1:
         raise ValueError("orders are whole numbers from 1 on")
-    return lines.select(F.col(text).cast("string").alias("text")).mapInPandas(_counter(count, tuple(orders), marks), "n int, gram string, count long")
+    return lines.select(F.col(text).cast("string").alias("text"))
 
 
 def ngram_counts(lines: DataFrame, text: str = "text", orders: Sequence[int] = (1, 2, 3), marks: bool = True) -> DataFrame:
@@ -138,8 +147,8 @@ def ngram_counts(lines: DataFrame, text: str = "text", orders: Sequence[int] = (
     a frequent gram travels once a batch. Rows are dealt out as they come: most grams are rare, so adding up
     a task's batches once more before the shuffle would hold nearly all of its grams and hardly merge any.
     """
-    dealt = _parts(lines, text, count_lines, orders, marks).repartition("n", "gram")
-    return dealt.groupBy("n", "gram").agg(F.sum("count").alias("count"))
+    parts = _texts(lines, text, orders).mapInArrow(_counter(count_lines, tuple(orders), marks), ROWS)
+    return parts.repartition("n", "gram").groupBy("n", "gram").agg(F.sum("count").alias("count"))
 
 
 def counts_of_counts(counted: DataFrame) -> DataFrame:
@@ -153,7 +162,7 @@ def ngram_counts_of_counts(lines: DataFrame, text: str = "text", orders: Sequenc
     Rows are windows, dealt by their first DEALT words; where they meet, each is taken apart into the grams that it begins
     with, which lie in the same partition. Only the numbers of grams travel once more.
     """
-    parts = _parts(lines, text, window_lines, orders, marks)
+    parts = _texts(lines, text, orders).mapInPandas(_pandas_counter(window_lines, tuple(orders), marks), ROWS)
     head = F.substring_index("gram", " ", DEALT)
     dealt = parts.repartition(head).select(head.alias("head"), "n", "gram", "count")
     least = min(DEALT, max(orders))
