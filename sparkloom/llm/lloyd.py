@@ -78,6 +78,8 @@ def _sums(centroids, dim: int) -> Callable:
                 added = vectors[number == k].astype(kind).sum(axis=0)
                 sums[k] = [a + int(b) for a, b in zip(sums[k], added)]
         met = np.flatnonzero(counts)
+        if not len(met):  # an empty column of arrays would be one of floats, which Arrow refuses
+            return
         yield pd.DataFrame({"cluster": met.astype(np.int32), "n": counts[met], "sums": [[Decimal(s) for s in sums[k]] for k in met]})
 
     return run

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,12 @@ def test_kinds_of_integers_agree():
             assert [(int(d), int(n)) for d, n in zip(least[:200], number[:200])] == exact
     far = np.full((3, 2), (1 << 61) + 5)
     assert L.nearest(far, far[:1] - 3)[1].tolist() == [18] * 3
+
+
+def test_a_task_without_vectors_has_no_row():
+    class Sent:
+        value = np.array([[1, 2], [5, 5]])
+
+    assert list(L._sums(Sent, 2)(iter([]))) == []
+    made = list(L._sums(Sent, 2)(iter([pd.DataFrame({"q": []}), pd.DataFrame({"q": [np.array([4, 5])]})])))
+    assert [p.to_dict("list") for p in made] == [{"cluster": [1], "n": [1], "sums": [[4, 5]]}]
