@@ -222,7 +222,7 @@ def pcm_decode(t):
     """Every text's bytes as the samples of a WAV file, decoded."""
     rows = A.with_waveforms(t("documents").select("doc_id", _wav(F.encode("text", "UTF-8")).alias("content")), 8000)
     level = F.aggregate("features", F.lit(0).cast("long"), lambda x, y: x + F.round(y * 128).cast("long"))
-    return rows.select("doc_id", "input_length", level.alias("level"))
+    return rows.select("doc_id", "input_length", F.coalesce(level, F.lit(0)).cast("long").alias("level"))
 
 
 @query("SELECT doc_id, CAST(ceil(octet_length(encode(text)) * 441 / 320.0) AS BIGINT) AS input_length FROM documents")
