@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Collection, Iterable, Iterator, Sequence
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 # The marks of a sentence's ends.
 MARKS = ("<s>", "</s>")
 #: Characters of lines that are counted together before the shuffle; a task's memory grows with them.
@@ -20,8 +24,13 @@ ROWS = "n int, gram string, count long"
 COUNTED = pa.schema([("n", pa.int32()), ("gram", pa.string()), ("count", pa.int64())])
 # Fixed value: the largest of a gram's numbers, well inside 64 bits.
 NUMBERS = 1 << 62
-#: Grams of more words travel as windows, dealt by their first words.
-DEALT = 3
+#: Grams of so many words or more travel as windows, dealt by so many first words.
+DEALT = 2
+#: Windows of more characters of lines are dealt out in ROUNDS rounds, each with its share of the first words: files of a shuffle go with its round.
+ROUND, ROUNDS = 1 << 26, 4
+# What parts the words of a window, and the n of a window, whose words are counted where it arrives.
+PARTED, WINDOW = "\0", 0
+TALLIED = pa.schema([("n", pa.int32()), ("count", pa.int64()), ("grams", pa.int64())])
 
 
 def _runs(texts: Iterable[str]) -> Iterator[list[str]]:
@@ -36,11 +45,13 @@ def _runs(texts: Iterable[str]) -> Iterator[list[str]]:
         yield run
 
 
-def _grams(lines: list[str], wanted: Collection[int], marks: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, Callable]]:
-    """For each n wanted: n, where grams of n words begin, their numbers, where their lines end, and what spells out the grams at places.
+def _grams(lines: list[str], wanted: Collection[int], marks: bool, parted: str = " ", dealt: int = 0, share: tuple[int, int] = (0, 1), final: Collection[int] = ()) -> Iterator[tuple[int, np.ndarray, np.ndarray, Callable]]:
+    """For each n wanted: n, where grams of n words begin, their numbers, and what spells out the grams at places.
 
     A gram of n words is a pair of the gram before it and a word, so grams are told apart by whole numbers. They are
-    numbered anew where n is wanted, or where pairs would not fit 64 bits.
+    numbered anew where n is wanted, or where pairs would not fit 64 bits. share (k, of how many) leaves the grams whose
+    first dealt words, or all if fewer, fall to it by their hash; each gram falls to one share. Of the orders in final only
+    grams at the ends of lines are left.
     """
     words, sizes = [], []
     for line in lines:
@@ -56,27 +67,47 @@ def _grams(lines: list[str], wanted: Collection[int], marks: bool) -> Iterator[t
     ids, distinct = coded.indices.to_numpy(), coded.dictionary
     ends = np.repeat(np.cumsum(sizes), sizes)
     at, gram, kinds = np.arange(len(ids)), ids.astype(np.int64), len(distinct)
+    if share[1] > 1:
+        hashed = pd.util.hash_array(distinct.to_numpy(zero_copy_only=False), categorize=False)
+        key = hashed[ids]
+    if parted != " ":  # no character of a word sorts before what parts words, nor equals it
+        distinct = pc.replace_substring(pc.replace_substring(distinct, "\1", "\1\2"), PARTED, "\1\1")
+
+    def own() -> np.ndarray:
+        return at[(key[at] >> np.uint64(33)) % np.uint64(share[1]) == share[0]] if share[1] > 1 else at
 
-    def numbered() -> tuple[np.ndarray, int]:
-        found = pa.array(gram[at]).dictionary_encode()
-        gram[at] = same = found.indices.to_numpy()
-        return same, len(found.dictionary)
+    def numbered(where: np.ndarray) -> tuple[np.ndarray, int]:
+        found = pa.array(gram[where]).dictionary_encode()
+        return found.indices.to_numpy(), len(found.dictionary)
 
     def spelled(where: np.ndarray, n: int) -> pa.Array:
-        return pc.binary_join_element_wise(*[distinct.take(pa.array(ids[where + k])) for k in range(n)], pa.scalar(" ", pa.large_string()))
+        return pc.binary_join_element_wise(*[distinct.take(pa.array(ids[where + k])) for k in range(n)], pa.scalar(parted, pa.large_string()))
 
     for n in range(1, max(wanted) + 1):
         if n > 1:
             if kinds * len(distinct) > NUMBERS:
-                _, kinds = numbered()
+                gram[at], kinds = numbered(at)
             at = at[at + n <= ends[at]]
             gram[at] = gram[at] * len(distinct) + ids[at + n - 1]
             kinds *= len(distinct)
+            if share[1] > 1 and n <= dealt:
+                key[at] = key[at] * np.uint64(0x9E3779B97F4A7C15) + hashed[ids[at + n - 1]]
+        if n == dealt:
+            at = own()
         if not len(at):
             return
         if n in wanted:
-            same, kinds = numbered() if n > 1 else (ids, kinds)
-            yield n, at, same, ends, spelled
+            found = own() if n < dealt else at
+            if n in final:
+                found = found[found + n == ends[found]]
+            if n == 1:
+                same = ids[found]
+            else:
+                same, kinds_found = numbered(found)
+                if len(found) == len(at):
+                    gram[at], kinds = same, kinds_found
+            if len(found):
+                yield n, found, same, spelled
 
 
 def _frame(n: int, at: np.ndarray, same: np.ndarray, spelled: Callable) -> pd.DataFrame:
@@ -91,24 +122,63 @@ def _frame(n: int, at: np.ndarray, same: np.ndarray, spelled: Callable) -> pd.Da
 
 def count_lines(lines: list[str], orders: Sequence[int], marks: bool) -> Iterator[pd.DataFrame]:
     """(n, gram, count) of the lines, one frame an order; grams are spelled out once each."""
-    for n, at, same, _, spelled in _grams(lines, orders, marks):
+    for n, at, same, spelled in _grams(lines, orders, marks):
         yield _frame(n, at, same, spelled)
 
 
-def window_lines(lines: list[str], orders: Sequence[int], marks: bool) -> Iterator[pd.DataFrame]:
-    """(n, gram, count) of grams of fewer than DEALT words, and of windows: at each place the longest gram, shorter only at the end of a line.
+def window_lines(lines: list[str], orders: Sequence[int], marks: bool, share: tuple[int, int] = (0, 1)) -> Iterator[pd.DataFrame]:
+    """(n, gram, count) of grams of fewer than DEALT words, and of windows (n is WINDOW): at each place the longest gram, shorter only at the end of a line.
 
-    All longer grams are beginnings of windows, so a place is one row instead of one for every order.
+    All longer grams are beginnings of windows, so a place is one row instead of one for every order. Words are parted by
+    PARTED, so windows that begin with the same words stand side by side when sorted.
     """
     most = max(orders)
-    short = [n for n in orders if n < min(DEALT, most)]
-    for n, at, same, ends, spelled in _grams(lines, [*short, *range(min(DEALT, most), most + 1)], marks):
-        if n in short:
-            yield _frame(n, at, same, spelled)
-            continue
-        last = np.flatnonzero(at + n == ends[at]) if n < most else slice(None)
-        if len(at[last]):
-            yield _frame(n, at[last], same[last], spelled)
+    dealt = min(DEALT, most)
+    short = [n for n in orders if n < dealt]
+    least = min(n for n in orders if n >= dealt)
+    for n, at, same, spelled in _grams(lines, [*short, *range(least, most + 1)], marks, PARTED, dealt, share, range(least, most)):
+        frame = _frame(n, at, same, spelled)
+        yield frame if n in short else frame.assign(n=np.int32(WINDOW))
+
+
+def _tally(orders: Collection[int]) -> Callable:
+    """For mapInArrow: sorted rows of window_lines() become (n, count, grams); of the rows only the last one is kept for the next batch."""
+    most = max(orders)
+    dealt = min(DEALT, most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, open_ = {n: Counter() for n in orders}, dict.fromkeys(orders, 0)
+        before = []  # n and gram of the last row
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind, gram = (pa.concat_arrays([*before[i : i + 1], batch.column(i)]) for i in range(2))
+            count = np.concatenate([np.zeros(min(len(before), 1), np.int64), batch.column(2).to_numpy()])
+            words, own = pc.split_pattern(gram, PARTED), kind.to_numpy()
+            begin, size = words.offsets.to_numpy()[:-1], np.diff(words.offsets.to_numpy())
+            ids = words.values.dictionary_encode().indices.to_numpy()
+            new = np.append(True, own[1:] != own[:-1])
+            for n in range(1, most + 1):
+                word = np.where(size >= n, ids[np.minimum(begin + n - 1, len(ids) - 1)], -1)
+                new[1:] |= word[1:] != word[:-1]
+                at = np.flatnonzero((size >= n) & (own == (n if n < dealt else WINDOW))) if n in met else ()
+                if not len(at):
+                    continue
+                if before:
+                    count[0] = open_[n]
+                sums = np.add.reduceat(count[at], np.flatnonzero(new[at]))
+                goes_on = at[-1] == len(own) - 1
+                open_[n] = int(sums[-1]) if goes_on else 0
+                met[n].update(dict(zip(*map(np.ndarray.tolist, np.unique(sums[: len(sums) - goes_on], return_counts=True)), strict=True)))
+            before = [kind[-1:], gram[-1:]]
+        for n, k in open_.items():
+            if k:
+                met[n][k] += 1
+        found = [(n, k, grams) for n, counts in met.items() for k, grams in counts.items()]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found, strict=True), TALLIED, strict=True)], schema=TALLIED)
+
+    return run
 
 
 def _counter(count: Callable, orders: Sequence[int], marks: bool) -> Callable:
@@ -159,17 +229,19 @@ def counts_of_counts(counted: DataFrame) -> DataFrame:
 def ngram_counts_of_counts(lines: DataFrame, text: str = "text", orders: Sequence[int] = (1, 2, 3), marks: bool = True) -> DataFrame:
     """counts_of_counts() of ngram_counts() without sending every gram of every order.
 
-    Rows are windows, dealt by their first DEALT words; where they meet, each is taken apart into the grams that it begins
-    with, which lie in the same partition. Only the numbers of grams travel once more.
+    Rows are windows, dealt by their first DEALT words and sorted where they meet; there the grams that windows begin with
+    are runs of neighbours, counted as they pass. Only the numbers of grams travel once more. Many lines are read
+    in each of ROUNDS rounds, and only windows of the round's share are dealt out, so that the disk never holds all of them.
     """
-    parts = _texts(lines, text, orders).mapInPandas(_pandas_counter(window_lines, tuple(orders), marks), ROWS)
-    head = F.substring_index("gram", " ", DEALT)
-    dealt = parts.repartition(head).select(head.alias("head"), "n", "gram", "count")
-    least = min(DEALT, max(orders))
-    longer = [n for n in sorted(orders) if n >= least]
-    begins = F.filter(F.array(*map(F.lit, longer)), lambda k: k <= F.col("n"))
-    own = F.array("n") if least > min(orders) else F.array().cast("array<int>")
-    order = F.explode(F.when(F.col("n") < least, own).otherwise(begins)).alias("order")
-    grams = dealt.select("head", order, "gram", "count").withColumn("gram", F.call_function("substring_index", "gram", F.lit(" "), F.col("order")))
-    counted = grams.groupBy("head", "order", "gram").agg(F.sum("count").alias("count"))
-    return counts_of_counts(counted.select(F.col("order").alias("n"), "count"))
+    texts = _texts(lines, text, orders)
+    many = (texts.agg(F.sum(F.length("text"))).first()[0] or 0) > ROUND
+    rounds = ROUNDS if many else 1
+
+    def counted(k: int) -> DataFrame:
+        parts = texts.mapInPandas(_pandas_counter(partial(window_lines, share=(k, rounds)), tuple(orders), marks), ROWS)
+        dealt = parts.repartition("n", F.substring_index("gram", PARTED, DEALT)).sortWithinPartitions("gram")
+        return dealt.mapInArrow(_tally(frozenset(orders)), "n int, count long, grams long").groupBy("n", "count").agg(F.sum("grams").alias("grams"))
+
+    if rounds == 1:
+        return counted(0)
+    return reduce(DataFrame.unionByName, [written(counted(k), "grams") for k in range(rounds)]).groupBy("n", "count").agg(F.sum("grams").alias("grams"))
